@@ -28,7 +28,7 @@ NO_RANK = 1 << 30
 #: Lists up to this length are merged one position after the other, longer ones as arrays.
 FEW = 24
 #: Distinct words whose ids a Python worker keeps between batches; beyond it the cache is emptied. Results don't depend on it.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 # Fixed values of byte-level BPE: the pretokenisation pattern (with Unicode white space spelled out) ...
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -265,7 +265,7 @@ def loaded(path: str) -> ByteBPE:
 
 
 #: Characters of text that are encoded at once; bounds a worker's memory, not what is encoded.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 4_000_000
 
 
 def groups_of(texts: list[str]) -> Iterator[tuple[int, int]]:
