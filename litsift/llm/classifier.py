@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from litsift.llm.common import utf8
 
-BINS = 8
+BINS = 16
 WINDOW = 512
 MARKS = [np.frombuffer(x, dtype=np.uint8) for x in (b"#*$%&", b"|", b"!", b"?", b".", b",", b"<>{}[]=/\\", b"\n", b"@:;", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)))]
 
@@ -73,10 +73,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[self.bins(x)].sum(axis=1) + self.bias, -30, 30)))
 
 
+def bin_edges(x: np.ndarray) -> np.ndarray:
+    """Half the edges are quantiles of the rows, half of the distinct values, so that a value most rows share leaves bins for the rest."""
+    half = BINS // 2
+    return np.sort(np.concatenate([np.quantile(x, np.arange(1, half) / half), np.quantile(np.unique(x), (np.arange(half) + 0.5) / half)]))
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Minimises prior * E+[l(f)] + max(0, Eu[l(-f)] - prior * E+[l(-f)]) with the logistic loss, by Adam on full batches."""
     both = np.concatenate([positive, unlabelled])
-    edges = np.stack([np.quantile(both[:, i], np.arange(1, BINS) / BINS) for i in range(both.shape[1])])
+    edges = np.stack([bin_edges(both[:, i]) for i in range(both.shape[1])])
     model = Model(edges, np.zeros(len(edges) * BINS), float(np.log(prior / (1 - prior))))
     p, u = model.bins(positive), model.bins(unlabelled)
     theta = np.append(model.weights, model.bias)
@@ -95,7 +101,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         grad = grad + decay * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(edges, theta[:-1], float(theta[-1]))
+    # The prior also sets the intercept: that share of the unlabelled, and a tenth of the rest in doubt, counts as positive.
+    reach = theta[u].sum(axis=1)
+    return Model(edges, theta[:-1], -float(np.quantile(reach, 0.9 * (1 - prior))))
 
 
 def held_out(key: Column | str) -> Column:
