@@ -10,9 +10,9 @@ positions whose rank is not unique go on to the next length.
    document with a smaller id.
 3. The bytes that removed windows cover leave the text.
 
-Tasks combine what they hold before the shuffle: of a rank that they have in several documents, only the smallest
-document's entries leave the task, so a passage in a third of all documents makes a few entries a task. Entries travel as
-binary arrays, texts as zstandard frames. Exact copies of a smaller document are known from a digest and make no entries.
+Tasks combine what they hold before the shuffle: of a rank or run of windows that they have in several documents, only
+the smallest document's leaves the task, so a passage in a third of all documents makes a few entries a task. Entries
+travel as binary arrays, runs of windows with their bytes, texts as zstandard frames. Exact copies of a smaller document are known from a digest and make no entries.
 
 Edge cases: a null text counts as empty; texts of fewer than 50 bytes lose nothing; long texts are ranked in overlapping
 segments; rows with a null id neither lose nor cause anything; rows that share an id don't cut each other; an empty table
@@ -37,7 +37,6 @@ HALF, WHOLE = 25, 50
 SEGMENT = 1 << 20
 U = np.uint64
 A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
-LOW48 = U((1 << 48) - 1)
 
 
 def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -91,8 +90,8 @@ class Group:
             self.parts.append(part)
             self.size += len(part)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all 50-byte windows within a segment: place in the joined bytes, index in `doc`, position in the text, window's rank of length 25, ranks of length 25."""
+    def windows(self) -> tuple[np.ndarray, ...]:
+        """Of all 50-byte windows within a segment: place in the joined bytes, index in `doc`, position in the text, the rank of length 25 that stands for it; then all ranks of length 25 and the joined bytes."""
         raw = np.frombuffer(b"".join(self.parts), dtype=np.uint8)
         r = ranks25(raw)
         m = least(r, WHOLE - HALF + 1)
@@ -100,8 +99,8 @@ class Group:
         starts = np.cumsum(sizes) - sizes
         count = sizes - WHOLE + 1
         owner = np.repeat(np.arange(len(sizes)), count)
-        at = np.arange(count.sum()) + np.repeat(starts - (np.cumsum(count) - count), count)
-        return at, owner, at - starts[owner] + np.array(self.base)[owner], m[at], r
+        at = spans(starts, count)
+        return at, owner, at - starts[owner] + np.array(self.base)[owner], m[at], r, raw
 
 
 def grouped(rows: Iterator[tuple[int, bytes]]) -> Iterator[Group]:
@@ -124,68 +123,91 @@ def firsts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-# Entries of a bucket travel as (bucket, ids, row hashes, numbers of entries of each, ranks, positions); bucket -1 holds findings.
-SCHEMA = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("ranks", pa.binary()), ("at", pa.binary())])
-SPARK_SCHEMA = "bucket int, ids binary, hashes binary, counts binary, ranks binary, at binary"
+#: Bytes of a value on its way: a rank and a mark, or a run's start and number of windows.
+WIDE = 6
+MARK = U(1 << 47)
+RANK = MARK - U(1)
+#: Windows in a run, at most; positions of up to 2^40 fit beside them.
+RUN = 255
+# Entries of a bucket travel as (bucket, ids, row hashes, numbers of values of each, values, bytes of runs); bucket -1 holds findings.
+SCHEMA = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("values", pa.binary()), ("text", pa.binary())])
+SPARK_SCHEMA = "bucket int, ids binary, hashes binary, counts binary, `values` binary, text binary"
+FOUND = "doc_id long, row_hash long, what binary"
+
+
+def to_bytes(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes()
+
+
+def from_bytes(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // WIDE, 8), dtype=np.uint8)
+    out[:, :WIDE] = np.frombuffer(b, dtype=np.uint8).reshape(-1, WIDE)
+    return out.view("<u8").ravel()
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each span, one span after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-def packed(bucket: np.ndarray, rows: np.ndarray, ranks: np.ndarray, at: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """Entries as one record a bucket; rows index ids and hashes."""
-    order = np.lexsort((at, rows, bucket))
-    bucket, rows, ranks, at = bucket[order], rows[order], ranks[order], at[order]
+def packed(bucket: np.ndarray, rows: np.ndarray, values: np.ndarray, ids: np.ndarray, hashes: np.ndarray, raw: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.RecordBatch:
+    """Entries as one record a bucket; rows index ids and hashes; with raw, the bytes of each run go along."""
+    order = np.lexsort((values, rows, bucket))
+    bucket, rows, values = bucket[order], rows[order], values[order]
     cuts = np.append(np.flatnonzero(firsts(bucket)), len(bucket))
     out: list[list] = [[] for _ in SCHEMA]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = np.flatnonzero(firsts(rows[a:b]))
         who = rows[a:b][own]
-        for column, x in zip(out, (int(bucket[a]), ids[who].tobytes(), hashes[who].tobytes(), np.diff(np.append(own, b - a)).astype(np.int32).tobytes(), ranks[a:b].astype("<u8").tobytes(), at[a:b].tobytes()), strict=True):
+        text = raw[spans(places[order[a:b]], run_bytes(values[a:b]))].tobytes() if raw is not None else b""
+        for column, x in zip(out, (int(bucket[a]), ids[who].tobytes(), hashes[who].tobytes(), np.diff(np.append(own, b - a)).astype(np.int32).tobytes(), to_bytes(values[a:b]), text), strict=True):
             column.append(x)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, SCHEMA, strict=True)], schema=SCHEMA)
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], at_type: type) -> tuple[list[tuple], tuple[np.ndarray, ...]]:
-    """The findings that pass through, and all entries as (id, hash, rank, at)."""
-    found, parts = [], []
-    for batch in batches:
-        for bucket, ids, hashes, counts, ranks, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            i, h, n = np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.int32)
-            if bucket < 0:
-                found.append((i, h, n, ranks, at))
-            else:
-                parts.append((np.repeat(i, n), np.repeat(h, n), np.frombuffer(ranks, "<u8"), np.frombuffer(at, at_type)))
-    if not parts:
-        return found, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, at_type))
-    return found, tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-
-
-FOUND = "doc_id long, row_hash long, what binary"
+def run_bytes(values: np.ndarray) -> np.ndarray:
+    return (values & U(RUN)).astype(np.int64) + WHOLE - 1
 
 
 def findings(ids: np.ndarray, hashes: np.ndarray, what: np.ndarray) -> pa.RecordBatch:
-    """One row for each (id, hash) with all that was found for it."""
+    """One row for each (id, hash) with all values that were found for it."""
     order = np.lexsort((what, hashes, ids))
     ids, hashes, what = ids[order], hashes[order], what[order]
     cuts = np.flatnonzero(firsts(ids, hashes))
-    each = [w.tobytes() for w in np.split(what, cuts[1:])] if len(what) else []
+    each = [to_bytes(w) for w in np.split(what, cuts[1:])] if len(what) else []
     return pa.RecordBatch.from_arrays([pa.array(ids[cuts]), pa.array(hashes[cuts]), pa.array(each, pa.binary())], ["doc_id", "row_hash", "what"])
 
 
-def passed_on(found: list[tuple], kind: Callable[[tuple], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for entry in found:
-        yield findings(np.repeat(entry[0], entry[2]), np.repeat(entry[1], entry[2]), kind(entry))
+def unpacked(batches: Iterator[pa.RecordBatch], entries: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Passes findings on and gathers entries as (ids, hashes, values, bytes)."""
+    for batch in batches:
+        for bucket, ids, hashes, counts, values, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            i, h, n = np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.int32)
+            entry = np.repeat(i, n), np.repeat(h, n), from_bytes(values)
+            if bucket < 0:
+                yield findings(*entry)
+            else:
+                entries.append((*entry, text))
 
 
 def shared_ranks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Entries of the windows' ranks of length 25; of a rank that a group has in several rows, one entry and a finding for each row."""
+    """Entries of the windows' ranks of length 25; of a rank that a group has in several rows, one marked entry and a finding for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         hashes: list[int] = []
-        rows = ((len(ids) - 1, t) for b in batches for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if not (ids.append(i) or hashes.append(h)))
-        for g in grouped(rows):
-            _, owner, _, m, _ = g.windows()
+
+        def rows() -> Iterator[tuple[int, bytes]]:
+            for b in batches:
+                for i, h, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    ids.append(i)
+                    hashes.append(h)
+                    yield len(ids) - 1, text
+
+        for g in grouped(rows()):
+            _, owner, _, m, _, _ = g.windows()
             new = firsts(owner, m)
-            row, m = np.array(g.doc)[owner[new]], m[new] & LOW48
+            row, m = np.array(g.doc)[owner[new]], m[new] & RANK
             order = np.lexsort((row, m))
             row, m = row[order], m[order]
             new = firsts(row, m)
@@ -194,30 +216,32 @@ def shared_ranks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             size = np.diff(np.append(np.flatnonzero(lead), len(m)))
             several = np.repeat(size > 1, size)
             i, h = np.array(ids), np.array(hashes)
-            bucket = (m % U(buckets)).astype(np.int32)
-            several_mark = np.where(several[lead], 1, 0).astype(np.uint8)
-            yield packed(bucket[lead], row[lead], m[lead], several_mark, i, h)
+            yield packed((m[lead] % U(buckets)).astype(np.int32), row[lead], np.where(several[lead], m[lead] | MARK, m[lead]), i, h)
             if several.any():
-                yield packed(np.full(int(several.sum()), -1, np.int32), row[several], m[several], np.ones(int(several.sum()), np.uint8), i, h)
+                yield packed(np.full(int(several.sum()), -1, np.int32), row[several], m[several], i, h)
 
     return run
 
 
 def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row the ranks that also stand in another row."""
-    found, (ids, hashes, ranks, mark) = unpacked(batches, np.uint8)
-    yield from passed_on(found, lambda e: np.frombuffer(e[3], "<u8"))
+    """For each row the ranks of length 25 that also stand in another row."""
+    entries: list[tuple] = []
+    yield from unpacked(batches, entries)
+    if not entries:
+        return
+    ids, hashes, values = (np.concatenate(c) for c in list(zip(*entries, strict=True))[:3])
+    ranks = values & RANK
     order = np.argsort(ranks, kind="stable")
-    ids, hashes, ranks, mark = ids[order], hashes[order], ranks[order], mark[order]
+    ids, hashes, ranks, marked = ids[order], hashes[order], ranks[order], (values[order] & MARK) > 0
     lead = np.flatnonzero(firsts(ranks))
     size = np.diff(np.append(lead, len(ranks)))
-    many = np.repeat((size > 1) | (np.add.reduceat(mark.astype(np.int64), lead) > 0 if len(lead) else size > 1), size)
+    many = np.repeat((size > 1) | np.logical_or.reduceat(marked, lead), size)
     if many.any():
         yield findings(ids[many], hashes[many], ranks[many])
 
 
 def windows_left(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Entries of length 50 at windows whose rank of length 25 is shared; findings for what a smaller row of the group has too."""
+    """Runs of windows of one shared rank of length 25, with their bytes; findings for runs that a smaller row of the group has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -230,47 +254,76 @@ def windows_left(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 for i, h, frame, what in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                     ids.append(i)
                     hashes.append(h)
-                    shared.append(np.unique(np.frombuffer(b"".join(what), "<u8")))
+                    shared.append(np.unique(from_bytes(b"".join(what))))
                     yield len(ids) - 1, zstd.decompress(frame)
 
         for g in grouped(rows()):
-            at, owner, place, m, r = g.windows()
+            at, owner, place, m, r, raw = g.windows()
             keep = np.zeros(len(at), dtype=bool)
             ends = np.searchsorted(owner, np.arange(len(g.doc) + 1))
             for k, doc in enumerate(g.doc):
-                own = m[ends[k] : ends[k + 1]] & LOW48
+                own = m[ends[k] : ends[k + 1]] & RANK
                 s = shared[doc]
                 if len(s):
                     keep[ends[k] : ends[k + 1]] = s[np.minimum(np.searchsorted(s, own), len(s) - 1)] == own
             for doc in set(g.doc) - {g.doc[-1]}:
                 shared[doc] = shared[doc][:0]
-            at, row, place = at[keep], np.array(g.doc)[owner[keep]], place[keep].astype(np.int64)
-            rank = pair(r[at], r[at + HALF])
+            if not keep.any():
+                continue
+            new = firsts(owner, m)
+            new[1:] |= keep[1:] != keep[:-1]
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(at)))
+            start, size = start[keep[start]], size[keep[start]]
+            pieces = -(-size // RUN)  # only periodic text has runs beyond RUN
+            start = spans(np.zeros_like(start), pieces) * RUN + np.repeat(start, pieces)
+            size = np.minimum(RUN, np.repeat(start[np.cumsum(pieces) - pieces] + size, pieces) - start)
+            row, values = np.array(g.doc)[owner[start]], (place[start].astype(np.uint64) << U(8)) | size.astype(np.uint64)
+            begin, end = at[start], at[start + size - 1]
+            name = pair(pair(r[begin], r[begin + HALF]), pair(pair(r[end], r[end + HALF]), size.astype(np.uint64)))
+            for mid in (0.25, 0.5, 0.75):  # runs of up to 200 windows are named by strings that cover them whole
+                x = at[start + (size * mid).astype(np.int64)]
+                name = pair(name, pair(r[x], r[x + HALF]))
             i, h = np.array(ids), np.array(hashes)
-            order = np.lexsort((i[row], rank))
-            rank, row, place = rank[order], row[order], place[order]
-            lead = np.flatnonzero(firsts(rank))
-            least_id = np.repeat(i[row[lead]], np.diff(np.append(lead, len(rank))))
-            later = i[row] > least_id
-            bucket = (rank % U(buckets)).astype(np.int32)
-            if (~later).any():
-                yield packed(bucket[~later], row[~later], rank[~later], place[~later].astype(np.uint32), i, h)
+            order = np.lexsort((i[row], name))
+            lead = np.flatnonzero(firsts(name[order]))
+            later = np.empty(len(order), dtype=bool)
+            later[order] = i[row[order]] > np.repeat(i[row[order[lead]]], np.diff(np.append(lead, len(order))))
+            later &= size <= 4 * WHOLE
+            yield packed((m[start] % U(buckets)).astype(np.int32)[~later], row[~later], values[~later], i, h, raw, begin[~later])
             if later.any():
-                yield packed(np.full(int(later.sum()), -1, np.int32), row[later], rank[later] & U(0), place[later].astype(np.uint32), i, h)
+                yield packed(np.full(int(later.sum()), -1, np.int32), row[later], values[later], i, h)
 
     return run
 
 
 def keep_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions of windows that also start in a row of a smaller id."""
-    found, (ids, hashes, ranks, at) = unpacked(batches, np.uint32)
-    yield from passed_on(found, lambda e: np.frombuffer(e[4], np.uint32))
-    order = np.lexsort((ids, ranks))
-    ids, hashes, ranks, at = ids[order], hashes[order], ranks[order], at[order]
-    lead = np.flatnonzero(firsts(ranks))
-    later = ids > np.repeat(ids[lead], np.diff(np.append(lead, len(ranks))))
-    if later.any():
-        yield findings(ids[later], hashes[later], at[later])
+    """Runs of windows that also start in a row of a smaller id, by their ranks of length 50."""
+    entries: list[tuple] = []
+    yield from unpacked(batches, entries)
+    if not entries:
+        return
+    ids, hashes, values = (np.concatenate(c) for c in list(zip(*entries, strict=True))[:3])
+    raw = np.frombuffer(b"".join(e[3] for e in entries), dtype=np.uint8)
+    entries.clear()
+    size = (values & U(RUN)).astype(np.int64)
+    r = ranks25(raw)
+    at = spans(np.cumsum(size + WHOLE - 1) - (size + WHOLE - 1), size)
+    rank = pair(r[at], r[at + HALF])
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((ids[owner], rank))
+    lead = np.flatnonzero(firsts(rank[order]))
+    later = np.empty(len(order), dtype=bool)
+    later[order] = ids[owner[order]] > np.repeat(ids[owner[order[lead]]], np.diff(np.append(lead, len(order))))
+    new = firsts(owner, later)
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, len(later)))
+    start, length = start[later[start]], length[later[start]]
+    if len(start):
+        own = owner[start]
+        first_of = np.cumsum(size) - size
+        position = (values[own] >> U(8)) + (start - first_of[own]).astype(np.uint64)
+        yield findings(ids[own], hashes[own], (position << U(8)) | length.astype(np.uint64))
 
 
 def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +343,9 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if copy and len(raw) >= WHOLE:
                 gone[:] = True
             elif what:
-                at = np.frombuffer(b"".join(what), np.uint32).astype(np.int64)
-                edge = np.bincount(at, minlength=len(raw) + 1).astype(np.int64) - np.bincount(at + WHOLE, minlength=len(raw) + 1)
+                runs = from_bytes(b"".join(what))
+                at = (runs >> U(8)).astype(np.int64)
+                edge = np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + run_bytes(runs), minlength=len(raw) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
             kept = raw[~gone].tobytes()
             spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
