@@ -34,7 +34,9 @@ from litsift.llm.common import n_partitions, utf8
 
 HALF, WHOLE = 25, 50
 #: Bytes of text that a task ranks at once; bounds its memory only.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
+#: Entries, and bytes of runs, that a task gathers before it combines them and sends them off; bounds its memory only.
+ENTRIES, RUN_BYTES = 3_000_000, 1 << 24
 U = np.uint64
 A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
 
@@ -132,7 +134,7 @@ RUN = 255
 # Entries of a bucket travel as (bucket, ids, row hashes, numbers of values of each, values, bytes of runs); bucket -1 holds findings.
 SCHEMA = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("values", pa.binary()), ("text", pa.binary())])
 SPARK_SCHEMA = "bucket int, ids binary, hashes binary, counts binary, `values` binary, text binary"
-FOUND = "doc_id long, row_hash long, what binary"
+FOUND = "doc_id long, row_hash int, what binary"
 
 
 def to_bytes(x: np.ndarray) -> bytes:
@@ -145,6 +147,16 @@ def from_bytes(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Integers as all their first bytes, then all second ones and so on, which compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def integers(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each span, one span after the other."""
     return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
@@ -160,7 +172,7 @@ def packed(bucket: np.ndarray, rows: np.ndarray, values: np.ndarray, ids: np.nda
         own = np.flatnonzero(firsts(rows[a:b]))
         who = rows[a:b][own]
         text = raw[spans(places[order[a:b]], run_bytes(values[a:b]))].tobytes() if raw is not None else b""
-        for column, x in zip(out, (int(bucket[a]), ids[who].tobytes(), hashes[who].tobytes(), np.diff(np.append(own, b - a)).astype(np.int32).tobytes(), to_bytes(values[a:b]), text), strict=True):
+        for column, x in zip(out, (int(bucket[a]), planes(ids[who]), planes(hashes[who]), planes(np.diff(np.append(own, b - a)).astype(np.int32)), to_bytes(values[a:b]), text), strict=True):
             column.append(x)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, SCHEMA, strict=True)], schema=SCHEMA)
 
@@ -182,7 +194,7 @@ def unpacked(batches: Iterator[pa.RecordBatch], entries: list[tuple]) -> Iterato
     """Passes findings on and gathers entries as (ids, hashes, values, bytes)."""
     for batch in batches:
         for bucket, ids, hashes, counts, values, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            i, h, n = np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.int32)
+            i, h, n = integers(ids, np.int64), integers(hashes, np.int32), integers(counts, np.int32)
             entry = np.repeat(i, n), np.repeat(h, n), from_bytes(values)
             if bucket < 0:
                 yield findings(*entry)
@@ -204,10 +216,11 @@ def shared_ranks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     hashes.append(h)
                     yield len(ids) - 1, text
 
-        for g in grouped(rows()):
-            _, owner, _, m, _, _ = g.windows()
-            new = firsts(owner, m)
-            row, m = np.array(g.doc)[owner[new]], m[new] & RANK
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            row, m = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((row, m))
             row, m = row[order], m[order]
             new = firsts(row, m)
@@ -215,11 +228,20 @@ def shared_ranks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             lead = firsts(m)
             size = np.diff(np.append(np.flatnonzero(lead), len(m)))
             several = np.repeat(size > 1, size)
-            i, h = np.array(ids), np.array(hashes)
+            i, h = np.array(ids, np.int64), np.array(hashes, np.int32)
             yield packed((m[lead] % U(buckets)).astype(np.int32), row[lead], np.where(several[lead], m[lead] | MARK, m[lead]), i, h)
             if several.any():
                 yield packed(np.full(int(several.sum()), -1, np.int32), row[several], m[several], i, h)
 
+        for g in grouped(rows()):
+            _, owner, _, m, _, _ = g.windows()
+            new = firsts(owner, m)
+            held.append((np.array(g.doc)[owner[new]], m[new] & RANK))
+            if sum(len(x) for x, _ in held) >= ENTRIES:
+                yield from sent()
+        if held:
+            yield from sent()
+
     return run
 
 
@@ -257,6 +279,23 @@ def windows_left(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     shared.append(np.unique(from_bytes(b"".join(what))))
                     yield len(ids) - 1, zstd.decompress(frame)
 
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            row, values, name, bucket = (np.concatenate([x[k] for x in held]) for k in range(4))
+            raw = np.frombuffer(b"".join(x[4] for x in held), dtype=np.uint8)
+            held.clear()
+            i, h = np.array(ids, np.int64), np.array(hashes, np.int32)
+            order = np.lexsort((i[row], name))
+            lead = np.flatnonzero(firsts(name[order]))
+            later = np.empty(len(order), dtype=bool)
+            later[order] = i[row[order]] > np.repeat(i[row[order[lead]]], np.diff(np.append(lead, len(order))))
+            sizes = run_bytes(values)
+            later &= sizes < 5 * WHOLE  # what name covers whole
+            yield packed(bucket[~later], row[~later], values[~later], i, h, raw, (np.cumsum(sizes) - sizes)[~later])
+            if later.any():
+                yield packed(np.full(int(later.sum()), -1, np.int32), row[later], values[later], i, h)
+
         for g in grouped(rows()):
             at, owner, place, m, r, raw = g.windows()
             keep = np.zeros(len(at), dtype=bool)
@@ -284,15 +323,11 @@ def windows_left(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for mid in (0.25, 0.5, 0.75):  # runs of up to 200 windows are named by strings that cover them whole
                 x = at[start + (size * mid).astype(np.int64)]
                 name = pair(name, pair(r[x], r[x + HALF]))
-            i, h = np.array(ids), np.array(hashes)
-            order = np.lexsort((i[row], name))
-            lead = np.flatnonzero(firsts(name[order]))
-            later = np.empty(len(order), dtype=bool)
-            later[order] = i[row[order]] > np.repeat(i[row[order[lead]]], np.diff(np.append(lead, len(order))))
-            later &= size <= 4 * WHOLE
-            yield packed((m[start] % U(buckets)).astype(np.int32)[~later], row[~later], values[~later], i, h, raw, begin[~later])
-            if later.any():
-                yield packed(np.full(int(later.sum()), -1, np.int32), row[later], values[later], i, h)
+            held.append((row, values, name, (m[start] % U(buckets)).astype(np.int32), raw[spans(begin, run_bytes(values))].tobytes()))
+            if sum(len(x[4]) for x in held) >= RUN_BYTES:
+                yield from sent()
+        if held:
+            yield from sent()
 
     return run
 
@@ -306,10 +341,15 @@ def keep_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, hashes, values = (np.concatenate(c) for c in list(zip(*entries, strict=True))[:3])
     raw = np.frombuffer(b"".join(e[3] for e in entries), dtype=np.uint8)
     entries.clear()
-    size = (values & U(RUN)).astype(np.int64)
-    r = ranks25(raw)
-    at = spans(np.cumsum(size + WHOLE - 1) - (size + WHOLE - 1), size)
-    rank = pair(r[at], r[at + HALF])
+    size, ends = (values & U(RUN)).astype(np.int64), np.cumsum(run_bytes(values))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(raw), SEGMENT)), len(size)))
+    ranks = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # some runs at a time
+        begin = int(ends[a - 1]) if a else 0
+        r = ranks25(raw[begin : ends[b - 1]])
+        at = spans(ends[a:b] - run_bytes(values[a:b]) - begin, size[a:b])
+        ranks.append(pair(r[at], r[at + HALF]))
+    rank = np.concatenate(ranks)
     owner = np.repeat(np.arange(len(size)), size)
     order = np.lexsort((ids[owner], rank))
     lead = np.flatnonzero(firsts(rank[order]))
@@ -351,30 +391,29 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
             for column, x in zip(out, (doc, h, len(raw), int(gone.sum()), spans, kept), strict=True):
                 column.append(x)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "row_hash", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """Per row doc_id, row_hash (of the text), n_bytes, n_removed, n_spans and kept (the bytes that are left)."""
-    buckets = 8 * n_partitions(docs.sparkSession)
-    parts = n_partitions(docs.sparkSession)
+    buckets = n_partitions(docs.sparkSession)
     text = utf8("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("row_hash"), text.alias("text"))
     ranked = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WHOLE))
     home = F.when(F.col("bucket") < 0, F.pmod(F.hash("ids"), F.lit(buckets))).otherwise(F.col("bucket"))
-    dealt = lambda df: df.repartition(parts, home)
+    dealt = lambda df: df.repartitionById(buckets, home)
     shared = dealt(ranked.mapInArrow(shared_ranks(buckets), SPARK_SCHEMA)).mapInArrow(keep_shared, FOUND)
-    light = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "row_hash", F.octet_length("text").alias("size"))
-    first = light.groupBy("row_hash", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("row_hash", "first")
-    copies = light.join(first, "row_hash").where("doc_id > first").select("doc_id", "row_hash").distinct()
-    frames = rows.mapInArrow(squeeze, "doc_id long, row_hash long, frame binary")
+    light = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "row_hash", F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("size"))
+    first = light.groupBy("text_hash", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = light.join(first, ["text_hash", "size"]).where("doc_id > first").select("doc_id", "row_hash").distinct()
+    frames = rows.mapInArrow(squeeze, "doc_id long, row_hash int, frame binary")
     key = ["doc_id", "row_hash"]
     windows = frames.join(shared.groupBy(*key).agg(F.collect_list("what").alias("what")), key).join(copies, key, "left_anti").select(*key, "frame", "what")
     later = dealt(windows.mapInArrow(windows_left(buckets), SPARK_SCHEMA)).mapInArrow(keep_later, FOUND)
     found = later.groupBy(*key).agg(F.collect_list("what").alias("what"))
     whole = frames.join(copies.withColumn("copy", F.lit(True)), key, "left").join(found, key, "left")
-    return whole.select(*key, "frame", "copy", "what").mapInArrow(cut_rows, "doc_id long, row_hash long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return whole.select(*key, "frame", "copy", "what").mapInArrow(cut_rows, "doc_id long, row_hash int, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
