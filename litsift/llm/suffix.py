@@ -131,10 +131,12 @@ MARK = U(1 << 47)
 RANK = MARK - U(1)
 #: Windows in a run, at most; positions of up to 2^40 fit beside them.
 RUN = 255
-# Entries of a bucket travel as (bucket, ids, row hashes, numbers of values of each, values, bytes of runs); bucket -1 holds findings.
+# Entries of a bucket travel as (bucket, ids, row hashes, numbers of values of each, values, bytes of runs); bucket -1 holds
+# findings, which then travel alike with the documents' buckets.
 SCHEMA = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("values", pa.binary()), ("text", pa.binary())])
 SPARK_SCHEMA = "bucket int, ids binary, hashes binary, counts binary, `values` binary, text binary"
-FOUND = "doc_id long, row_hash int, what binary"
+#: A finding that the row is a copy of a row with a smaller id.
+COPY = U((1 << 48) - 1)
 
 
 def to_bytes(x: np.ndarray) -> bytes:
@@ -181,27 +183,47 @@ def run_bytes(values: np.ndarray) -> np.ndarray:
     return (values & U(RUN)).astype(np.int64) + WHOLE - 1
 
 
-def findings(ids: np.ndarray, hashes: np.ndarray, what: np.ndarray) -> pa.RecordBatch:
-    """One row for each (id, hash) with all values that were found for it."""
-    order = np.lexsort((what, hashes, ids))
-    ids, hashes, what = ids[order], hashes[order], what[order]
-    cuts = np.flatnonzero(firsts(ids, hashes))
-    each = [to_bytes(w) for w in np.split(what, cuts[1:])] if len(what) else []
-    return pa.RecordBatch.from_arrays([pa.array(ids[cuts]), pa.array(hashes[cuts]), pa.array(each, pa.binary())], ["doc_id", "row_hash", "what"])
+def home(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document."""
+    return ((ids.astype(np.uint64) * A >> U(24)) % U(buckets)).astype(np.int32)
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], entries: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Passes findings on and gathers entries as (ids, hashes, values, bytes)."""
+def findings(found: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Findings (ids, hashes, values) as records by document bucket."""
+    if not found:
+        return
+    ids, hashes, values = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((hashes, ids))
+    ids, hashes, values = ids[order], hashes[order], values[order]
+    new = firsts(ids, hashes)
+    yield packed(home(ids, buckets), np.cumsum(new) - 1, values, ids[new], hashes[new])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], found: list[tuple], entries: list[tuple]) -> None:
+    """Gathers findings as (ids, hashes, values) and entries as (ids, hashes, values, bytes)."""
     for batch in batches:
         for bucket, ids, hashes, counts, values, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             i, h, n = integers(ids, np.int64), integers(hashes, np.int32), integers(counts, np.int32)
             entry = np.repeat(i, n), np.repeat(h, n), from_bytes(values)
             if bucket < 0:
-                yield findings(*entry)
+                found.append(entry)
             else:
                 entries.append((*entry, text))
 
 
+def by_row(records: pa.Table) -> dict[tuple[int, int], np.ndarray]:
+    """The findings for each (id, hash) of a document bucket."""
+    entries: list[tuple] = []
+    unpacked(iter(records.to_batches()), entries, entries)
+    if not entries:
+        return {}
+    ids, hashes, values = (np.concatenate(c) for c in list(zip(*entries, strict=True))[:3])
+    order = np.lexsort((values, hashes, ids))
+    ids, hashes, values = ids[order], hashes[order], values[order]
+    lead = np.flatnonzero(firsts(ids, hashes))
+    return dict(zip(zip(ids[lead].tolist(), hashes[lead].tolist(), strict=True), np.split(values, lead[1:]), strict=True))
+
+
 def shared_ranks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Entries of the windows' ranks of length 25; of a rank that a group has in several rows, one marked entry and a finding for each row."""
 
@@ -245,41 +267,49 @@ def shared_ranks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keep_shared(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For each row the ranks of length 25 that also stand in another row."""
-    entries: list[tuple] = []
-    yield from unpacked(batches, entries)
-    if not entries:
-        return
-    ids, hashes, values = (np.concatenate(c) for c in list(zip(*entries, strict=True))[:3])
-    ranks = values & RANK
-    order = np.argsort(ranks, kind="stable")
-    ids, hashes, ranks, marked = ids[order], hashes[order], ranks[order], (values[order] & MARK) > 0
-    lead = np.flatnonzero(firsts(ranks))
-    size = np.diff(np.append(lead, len(ranks)))
-    many = np.repeat((size > 1) | np.logical_or.reduceat(marked, lead), size)
-    if many.any():
-        yield findings(ids[many], hashes[many], ranks[many])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        entries: list[tuple] = []
+        unpacked(batches, found, entries)
+        if entries:
+            ids, hashes, values = (np.concatenate(c) for c in list(zip(*entries, strict=True))[:3])
+            ranks = values & RANK
+            order = np.argsort(ranks, kind="stable")
+            ids, hashes, ranks, marked = ids[order], hashes[order], ranks[order], (values[order] & MARK) > 0
+            lead = np.flatnonzero(firsts(ranks))
+            size = np.diff(np.append(lead, len(ranks)))
+            many = np.repeat((size > 1) | np.logical_or.reduceat(marked, lead), size)
+            found.append((ids[many], hashes[many], ranks[many]))
+        yield from findings(found, buckets)
+
+    return run
 
-def windows_left(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def windows_left(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Runs of windows of one shared rank of length 25, with their bytes; findings for runs that a smaller row of the group has too."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(frames: pa.Table, records: pa.Table) -> pa.Table:
         ids: list[int] = []
         hashes: list[int] = []
         shared: list[np.ndarray] = []
+        known = by_row(records)
         zstd = zstandard.ZstdDecompressor()
 
         def rows() -> Iterator[tuple[int, bytes]]:
-            for b in batches:
-                for i, h, frame, what in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                    ids.append(i)
-                    hashes.append(h)
-                    shared.append(np.unique(from_bytes(b"".join(what))))
-                    yield len(ids) - 1, zstd.decompress(frame)
+            for b in frames.to_batches():
+                for i, h, frame in zip(*(b[k].to_pylist() for k in ("doc_id", "row_hash", "frame")), strict=True):
+                    s = known.get((i, h))
+                    if s is not None and s[-1] != COPY:
+                        ids.append(i)
+                        hashes.append(h)
+                        shared.append(s)
+                        yield len(ids) - 1, zstd.decompress(frame)
 
         held: list[tuple[np.ndarray, ...]] = []
+        out: list[pa.RecordBatch] = []
 
         def sent() -> Iterator[pa.RecordBatch]:
             row, values, name, bucket = (np.concatenate([x[k] for x in held]) for k in range(4))
@@ -325,74 +355,92 @@ def windows_left(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 name = pair(name, pair(r[x], r[x + HALF]))
             held.append((row, values, name, (m[start] % U(buckets)).astype(np.int32), raw[spans(begin, run_bytes(values))].tobytes()))
             if sum(len(x[4]) for x in held) >= RUN_BYTES:
-                yield from sent()
+                out.extend(sent())
         if held:
-            yield from sent()
+            out.extend(sent())
+        return pa.Table.from_batches(out, SCHEMA)
 
     return run
 
 
-def keep_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keep_later(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs of windows that also start in a row of a smaller id, by their ranks of length 50."""
-    entries: list[tuple] = []
-    yield from unpacked(batches, entries)
-    if not entries:
-        return
-    ids, hashes, values = (np.concatenate(c) for c in list(zip(*entries, strict=True))[:3])
-    raw = np.frombuffer(b"".join(e[3] for e in entries), dtype=np.uint8)
-    entries.clear()
-    size, ends = (values & U(RUN)).astype(np.int64), np.cumsum(run_bytes(values))
-    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(raw), SEGMENT)), len(size)))
-    ranks = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # some runs at a time
-        begin = int(ends[a - 1]) if a else 0
-        r = ranks25(raw[begin : ends[b - 1]])
-        at = spans(ends[a:b] - run_bytes(values[a:b]) - begin, size[a:b])
-        ranks.append(pair(r[at], r[at + HALF]))
-    rank = np.concatenate(ranks)
-    owner = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((ids[owner], rank))
-    lead = np.flatnonzero(firsts(rank[order]))
-    later = np.empty(len(order), dtype=bool)
-    later[order] = ids[owner[order]] > np.repeat(ids[owner[order[lead]]], np.diff(np.append(lead, len(order))))
-    new = firsts(owner, later)
-    start = np.flatnonzero(new)
-    length = np.diff(np.append(start, len(later)))
-    start, length = start[later[start]], length[later[start]]
-    if len(start):
-        own = owner[start]
-        first_of = np.cumsum(size) - size
-        position = (values[own] >> U(8)) + (start - first_of[own]).astype(np.uint64)
-        yield findings(ids[own], hashes[own], (position << U(8)) | length.astype(np.uint64))
-
-
-def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    zstd = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([zstd.compress(x) for x in b.columns[-1].to_pylist()], pa.binary())], ["doc_id", "row_hash", "frame"])
-
-
-def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts without the bytes that removed windows cover; `copy` marks whole copies of a smaller row."""
-    zstd = zstandard.ZstdDecompressor()
-    for b in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for doc, h, frame, copy, what in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        entries: list[tuple] = []
+        unpacked(batches, found, entries)
+        if entries:
+            ids, hashes, values = (np.concatenate(c) for c in list(zip(*entries, strict=True))[:3])
+            raw = np.frombuffer(b"".join(e[3] for e in entries), dtype=np.uint8)
+            entries.clear()
+            size, ends = (values & U(RUN)).astype(np.int64), np.cumsum(run_bytes(values))
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(raw), SEGMENT)), len(size)))
+            ranks = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # some runs at a time
+                begin = int(ends[a - 1]) if a else 0
+                r = ranks25(raw[begin : ends[b - 1]])
+                at = spans(ends[a:b] - run_bytes(values[a:b]) - begin, size[a:b])
+                ranks.append(pair(r[at], r[at + HALF]))
+            rank = np.concatenate(ranks)
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((ids[owner], rank))
+            lead = np.flatnonzero(firsts(rank[order]))
+            later = np.empty(len(order), dtype=bool)
+            later[order] = ids[owner[order]] > np.repeat(ids[owner[order[lead]]], np.diff(np.append(lead, len(order))))
+            start = np.flatnonzero(firsts(owner, later))
+            length = np.diff(np.append(start, len(later)))
+            start, length = start[later[start]], length[later[start]]
+            own = owner[start]
+            position = (values[own] >> U(8)) + (start - (np.cumsum(size) - size)[own]).astype(np.uint64)
+            found.append((ids[own], hashes[own], (position << U(8)) | length.astype(np.uint64)))
+        yield from findings(found, buckets)
+
+    return run
+
+
+def copy_records(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from findings([(b.column(0).to_numpy(), b.column(1).to_numpy(), np.full(b.num_rows, COPY)) for b in batches], buckets)
+
+    return run
+
+
+def squeeze(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts as zstandard frames, with their document bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            bucket = home(b.column(0).fill_null(0).to_numpy(), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *b.columns[:-1], pa.array([zstd.compress(x) for x in b.columns[-1].to_pylist()], pa.binary())], ["bucket", "doc_id", "row_hash", "frame"])
+
+    return run
+
+
+CUT = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+
+
+def cut_rows(frames: pa.Table, records: pa.Table) -> pa.Table:
+    """The texts of a document bucket without the bytes that removed windows cover."""
+    zstd, known, parts = zstandard.ZstdDecompressor(), by_row(records), []
+    for b in frames.to_batches():
+        out: list[list] = [[] for _ in CUT]
+        for doc, h, frame in zip(*(b[k].to_pylist() for k in ("doc_id", "row_hash", "frame")), strict=True):
             raw = np.frombuffer(zstd.decompress(frame), dtype=np.uint8)
             gone = np.zeros(len(raw), dtype=bool)
-            if copy and len(raw) >= WHOLE:
+            runs = known.get((doc, h))
+            if runs is not None and runs[-1] == COPY:
                 gone[:] = True
-            elif what:
-                runs = from_bytes(b"".join(what))
+            elif runs is not None:
                 at = (runs >> U(8)).astype(np.int64)
                 edge = np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + run_bytes(runs), minlength=len(raw) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
-            kept = raw[~gone].tobytes()
-            spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-            for column, x in zip(out, (doc, h, len(raw), int(gone.sum()), spans, kept), strict=True):
+            n_spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
+            for column, x in zip(out, (doc, h, len(raw), int(gone.sum()), n_spans, raw[~gone].tobytes()), strict=True):
                 column.append(x)
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "row_hash", "n_bytes", "n_removed", "n_spans", "kept"])
+        parts.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, CUT, strict=True)], schema=CUT))
+    return pa.Table.from_batches(parts, CUT)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -401,19 +449,16 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     text = utf8("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("row_hash"), text.alias("text"))
     ranked = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WHOLE))
-    home = F.when(F.col("bucket") < 0, F.pmod(F.hash("ids"), F.lit(buckets))).otherwise(F.col("bucket"))
-    dealt = lambda df: df.repartitionById(buckets, home)
-    shared = dealt(ranked.mapInArrow(shared_ranks(buckets), SPARK_SCHEMA)).mapInArrow(keep_shared, FOUND)
-    light = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "row_hash", F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("size"))
+    at = F.when(F.col("bucket") < 0, F.pmod(F.hash("ids"), F.lit(buckets))).otherwise(F.col("bucket"))
+    dealt = lambda df: df.repartitionById(buckets, at)
+    shared = dealt(ranked.mapInArrow(shared_ranks(buckets), SPARK_SCHEMA)).mapInArrow(keep_shared(buckets), SPARK_SCHEMA)
+    light = ranked.select("doc_id", "row_hash", F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("size"))
     first = light.groupBy("text_hash", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = light.join(first, ["text_hash", "size"]).where("doc_id > first").select("doc_id", "row_hash").distinct()
-    frames = rows.mapInArrow(squeeze, "doc_id long, row_hash int, frame binary")
-    key = ["doc_id", "row_hash"]
-    windows = frames.join(shared.groupBy(*key).agg(F.collect_list("what").alias("what")), key).join(copies, key, "left_anti").select(*key, "frame", "what")
-    later = dealt(windows.mapInArrow(windows_left(buckets), SPARK_SCHEMA)).mapInArrow(keep_later, FOUND)
-    found = later.groupBy(*key).agg(F.collect_list("what").alias("what"))
-    whole = frames.join(copies.withColumn("copy", F.lit(True)), key, "left").join(found, key, "left")
-    return whole.select(*key, "frame", "copy", "what").mapInArrow(cut_rows, "doc_id long, row_hash int, n_bytes long, n_removed long, n_spans long, kept binary")
+    copies = light.join(first, ["text_hash", "size"]).where("doc_id > first").select("doc_id", "row_hash").mapInArrow(copy_records(buckets), SPARK_SCHEMA)
+    frames = rows.mapInArrow(squeeze(buckets), "bucket int, doc_id long, row_hash int, frame binary").groupBy("bucket")
+    left = frames.cogroup(shared.unionByName(copies).groupBy("bucket")).applyInArrow(windows_left(buckets), SPARK_SCHEMA)
+    later = dealt(left).mapInArrow(keep_later(buckets), SPARK_SCHEMA)
+    return frames.cogroup(later.unionByName(copies).groupBy("bucket")).applyInArrow(cut_rows, "doc_id long, row_hash int, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
