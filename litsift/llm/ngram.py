@@ -3,13 +3,14 @@
 A document's set holds its distinct word shingles, as 64-bit hashes. Documents with equal sets are one node.
 
 1. Tokens are ordered from rare to frequent: frequent ones are counted over all documents, the rest come in hash order.
-   Two sets of similarity t share a token among the first n - ceil(t n) + 1 tokens of each (its prefix), so only
-   prefixes are dealt out, and only tokens that several nodes of fitting sizes hold go on. This is the matrix.
+   Two sets of similarity t share k tokens among the first n - ceil(t n) + k tokens of each (its prefix), with k by the
+   smaller size, so only prefixes are dealt out. Tokens that several nodes of fitting sizes hold, of nodes that have
+   enough such tokens to be linked at all, make the matrix.
 2. Partition: each node is compared with the one it shares most prefix tokens with, of those that lead a token; nodes
    that are linked make components, and components are dealt into groups of about MEMBERS nodes.
 3. Each group stores the union of its members' tokens. A node is held against every group of another component that the
-   matrix shows beside it: |query n union| bounds the overlap with any member, and only groups whose bound reaches the
-   threshold are opened and their members compared exactly.
+   matrix shows beside it in k tokens: |query n union| bounds the overlap with any member, and only groups whose bound
+   reaches the threshold are opened and their members compared exactly.
 4. Links of steps 2 and 3 make the final components. Nothing is compared within a component that is linked already, so a
    large group of near copies costs its size and not its square; no link between components is lost.
 
@@ -161,11 +162,16 @@ def summed(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def needed(size: int, percent: int) -> int:
+def needed(size: int | np.ndarray, percent: int) -> int | np.ndarray:
     """The smallest overlap that a set of this size has with any set it is linked with."""
     return -(-percent * size // 100)
 
 
+def shared_least(size: int | np.ndarray) -> int | np.ndarray:
+    """Tokens of its prefix that a set shares with any set it is linked with, if the smaller of both has this size."""
+    return 1 + size // 8
+
+
 def prefixes(n: int, percent: int, buckets: int, hot: np.ndarray, order: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Prefix tokens of every set as records by token; hot: sorted frequent tokens, order: their places from rare to frequent."""
 
@@ -196,7 +202,7 @@ def prefixes(n: int, percent: int, buckets: int, hot: np.ndarray, order: np.ndar
             seen.add(node)
             if len(seen) > ENTRIES:
                 seen.clear()
-            p = len(t) - needed(len(t), percent) + 1
+            p = len(t) - needed(len(t), percent) + shared_least(len(t))
             at = np.minimum(np.searchsorted(hot, t), max(0, len(hot) - 1))
             often = hot[at] == t if len(hot) else np.zeros(len(t), dtype=bool)
             rare = t[~often][:p]
@@ -215,7 +221,7 @@ def prefixes(n: int, percent: int, buckets: int, hot: np.ndarray, order: np.ndar
 
 
 def several(percent: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The matrix's rows (token, node, size): tokens that several nodes of fitting sizes have in their prefixes."""
+    """Tokens that several nodes of fitting sizes have in their prefixes, as records by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -235,7 +241,35 @@ def several(percent: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
         keep = spread.copy()
         keep[1:] |= beside
         keep[:-1] |= beside
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(node[keep]), pa.array(size[keep].astype(np.int32))], ["token", "node", "size"])
+        token, node, size = token[keep], node[keep], size[keep].astype(np.int32)
+        order = np.argsort(node, kind="stable")
+        token, node, size = token[order], node[order], size[order]
+        new = firsts(node)
+        yield packed((node.view(np.uint64) % U(buckets)).astype(np.int32), np.cumsum(new) - 1, token, node[new], size[new])
+
+    return run
+
+
+def strong(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The matrix's rows (token, node, size), of nodes that have enough tokens beside others to be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            for ids, hashes, counts, values in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                n = integers(counts, np.int32)
+                parts.append((from_bytes(values), np.repeat(integers(ids, np.int64), n), np.repeat(integers(hashes, np.int32), n)))
+        if not parts:
+            return
+        token, node, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((token, node))
+        token, node, size = token[order], node[order], size[order]
+        new = firsts(node, token)  # a frequent token's node may come from several tasks
+        token, node, size = token[new], node[new], size[new].astype(np.int64)
+        lead = np.flatnonzero(firsts(node))
+        count = np.diff(np.append(lead, len(node)))
+        enough = np.repeat(count >= shared_least(needed(size[lead], percent)), count)
+        yield pa.RecordBatch.from_arrays([pa.array(token[enough].view(np.int64)), pa.array(node[enough]), pa.array(size[enough].astype(np.int32))], ["token", "node", "size"])
 
     return run
 
@@ -335,7 +369,8 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
     buckets = n_partitions(spark)
     hot, order = frequent(spark, surveyed)
     dealt = rows.select("doc_id", "text").mapInArrow(prefixes(n, percent, buckets, hot, order), SPARK_SCHEMA).repartitionById(buckets, F.pmod("bucket", F.lit(buckets)))
-    matrix = cut(dealt.mapInArrow(several(percent, buckets), "token long, node long, size int"))
+    beside = dealt.mapInArrow(several(percent, buckets), SPARK_SCHEMA).repartitionById(buckets, F.col("bucket"))
+    matrix = cut(beside.mapInArrow(strong(percent), "token long, node long, size int"))
     nodes = matrix.select("node").distinct()
     place = surveyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = place.join(nodes, "node").select("doc_id").distinct()
@@ -362,7 +397,8 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
     cells = cells.join(mixed, "token")
     queries = rowed.join(mixed, "token").select("token", "node", "size", F.col("comp").alias("own"))
     fits = (F.col("own") < F.col("comp")) & (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size"))
-    beside = queries.join(cells, "token").where(fits).select("node", "comp", "sub").distinct()
+    k = 1 + F.floor(F.ceil(percent * F.col("size") / 100) / 8)
+    beside = queries.join(cells, "token").where(fits).groupBy("node", "size", "comp", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node", "comp", "sub")
     members = sets.join(part, "node").groupBy("comp", "sub").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
     asked = beside.join(sets, "node").join(members, ["comp", "sub"]).select("node", "tokens", "comp", "sub", "members")
     return stars.union(asked.mapInArrow(open_groups(percent), "a long, b long"))
