@@ -36,7 +36,7 @@ from litsift.llm.records import SPARK_SCHEMA, A, B, U, firsts, from_bytes, integ
 CHUNK, ENTRIES = 1 << 19, 3_000_000
 #: Tokens that a task holds LOCAL times or more among ENTRIES are counted for the order; of those, tokens with one
 #: HOT_SHARE-th of all tokens or more count as frequent, so there are at most HOT_SHARE of them (8 MB).
-LOCAL, HOT_SHARE = 4, 1_000_000
+LOCAL, HOT_SHARE = 2, 1_000_000
 MEMBERS = 16
 LOW48 = U((1 << 48) - 1)
 SPACE = np.zeros(256, dtype=bool)
@@ -129,7 +129,7 @@ def survey(n: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             tokens, counts = tokens[often], counts[often]
             bucket = tokens % U(buckets)
             for x in np.unique(bucket):
-                for column, y in zip(out, (None, None, None, int(x), tokens[bucket == x].tobytes() + counts[bucket == x].astype(np.int64).tobytes()), strict=True):
+                for column, y in zip(out, (None, None, None, int(x), tokens[bucket == x].tobytes() + counts[bucket == x].astype(np.int32).tobytes()), strict=True):
                     column.append(y)
             rows.clear()
             held.clear()
@@ -152,11 +152,12 @@ def summed(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     """Tokens (as 64-bit integers) whose counts reach `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x, dtype=np.int64).reshape(2, -1) for b in batches for x in b.column(0).to_pylist()]
+        parts = [x for b in batches for x in b.column(0).to_pylist()]
         if parts:
-            both = np.concatenate(parts, axis=1)
-            tokens, at = np.unique(both[0].view(np.uint64), return_inverse=True)
-            counts = np.bincount(at, weights=both[1]).astype(np.int64)
+            all_tokens = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 12) for x in parts])
+            all_counts = np.concatenate([np.frombuffer(x, np.int32, offset=len(x) // 12 * 8) for x in parts])
+            tokens, at = np.unique(all_tokens, return_inverse=True)
+            counts = np.bincount(at, weights=all_counts).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[counts >= least].view(np.int64)), pa.array(counts[counts >= least])], ["token", "n"])
 
     return run
@@ -251,7 +252,10 @@ def several(percent: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def strong(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The matrix's rows (token, node, size), of nodes that have enough tokens beside others to be linked."""
+    """The matrix's rows (token, node, size, most), of nodes that have enough tokens beside others to be linked.
+
+    The prefix tokens of a node that no other has are in no overlap: `most` is the size without them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -268,8 +272,11 @@ def strong(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         token, node, size = token[new], node[new], size[new].astype(np.int64)
         lead = np.flatnonzero(firsts(node))
         count = np.diff(np.append(lead, len(node)))
-        enough = np.repeat(count >= shared_least(needed(size[lead], percent)), count)
-        yield pa.RecordBatch.from_arrays([pa.array(token[enough].view(np.int64)), pa.array(node[enough]), pa.array(size[enough].astype(np.int32))], ["token", "node", "size"])
+        own = size[lead]
+        most = own - (own - needed(own, percent) + shared_least(own) - count)
+        enough = np.repeat((count >= shared_least(needed(own, percent))) & (most >= needed(own, percent)), count)
+        columns = token.view(np.int64), node, size.astype(np.int32), np.repeat(most, count).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(c[enough]) for c in columns], ["token", "node", "size", "most"])
 
     return run
 
@@ -370,7 +377,7 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
     hot, order = frequent(spark, surveyed)
     dealt = rows.select("doc_id", "text").mapInArrow(prefixes(n, percent, buckets, hot, order), SPARK_SCHEMA).repartitionById(buckets, F.pmod("bucket", F.lit(buckets)))
     beside = dealt.mapInArrow(several(percent, buckets), SPARK_SCHEMA).repartitionById(buckets, F.col("bucket"))
-    matrix = cut(beside.mapInArrow(strong(percent), "token long, node long, size int"))
+    matrix = cut(beside.mapInArrow(strong(percent), "token long, node long, size int, most int"))
     nodes = matrix.select("node").distinct()
     place = surveyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = place.join(nodes, "node").select("doc_id").distinct()
@@ -378,8 +385,8 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
     found = packed_texts.join(wanted, "doc_id", "left_semi").select("frame").mapInArrow(sets_of(n), "node long, tokens binary")
     sets = cut(found.dropDuplicates(["node"]))
 
-    # Partition: of the nodes that lead a token, the one that shares most tokens.
-    lead = matrix.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("token", "b")
+    # Partition: of the nodes that lead a token, having fewest tokens of their own, the one that shares most tokens.
+    lead = matrix.groupBy("token").agg(F.min_by("node", F.struct(F.col("size") - F.col("most"), "node")).alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
     shared = matrix.join(lead, "token").where("node <> b").groupBy("node", "b").agg(F.count("*").alias("n"))
     best = shared.groupBy("node").agg(F.max_by("b", F.struct("n", "b")).alias("b")).withColumnRenamed("node", "a")
     named = lambda side, tokens: sets.select(F.col("node").alias(side), F.col("tokens").alias(tokens))
@@ -392,11 +399,12 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
 
     # Token-group matrix: queries against groups of other components that share a prefix token and fit in size.
     rowed = matrix.join(part, "node")
-    cells = rowed.groupBy("token", "comp", "sub").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    cells = rowed.groupBy("token", "comp", "sub").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("most").alias("reach"))
     mixed = cells.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("token")
     cells = cells.join(mixed, "token")
-    queries = rowed.join(mixed, "token").select("token", "node", "size", F.col("comp").alias("own"))
-    fits = (F.col("own") < F.col("comp")) & (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size"))
+    queries = rowed.join(mixed, "token").select("token", "node", "size", "most", F.col("comp").alias("own"))
+    least = F.ceil(percent * (F.col("size") + F.greatest("low", F.ceil(percent * F.col("size") / 100))) / (100 + percent))  # overlap with the smallest member that fits
+    fits = (least <= F.least("most", "reach")) & (F.col("own") < F.col("comp")) & (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size"))
     k = 1 + F.floor(F.ceil(percent * F.col("size") / 100) / 8)
     beside = queries.join(cells, "token").where(fits).groupBy("node", "size", "comp", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node", "comp", "sub")
     members = sets.join(part, "node").groupBy("comp", "sub").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
