@@ -1,20 +1,59 @@
-"""The corpus pipeline: documents through a chain of operators to packed sequences."""
+"""The corpus pipeline: documents through five operators to packed sequences.
+
+Each stage works on all rows that its predecessor kept. All but the last return the columns of their input; text and
+n_chars follow what a stage cuts. Rows with a null id are kept by every stage; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from litsift.llm import packing
+from litsift.llm import classifier, linededup, ngram, packing, suffix
+from litsift.llm.common import utf8
 from litsift.llm.queries import tokenizer_path
 
 
+def shortened(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns, with n_chars of the text as it is now."""
+    return docs.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns))
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shortened(linededup.drop_lines(docs), docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each component; of rows with one id, all."""
+    kept = ngram.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what a smaller document holds too; characters that a cut splits become U+FFFD."""
+    cut = suffix.cut_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("row_hash").alias("cut_hash"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")).dropDuplicates(["cut_id", "cut_hash"])
+    joined = docs.withColumn("own_hash", F.hash(utf8("text"))).join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("own_hash") == F.col("cut_hash")), "left")
+    return shortened(joined.withColumn("text", F.coalesce("kept_text", "text")), docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("best-fit packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", classify),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("suffix-array dedup", cut_repeats),
+    ("best-fit packing", pack),
+]
 
 #: SQL can't express these stages.
 ORACLE_SQL: str | None = None

@@ -156,3 +156,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = score(docs, train(docs, labels))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score 0.5 or more, with all their columns, whatever their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    kept = score(plain, train(docs, labels), names).where("score >= 0.5")
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -8,7 +8,7 @@ A document's set holds its distinct word shingles, as 64-bit hashes. Documents w
    enough such tokens to be linked at all, make the matrix.
 2. Partition: each node is compared with the one it shares most prefix tokens with, of those that lead a token; nodes
    that are linked make components, and components are dealt into groups of about MEMBERS nodes.
-3. Each group stores the union of its members' tokens. A node is held against every group of another component that the
+3. Each group stores the union of its members' tokens. A node is held against every group of a larger component that the
    matrix shows beside it in k tokens: |query n union| bounds the overlap with any member, and only groups whose bound
    reaches the threshold are opened and their members compared exactly.
 4. Links of steps 2 and 3 make the final components. Nothing is compared within a component that is linked already, so a
@@ -37,7 +37,7 @@ CHUNK, ENTRIES = 1 << 19, 3_000_000
 #: Tokens that a task holds LOCAL times or more among ENTRIES are counted for the order; of those, tokens with one
 #: HOT_SHARE-th of all tokens or more count as frequent, so there are at most HOT_SHARE of them (8 MB).
 LOCAL, HOT_SHARE = 2, 1_000_000
-MEMBERS = 16
+MEMBERS = 32
 LOW48 = U((1 << 48) - 1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -394,10 +394,11 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
     stars = cut(pairs.mapInArrow(check_pairs(percent), "a long, b long"))
     comp = components(stars)
     per = comp.groupBy("comp").agg(F.count("*").alias("n"))
-    grouped = comp.join(per, "comp").select("node", "comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MEMBERS)).cast("int").alias("sub"))
-    part = cut(nodes.join(grouped, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("sub", F.lit(0)).alias("sub")))
+    grouped = comp.join(per, "comp").select("node", F.struct("n", "comp").alias("comp"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MEMBERS)).cast("int").alias("sub"))
+    alone = F.struct(F.lit(1).cast("long").alias("n"), F.col("node").alias("comp"))
+    part = cut(nodes.join(grouped, "node", "left").select("node", F.coalesce("comp", alone).alias("comp"), F.coalesce("sub", F.lit(0)).alias("sub")))
 
-    # Token-group matrix: queries against groups of other components that share a prefix token and fit in size.
+    # Token-group matrix: queries against groups of larger components that share a prefix token and fit in size.
     rowed = matrix.join(part, "node")
     cells = rowed.groupBy("token", "comp", "sub").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("most").alias("reach"))
     mixed = cells.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("token")
