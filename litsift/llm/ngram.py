@@ -7,9 +7,10 @@ A document's set holds its distinct word shingles, as 64-bit hashes. Documents w
    smaller size, so only prefixes are dealt out. Tokens that several nodes of fitting sizes hold, of nodes that have
    enough such tokens to be linked at all, make the matrix.
 2. Partition: each node is compared with the one it shares most prefix tokens with, of those that lead a token; nodes
-   that are linked make components, and components are dealt into groups of about MEMBERS nodes.
-3. Each group stores the union of its members' tokens. A node is held against every group of a larger component that the
-   matrix shows beside it in k tokens: |query n union| bounds the overlap with any member, and only groups whose bound
+   that are linked make components. The nodes of a component, and the single nodes that follow one leader, are dealt into
+   groups of about MEMBERS.
+3. Each group stores the union of its members' tokens. A node is held against every group with members of larger
+   components that the matrix shows beside it in k tokens: |query n union| bounds the overlap with any member, and only groups whose bound
    reaches the threshold are opened and their members compared exactly.
 4. Links of steps 2 and 3 make the final components. Nothing is compared within a component that is linked already, so a
    large group of near copies costs its size and not its square; no link between components is lost.
@@ -33,7 +34,7 @@ from litsift.llm.common import cut, n_partitions, utf8
 from litsift.llm.records import SPARK_SCHEMA, A, B, U, firsts, from_bytes, integers, packed, pair, to_bytes
 
 #: Bytes of text that a task hashes at once, and entries that it gathers before it sends them; they bound its memory only.
-CHUNK, ENTRIES = 1 << 19, 3_000_000
+CHUNK, ENTRIES, PREFIX_ENTRIES = 1 << 19, 3_000_000, 1_500_000
 #: Tokens that a task holds LOCAL times or more among ENTRIES are counted for the order; of those, tokens with one
 #: HOT_SHARE-th of all tokens or more count as frequent, so there are at most HOT_SHARE of them (8 MB).
 LOCAL, HOT_SHARE = 2, 1_000_000
@@ -212,7 +213,7 @@ def prefixes(n: int, percent: int, buckets: int, hot: np.ndarray, order: np.ndar
             nodes.append(node)
             sizes.append(len(t))
             total += p
-            if total >= ENTRIES:
+            if total >= PREFIX_ENTRIES:
                 yield from sent()
                 total = 0
         if held:
@@ -321,20 +322,20 @@ def check_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def open_groups(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of queries with members of the groups whose bound they reach; rows (node, tokens, comp, sub, members)."""
+    """Links of queries with members, of larger components, of the groups whose bound they reach; rows (node, tokens, n, comp, g, sub, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, union, members = None, np.empty(0, np.uint64), []
         for b in batches:
             out: list[tuple[int, int]] = []
-            for k, (node, tokens, comp, sub) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)):
-                if (comp, sub) != last:
-                    last = (comp, sub)
-                    members = [(m["node"], from_bytes(m["tokens"])) for m in b.column(4)[k].as_py()]
-                    union = np.unique(np.concatenate([t for _, t in members]))
+            for k, (node, tokens, n, comp, g, sub) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)):
+                if (g, sub) != last:
+                    last = (g, sub)
+                    members = [((m["n"], m["comp"]), m["node"], from_bytes(m["tokens"])) for m in b.column(6)[k].as_py()]
+                    union = np.unique(np.concatenate([t for _, _, t in members]))
                 x = from_bytes(tokens)
                 if overlap(x, union) >= needed(len(x), percent):
-                    out += [(node, other) for other, y in members if linked(x, y, percent)]
+                    out += [(node, other) for key, other, y in members if key > (n, comp) and linked(x, y, percent)]
             a, c = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
@@ -388,28 +389,31 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
     # Partition: of the nodes that lead a token, having fewest tokens of their own, the one that shares most tokens.
     lead = matrix.groupBy("token").agg(F.min_by("node", F.struct(F.col("size") - F.col("most"), "node")).alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
     shared = matrix.join(lead, "token").where("node <> b").groupBy("node", "b").agg(F.count("*").alias("n"))
-    best = shared.groupBy("node").agg(F.max_by("b", F.struct("n", "b")).alias("b")).withColumnRenamed("node", "a")
+    best = cut(shared.groupBy("node").agg(F.max_by("b", F.struct("n", "b")).alias("b")).withColumnRenamed("node", "a"))
     named = lambda side, tokens: sets.select(F.col("node").alias(side), F.col("tokens").alias(tokens))
     pairs = best.join(named("a", "x"), "a").join(named("b", "y"), "b").select("a", "b", "x", "y")
     stars = cut(pairs.mapInArrow(check_pairs(percent), "a long, b long"))
     comp = components(stars)
     per = comp.groupBy("comp").agg(F.count("*").alias("n"))
-    grouped = comp.join(per, "comp").select("node", F.struct("n", "comp").alias("comp"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MEMBERS)).cast("int").alias("sub"))
+    in_comp = comp.join(per, "comp").select("node", F.struct("n", "comp").alias("comp"))
     alone = F.struct(F.lit(1).cast("long").alias("n"), F.col("node").alias("comp"))
-    part = cut(nodes.join(grouped, "node", "left").select("node", F.coalesce("comp", alone).alias("comp"), F.coalesce("sub", F.lit(0)).alias("sub")))
+    near = nodes.join(in_comp, "node", "left").join(best.withColumnRenamed("a", "node"), "node", "left")
+    near = near.select("node", F.coalesce("comp", alone).alias("comp"), F.coalesce(F.col("comp.comp"), F.xxhash64(F.coalesce("b", "node"))).alias("g"))
+    groups = near.groupBy("g").agg(F.count("*").alias("held"))
+    part = cut(near.join(groups, "g").select("node", "comp", "g", F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / MEMBERS)).cast("int").alias("sub")))
 
-    # Token-group matrix: queries against groups of larger components that share a prefix token and fit in size.
+    # Token-group matrix: queries against groups with members of larger components that share prefix tokens and fit in size.
     rowed = matrix.join(part, "node")
-    cells = rowed.groupBy("token", "comp", "sub").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("most").alias("reach"))
-    mixed = cells.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("token")
-    cells = cells.join(mixed, "token")
+    cells = rowed.groupBy("token", "g", "sub").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("most").alias("reach"), F.min("comp").alias("bottom"), F.max("comp").alias("top"))
+    mixed = cells.groupBy("token").agg(F.min("bottom").alias("p"), F.max("top").alias("q")).where("p < q").select("token")
+    cells = cells.join(mixed, "token").drop("bottom")
     queries = rowed.join(mixed, "token").select("token", "node", "size", "most", F.col("comp").alias("own"))
     least = F.ceil(percent * (F.col("size") + F.greatest("low", F.ceil(percent * F.col("size") / 100))) / (100 + percent))  # overlap with the smallest member that fits
-    fits = (least <= F.least("most", "reach")) & (F.col("own") < F.col("comp")) & (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size"))
+    fits = (least <= F.least("most", "reach")) & (F.col("own") < F.col("top")) & (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size"))
     k = 1 + F.floor(F.ceil(percent * F.col("size") / 100) / 8)
-    beside = queries.join(cells, "token").where(fits).groupBy("node", "size", "comp", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node", "comp", "sub")
-    members = sets.join(part, "node").groupBy("comp", "sub").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
-    asked = beside.join(sets, "node").join(members, ["comp", "sub"]).select("node", "tokens", "comp", "sub", "members")
+    beside = queries.join(cells, "token").where(fits).groupBy("node", "own", "size", "g", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node", "own", "g", "sub")
+    members = sets.join(part, "node").groupBy("g", "sub").agg(F.collect_list(F.struct(F.col("comp.n").alias("n"), F.col("comp.comp").alias("comp"), "node", "tokens")).alias("members"))
+    asked = beside.join(sets, "node").join(members, ["g", "sub"]).select("node", "tokens", F.col("own.n"), F.col("own.comp"), "g", "sub", "members")
     return stars.union(asked.mapInArrow(open_groups(percent), "a long, b long"))
 
 
