@@ -1,9 +1,9 @@
 """Exact top-k search by inner product: the threshold algorithm over sorted per-dimension lists.
 
 Queries and candidates are dealt into blocks of bounded size; a cell holds one block of each. In a cell every dimension
-has its list of candidates sorted by value. A query reads all its lists from the better end, to growing depths; whatever
-turns up is scored in full, and reading stops when the bound on unseen candidates (the sum of each list's contribution at
-the current depth) is below the k-th best score. The best of all cells are merged by query.
+has its list of candidates sorted by value. The queries of a cell read the lists from both ends, to growing depths;
+whatever turns up is scored in full, and a query stops reading when the bound on unseen candidates (the sum of each
+list's contribution at the current depth) is below the k-th best score. The best of all cells are merged by query.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no part; shorter vectors count as padded
 with zeros; ties go to the smaller id; a query's own id is left out, repeated rows of other ids count one by one; with
@@ -29,37 +29,42 @@ class Lists:
         self.ids, self.vectors = ids, vectors
         self.up = np.argsort(vectors, axis=0, kind="stable")
         self.down = np.argsort(-vectors, axis=0, kind="stable")
+        self.up_values, self.down_values = np.sort(vectors, axis=0), -np.sort(-vectors, axis=0)
 
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the k best, best first, ties by id."""
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query positions and scores of the k best, best first, ties by id.
+
+        All queries read the lists together: what turns up at a depth is scored in full for those that still read.
+        """
         n = len(self.ids)
-        dims = np.nonzero(query)[0]
-        lists = np.where(query[dims] > 0, self.down[:, dims], self.up[:, dims])
-        weights = query[dims]
-        seen = np.zeros(n, dtype=bool)
-        best, scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        depth = 16
-        while True:
-            depth = min(depth, n)
+        none = np.empty(0, dtype=np.int64), np.empty(0, dtype=queries.dtype)
+        best = [none] * len(queries)
+        kth = np.full(len(queries), -np.inf)
+        rising, falling = np.maximum(queries, 0), np.minimum(queries, 0)
+        reading, seen, depth = np.arange(len(queries)), np.zeros(n, dtype=bool), 1
+        while len(reading):
+            depth = min(4 * depth, n)
             fresh = np.zeros(n, dtype=bool)
-            if len(dims) and depth < n:
-                fresh[lists[:depth].ravel()] = True
-            else:
-                fresh[:] = True
+            fresh[self.down[:depth]] = fresh[self.up[:depth]] = True
             fresh &= ~seen
             seen |= fresh
-            at = np.nonzero(fresh)[0]
-            at = at[self.ids[at] != own]
-            best = np.concatenate([best, at])
-            scores = np.concatenate([scores, (self.vectors[at] @ query).astype(np.int64)])
-            keep = np.lexsort((self.ids[best], -scores))[:k]
-            best, scores = best[keep], scores[keep]
-            if depth == n or not len(dims):
-                return best, scores
-            bound = (self.vectors[lists[depth - 1], dims] * weights).sum()
-            if len(best) == k and bound < scores[-1]:
-                return best, scores
-            depth *= 4
+            at = np.flatnonzero(fresh)
+            scores = queries[reading] @ self.vectors[at].T
+            worst = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
+            scores[own[reading][:, None] == self.ids[at][None]] = worst
+            low = np.partition(scores, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(reading), -np.inf)
+            for row, i in enumerate(reading):
+                good = np.flatnonzero((scores[row] >= max(low[row], kth[i])) & (scores[row] > worst))
+                places, values = np.concatenate([best[i][0], at[good]]), np.concatenate([best[i][1], scores[row, good]])
+                keep = np.lexsort((self.ids[places], -values))[:k]
+                best[i] = places[keep], values[keep]
+                if len(keep) == k:
+                    kth[i] = values[keep[-1]]
+            if depth == n:
+                break
+            bound = rising[reading] @ self.down_values[depth - 1] + falling[reading] @ self.up_values[depth - 1]
+            reading = reading[bound >= kth[reading]]
+        return best
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
@@ -89,9 +94,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
             if float(np.abs(vectors).max(initial=0)) * float(np.abs(asked).max(initial=0)) * max(1, dims) < 2**52:  # doubles are exact
                 vectors, asked = vectors.astype(float), asked.astype(float)
             lists = Lists(ids, vectors)
-            for i, q in zip(own, asked, strict=True):
-                at, scores = lists.top(i, q, k)
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at], "score": scores}))
+            for i, (at, scores) in zip(own, lists.top(own, asked, k), strict=True):
+                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at], "score": scores.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(cell, "query_id long, vec_id long, score long")
