@@ -234,11 +234,11 @@ def review_batch(spark, d):
     return active.create_review_batch(docs, active.select_query_batch(docs, "p", "doc_id"), "p", "doc_id").select("doc_id", "model_probability", "model_prediction")
 
 
-@query("SELECT l.doc_id, CASE WHEN l.doc_id % 3 = 0 THEN CASE WHEN l.doc_id % 2 = 0 THEN l.toxic END ELSE l.quality END AS human_label FROM labels l")
+@query("SELECT doc_id, coalesce(human_label, -1) AS human_label FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN toxic END ELSE quality END AS human_label FROM labels)")
 def merge_labels(spark, d):
     rows = read(spark, d, "labels").select("doc_id", F.col("quality").alias("human_label"))
     batch = read(spark, d, "labels").where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("toxic")).alias("human_label"))
-    return active.merge_human_labels(rows, batch, "doc_id")
+    return active.merge_human_labels(rows, batch, "doc_id").withColumn("human_label", F.coalesce("human_label", F.lit(-1)))  # -1: cleared
 
 
 @query(f"SELECT doc_id, {P_SQL} > 0.3 AND {P_SQL} < 0.7 AS uncertain FROM documents")
