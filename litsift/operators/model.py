@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsift.config import Config, default_config
@@ -49,6 +49,18 @@ class ScreeningModel:
     models: list[PipelineModel]
     embedding_col: str | None = None
 
+    def save(self, path: str) -> None:
+        """One folder for each label's pipeline, and the name of the vector column."""
+        spark = SparkSession.active()
+        for i, m in enumerate(self.models):
+            m.write().overwrite().save(f"{path}/label_{i}")
+        spark.createDataFrame([(len(self.models), self.embedding_col)], "n int, embedding_col string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, path: str) -> ScreeningModel:
+        about = SparkSession.active().read.parquet(f"{path}/about").first()
+        return cls([PipelineModel.load(f"{path}/label_{i}") for i in range(about["n"])], about["embedding_col"])
+
     def logits(self, df: DataFrame) -> DataFrame:
         """Adds logits (array of double, one for each label)."""
         out, names = inputs(df, self.embedding_col), []

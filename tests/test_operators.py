@@ -183,7 +183,7 @@ def test_sources(spark, tmp_path):
     assert back[0]["b"] == "x<&>" and back[0]["a"] == 1 and back[1]["c"] is None
 
 
-def test_model_learns(spark):
+def test_model_learns(spark, tmp_path):
     rows = [(i, "good math paper" if i % 2 else "cooking recipe book", "en", float(i), i % 2) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, t string, lang string, x double, y int")
     spec = features.ColumnSpec(("t",), ("lang",), ("x",), "y")
@@ -191,3 +191,6 @@ def test_model_learns(spark):
     fitted_model = model.fit(ready, 1, default_config, 64)
     out = fitted_model.predict(ready, temperature=model.calibrate(fitted_model, ready))
     assert out.where("predictions[0] = y").count() == 60
+    fitted_model.save(str(tmp_path / "model"))
+    again = model.ScreeningModel.load(str(tmp_path / "model")).predict(ready)
+    assert again.where("predictions[0] = y").count() == 60
