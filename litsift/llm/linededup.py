@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Lines of at least so many tokens also have a template that leaves their last third open.
 GENERAL_TOKENS = 8
 MIN_DOCS = 5
+#: Templates of at least so many fixed tokens recur from LONG_MIN_DOCS documents on: no chance repeats so long a line.
+LONG_TOKENS = 20
+LONG_MIN_DOCS = 2
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -34,34 +37,47 @@ def whole_key(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), tokens)
 
 
+def open_tokens(tokens: Column) -> Column:
+    """The fixed part of the template that leaves the last third open."""
+    n = F.size(tokens)
+    return F.slice(tokens, F.lit(1), n - F.floor(n / 3).cast("int"))
+
+
 def open_key(tokens: Column) -> Column:
     """The template that leaves the last third open; null for short lines."""
     n = F.size(tokens)
-    return F.when(n >= GENERAL_TOKENS, F.xxhash64(n, F.lit("open"), F.slice(tokens, F.lit(1), n - F.floor(n / 3).cast("int"))))
+    return F.when(n >= GENERAL_TOKENS, F.xxhash64(n, F.lit("open"), open_tokens(tokens)))
+
+
+def is_long(tokens: Column) -> Column:
+    """Whether many tokens are fixed; masked digits are not."""
+    return F.size(F.filter(tokens, lambda t: ~F.contains(t, F.lit("0")))) >= LONG_TOKENS
 
 
 def keyed(text: Column) -> Column:
-    """For each line of a text its two template keys; null for blank lines."""
+    """For each line of a text its two template keys, and whether each is long; null for blank lines."""
     masked = F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "0")
     each = F.transform(lines_of(masked), tokens_of)
-    return F.transform(each, lambda t: F.when(F.size(t) > 0, F.struct(whole_key(t).alias("a"), open_key(t).alias("b"))))
+    return F.transform(each, lambda t: F.when(F.size(t) > 0, F.struct(whole_key(t).alias("a"), open_key(t).alias("b"), is_long(t).alias("long_a"), is_long(open_tokens(t)).alias("long_b"))))
 
 
-def recurring(docs: DataFrame, min_docs: int) -> DataFrame:
+def recurring(docs: DataFrame, min_docs: int, long_min_docs: int) -> DataFrame:
     """(doc_id, keys): for each document the keys of recurring templates whose lines it loses."""
-    both = F.flatten(F.transform(keyed(F.col("text")), lambda k: F.array(k["a"], k["b"])))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.array_compact(both))).alias("key"))
-    templates = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs).select("key", "first")
+    pair = lambda key, long: F.when(key.isNotNull(), F.struct(key.alias("key"), long.alias("long")))
+    both = F.flatten(F.transform(keyed(F.col("text")), lambda k: F.array(pair(k["a"], k["long_a"]), pair(k["b"], k["long_b"]))))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.array_compact(both))).alias("k")).select("doc_id", "k.*")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("long").alias("long"))
+    templates = counted.where(F.col("n") >= F.when(F.col("long"), long_min_docs).otherwise(min_docs)).select("key", "first")
     hits = rows.join(templates, "key").where(F.col("doc_id") > F.col("first"))
     return hits.groupBy("doc_id").agg(F.collect_set("key").alias("lost_keys"))
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS) -> DataFrame:
     """The input's columns with text shortened, and n_lines and n_dropped (long)."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)  # extra columns may have any names
     i, t = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    lost = recurring(docs.select("doc_id", "text"), min_docs)
+    lost = recurring(docs.select("doc_id", "text"), min_docs, long_min_docs)
     joined = plain.join(lost, plain[i] == lost["doc_id"], "left")
     gone = lambda k: F.coalesce(F.array_contains("lost_keys", k["a"]) | (k["b"].isNotNull() & F.array_contains("lost_keys", k["b"])), F.lit(False))
     pairs = F.arrays_zip(lines_of(F.col(t)).alias("line"), keyed(F.col(t)).alias("k"))

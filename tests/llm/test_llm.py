@@ -102,6 +102,30 @@ def test_line_dedup(spark):
     assert set(few.values()) == {0}
 
 
+def test_line_dedup_drops_long_lines_from_two_documents_on(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(200)]
+    planted = {n: " ".join(rng.choices(words, k=25)) for n in (1, 2, 3, 4)}
+    opened = " ".join(rng.choices(words, k=24))
+    rows, want = [], {}
+    for n, line in planted.items():
+        for i in range(n):
+            rows.append((10 * n + i, f"{' '.join(rng.choices(words, k=30))}\n{line} {i}\nshort line"))
+            want[10 * n + i] = int(i > 0)
+    for i in (100, 101):  # the same first two thirds of 36 tokens
+        rows.append((i, opened + " " + " ".join(rng.choices(words, k=12))))
+        want[i] = int(i > 100)
+    few = " ".join(rng.choices(words, k=19))
+    rows += [(200, few), (201, few)]
+    want |= {200: 0, 201: 0}
+    rows += [(i, " ".join(str(rng.random()) for _ in range(30))) for i in (300, 301)]  # figures are no fixed tokens
+    want |= {300: 0, 301: 0}
+    want |= {i: want[i] + 1 for i in want if i < 100 and i != 10}  # "short line" stands in ten documents
+    got = {r["doc_id"]: r for r in linededup.drop_lines(table(spark, rows)).collect()}
+    assert {i: r["n_dropped"] for i, r in got.items()} == want
+    assert all(sum(line in r["text"] for r in got.values()) == 1 for line in planted.values())
+
+
 def test_quality_base(spark):
     rows = [(1, "a b " * 40), (2, " ".join(WORDS)), (3, "x\nx\n\n# | é"), (4, None)]
     got = {r["doc_id"]: r for r in quality.quality_rules(table(spark, rows)).collect()}
