@@ -1,13 +1,20 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-The tree has a fixed depth: a line's number of tokens, its leading tokens, then its leaf. Runs of digits are a variable
-field everywhere. A line has two templates: all of its tokens, and, from GENERAL_TOKENS tokens on, its leading two
-thirds with the rest as a variable field. A template that stands in at least `min_docs` documents recurs: every line of
-it is dropped but in the first document (smallest id) that has it, so the corpus loses no passage altogether.
+Runs of digits are a variable field everywhere. A line has two templates of its own: all of its tokens, and, from
+GENERAL_TOKENS tokens on, its leading two thirds with the rest as a variable field. Beyond these, lines merge in leaves of
+fixed depth: a line of at least MERGE_TOKENS tokens is in three leaves, each named by its number of tokens and one third of
+them. In a leaf, a token that enough lines have at its position stays and any other becomes a wildcard; a token stays no
+longer where the rest of the line has a wildcard in another line. A result with wildcards in at most a third of its
+positions is a template too. So one or two fields are found at any positions, more where some third has none.
+
+A template of at least LONG_TOKENS fixed tokens (without digits) recurs if it stands in `long_min_docs` documents, any other
+if it stands in `min_docs`: every line of it is dropped but in the first document (smallest id) that has it, so the corpus
+loses no passage altogether.
 
 Edge cases: a null text stays null and has no lines; blank lines belong to no template; texts are taken whole at any
 length; documents with a null id are neither counted nor changed; a template counts once for each row that holds it, and
-rows with the same id are treated alike; an empty table gives an empty result; extra columns pass through unchanged.
+rows with the same id are treated alike (merged
+templates count them once); an empty table gives an empty result; extra columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -21,6 +28,9 @@ MIN_DOCS = 5
 #: Templates of at least so many fixed tokens recur from LONG_MIN_DOCS documents on: no chance repeats so long a line.
 LONG_TOKENS = 20
 LONG_MIN_DOCS = 2
+#: Lines of at least so many tokens merge with lines of other tokens.
+MERGE_TOKENS = 4
+WILD = "\n"  # no token holds a line end
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -49,36 +59,101 @@ def open_key(tokens: Column) -> Column:
     return F.when(n >= GENERAL_TOKENS, F.xxhash64(n, F.lit("open"), open_tokens(tokens)))
 
 
+def fixed(tokens: Column) -> Column:
+    """Tokens without a variable field."""
+    return F.filter(tokens, lambda t: ~F.contains(t, F.lit("0")) & (t != WILD))
+
+
 def is_long(tokens: Column) -> Column:
-    """Whether many tokens are fixed; masked digits are not."""
-    return F.size(F.filter(tokens, lambda t: ~F.contains(t, F.lit("0")))) >= LONG_TOKENS
+    return F.when(F.size(tokens) >= LONG_TOKENS, F.size(fixed(tokens)) >= LONG_TOKENS).otherwise(False)
+
+
+def tagged(key: Column, long: Column, leaf: bool = False) -> Column:
+    """A key whose lowest bits say whether it is of a long template and whether it is a leaf."""
+    return key.bitwiseAND(F.lit(-4)).bitwiseOR(F.when(long, 1).otherwise(0) + F.lit(2 * leaf))
+
+
+def leaves_of(tokens: Column) -> Column:
+    """The three leaves of a line."""
+    n = F.size(tokens)
+    cut = [F.lit(1), F.floor(n / 3).cast("int") + 1, F.floor(n * 2 / 3).cast("int") + 1, n + 1]
+    each = [tagged(F.xxhash64(n, F.lit(f"leaf{i}"), F.slice(tokens, cut[i], cut[i + 1] - cut[i])), n > LONG_TOKENS, True) for i in range(3)]
+    return F.when(n >= MERGE_TOKENS, F.array(*each)).otherwise(F.array().cast("array<bigint>"))
 
 
 def keyed(text: Column) -> Column:
-    """For each line of a text its two template keys, and whether each is long; null for blank lines."""
+    """For each line of a text its tokens (t), its own template keys (a and b) and its leaves (c); null for blank lines."""
     masked = F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "0")
     each = F.transform(lines_of(masked), tokens_of)
-    return F.transform(each, lambda t: F.when(F.size(t) > 0, F.struct(whole_key(t).alias("a"), open_key(t).alias("b"), is_long(t).alias("long_a"), is_long(open_tokens(t)).alias("long_b"))))
+    return F.transform(each, lambda t: F.when(F.size(t) > 0, F.struct(t.alias("t"), tagged(whole_key(t), is_long(t)).alias("a"), tagged(open_key(t), is_long(open_tokens(t))).alias("b"), leaves_of(t).alias("c"))))
+
+
+def enough(n: Column, long: Column, min_docs: int, long_min_docs: int) -> Column:
+    return n >= F.when(long, long_min_docs).otherwise(min_docs)
 
 
-def recurring(docs: DataFrame, min_docs: int, long_min_docs: int) -> DataFrame:
-    """(doc_id, keys): for each document the keys of recurring templates whose lines it loses."""
-    pair = lambda key, long: F.when(key.isNotNull(), F.struct(key.alias("key"), long.alias("long")))
-    both = F.flatten(F.transform(keyed(F.col("text")), lambda k: F.array(pair(k["a"], k["long_a"]), pair(k["b"], k["long_b"]))))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.array_compact(both))).alias("k")).select("doc_id", "k.*")
-    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("long").alias("long"))
-    templates = counted.where(F.col("n") >= F.when(F.col("long"), long_min_docs).otherwise(min_docs)).select("key", "first")
-    hits = rows.join(templates, "key").where(F.col("doc_id") > F.col("first"))
+def recurring(docs: DataFrame, min_docs: int, long_min_docs: int, merge: bool) -> DataFrame:
+    """(doc_id, keys): for each document the keys of recurring templates whose lines it loses, and its leaves to merge in."""
+    lines = F.array_compact(keyed(F.col("text")))
+    own = F.transform(F.array_distinct(F.array_compact(F.flatten(F.transform(lines, lambda k: F.array(k["a"], k["b"]))))), lambda k: F.struct(k.alias("key"), F.lit(None).cast("long").alias("line")))
+    leaves = F.flatten(F.transform(lines, lambda k: F.transform(k["c"], lambda c: F.struct(c.alias("key"), k["a"].alias("line")))))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.concat(own, leaves) if merge else own).alias("k")).select("doc_id", "k.*")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("line").alias("low"), F.max("line").alias("high"))
+    long, leaf = F.col("key").bitwiseAND(F.lit(1)) == 1, F.col("key").bitwiseAND(F.lit(2)) == 2
+    templates = counted.where(enough(F.col("n"), long, min_docs, long_min_docs) & (~leaf | (F.col("low") < F.col("high")))).select("key", "first")
+    hits = rows.select("doc_id", "key").join(templates, "key").where((F.col("doc_id") > F.col("first")) | leaf)
     return hits.groupBy("doc_id").agg(F.collect_set("key").alias("lost_keys"))
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS) -> DataFrame:
+def masked_at(tokens: Column, positions: Column) -> Column:
+    return F.transform(tokens, lambda t, i: F.when(F.array_contains(positions, i), WILD).otherwise(t))
+
+
+def masked_name(tokens: Column) -> Column:
+    """A template's name, from which a token's part can be taken out and replaced."""
+    return F.aggregate(F.transform(tokens, lambda t, i: F.xxhash64(i, t)), F.xxhash64(F.size(tokens)), lambda x, y: x.bitwiseXOR(y))
+
+
+def merged(joined: DataFrame, i: str, t: str, min_docs: int, long_min_docs: int) -> DataFrame:
+    """(merged_id, lost_lines): for each document the whole keys of lines that it loses by merged templates."""
+    leaf_of = lambda k: F.filter(F.transform(k["c"], lambda c, band: F.struct(F.col(i).alias("merged_id"), F.xxhash64(c, k["a"]).alias("line"), c.alias("leaf"), k["a"].alias("a"), band.alias("band"), k["t"].alias("t"))), lambda x: F.array_contains("lost_keys", x["leaf"]))
+    hot = F.flatten(F.transform(F.array_compact(keyed(F.col(t))), leaf_of))
+    # the outer form, with the id inside, keeps this side's exchanges equal to those of the result, so that they are reused
+    lines = joined.select(F.explode_outer(F.when(F.col("lost_keys").isNotNull(), hot)).alias("k")).where("k is not null").select("k.*")
+    each = lines.groupBy("line").agg(F.count("*").alias("n"), F.first("leaf").alias("leaf"), F.first("a").alias("a"), F.first("band").alias("band"), F.first("t").alias("t"))
+    each = each.where("n > 0 and leaf is not null and a is not null and band is not null and t is not null")  # all columns, so that one exchange serves all uses
+    # a leaf's own third is alike in all its lines
+    own = (F.col("at") >= F.floor(F.col("band") * F.size("t") / 3)) & (F.col("at") < F.floor((F.col("band") + 1) * F.size("t") / 3))
+    tokens = each.select("line", "leaf", "n", "band", "t", F.posexplode("t").alias("at", "token")).where(~own).select("line", "n", F.col("at").cast("int").alias("at"), F.xxhash64("leaf", "at", "token").alias("token"), (F.col("leaf").bitwiseAND(F.lit(1)) == 1).alias("long"))
+    rare = tokens.groupBy("token").agg(F.sum("n").alias("n"), F.max("long").alias("long")).where(~enough(F.col("n"), F.col("long"), min_docs, long_min_docs)).select("token")
+    # a rare token has few rows; those of frequent ones find no partner
+    wild = tokens.select("line", "at", "token").join(rare, "token", "left_semi").groupBy("line").agg(F.collect_set("at").alias("wild"))
+    few = lambda c: F.size(F.filter(c, lambda x: x == WILD)) <= F.floor(F.size(c) / 3)
+    first = each.join(wild, "line", "left").where(F.coalesce(F.size("wild"), F.lit(0)) <= F.floor(F.size("t") / 3)).select("leaf", "a", masked_at(F.col("t"), F.coalesce("wild", F.array().cast("array<int>"))).alias("t"))
+    first = first.withColumn("name", masked_name(F.col("t"))).withColumn("kind", F.xxhash64("leaf", "name"))
+    kinds = first.groupBy("kind").agg(F.first("leaf").alias("leaf"), F.first("name").alias("name"), F.first("t").alias("t"))
+    with_wild = kinds.where(F.array_contains("t", WILD)).select(F.col("kind").alias("found"))
+    swapped = F.col("name").bitwiseXOR(F.xxhash64("at", "token")).bitwiseXOR(F.xxhash64("at", F.lit(WILD)))
+    tried = kinds.select("kind", "leaf", "name", F.posexplode("t").alias("at", "token")).where(F.col("token") != WILD).select("kind", "at", F.xxhash64("leaf", swapped).alias("found"))
+    wider = tried.join(with_wild, "found", "left_semi").groupBy("kind").agg(F.collect_set("at").alias("at"))
+    final = kinds.join(wider, "kind", "left").select("kind", F.when(F.col("at").isNull(), F.col("t")).otherwise(masked_at(F.col("t"), F.col("at"))).alias("u")).where(few(F.col("u")) & F.array_contains("u", WILD))
+    named = first.select("leaf", "a", "kind").join(final.select("kind", tagged(masked_name(F.col("u")), is_long(F.col("u"))).alias("name")), "kind").select("leaf", "a", "name")
+    held = lines.select("merged_id", "leaf", "a").join(named, ["leaf", "a"]).select("merged_id", "name", "a").distinct()
+    counted = held.select("merged_id", "name").distinct().groupBy("name").agg(F.count("*").alias("n"), F.min("merged_id").alias("first"))
+    templates = counted.where(enough(F.col("n"), F.col("name").bitwiseAND(F.lit(1)) == 1, min_docs, long_min_docs))
+    return held.join(templates, "name").where(F.col("merged_id") > F.col("first")).groupBy("merged_id").agg(F.collect_set("a").alias("lost_lines"))
+
+
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS, merge: bool = True) -> DataFrame:
     """The input's columns with text shortened, and n_lines and n_dropped (long)."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)  # extra columns may have any names
     i, t = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    lost = recurring(docs.select("doc_id", "text"), min_docs, long_min_docs)
+    lost = recurring(docs.select("doc_id", "text"), min_docs, long_min_docs, merge)
     joined = plain.join(lost, plain[i] == lost["doc_id"], "left")
+    if merge:
+        more = merged(joined, i, t, min_docs, long_min_docs)
+        joined = joined.join(more, F.col(i) == more["merged_id"], "left").withColumn("lost_keys", F.when(F.col("lost_lines").isNull(), F.col("lost_keys")).otherwise(F.concat("lost_keys", "lost_lines")))
     gone = lambda k: F.coalesce(F.array_contains("lost_keys", k["a"]) | (k["b"].isNotNull() & F.array_contains("lost_keys", k["b"])), F.lit(False))
     pairs = F.arrays_zip(lines_of(F.col(t)).alias("line"), keyed(F.col(t)).alias("k"))
     kept = F.when(F.col("lost_keys").isNull(), F.col(t)).otherwise(F.array_join(F.transform(F.filter(pairs, lambda p: ~gone(p["k"])), lambda p: p["line"]), "\n"))

@@ -126,6 +126,25 @@ def test_line_dedup_drops_long_lines_from_two_documents_on(spark):
     assert all(sum(line in r["text"] for r in got.values()) == 1 for line in planted.values())
 
 
+def test_line_dedup_merges_templates_with_word_fields(spark):
+    names = ["alice", "bob", "carol", "dave", "erin", "frank", "alice", "alice", "alice", "alice"]
+    hosts = ["oak", "elm", "ash", "fir", "yew", "bay", "box", "may", "gum", "nut"]
+    months = ["January", "March", "April", "May", "June", "July", "August", "October", "November", "December"]
+    rows = [
+        (i, f"Posted by {n} today\nUser {n} logged in from host {h}\nOn {m} {i} the server was restarted by root\n{h} said so yes\n{n} {h} {m} {h}")
+        for i, (n, h, m) in enumerate(zip(names, hosts, months, strict=True))
+    ]
+    got = {r["doc_id"]: r for r in linededup.drop_lines(table(spark, rows)).collect()}
+    assert got[0]["text"] == rows[0][1]
+    assert all(got[i]["text"] == rows[i][1].split("\n")[-1] and got[i]["n_dropped"] == 4 for i in range(1, 10))
+    few = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_lines(table(spark, rows[:4])).collect()}
+    assert set(few.values()) == {0}
+    rng = random.Random(12)
+    long = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(30)]
+    pair = [(1, " ".join(["one", *long[1:]])), (2, " ".join([*long[:9], "two", *long[10:]]))]
+    assert {r["doc_id"]: r["n_dropped"] for r in linededup.drop_lines(table(spark, pair)).collect()} == {1: 0, 2: 0 + 1}
+
+
 def test_quality_base(spark):
     rows = [(1, "a b " * 40), (2, " ".join(WORDS)), (3, "x\nx\n\n# | é"), (4, None)]
     got = {r["doc_id"]: r for r in quality.quality_rules(table(spark, rows)).collect()}
