@@ -1,20 +1,26 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-Runs of digits are a variable field everywhere. A line has two templates of its own: all of its tokens, and, from
-GENERAL_TOKENS tokens on, its leading two thirds with the rest as a variable field. Beyond these, lines merge in leaves of
-fixed depth: a line of at least MERGE_TOKENS tokens is in three leaves, each named by its number of tokens and one third of
-them. In a leaf, a token that enough lines have at its position stays and any other becomes a wildcard; a token stays no
-longer where the rest of the line has a wildcard in another line. A result with wildcards in at most a third of its
-positions is a template too. So one or two fields are found at any positions, more where some third has none.
-
-A template of at least LONG_TOKENS fixed tokens (without digits) recurs if it stands in `long_min_docs` documents, any other
-if it stands in `min_docs`: every line of it is dropped but in the first document (smallest id) that has it, so the corpus
-loses no passage altogether.
-
-Edge cases: a null text stays null and has no lines; blank lines belong to no template; texts are taken whole at any
-length; documents with a null id are neither counted nor changed; a template counts once for each row that holds it, and
-rows with the same id are treated alike (merged
-templates count them once); an empty table gives an empty result; extra columns pass through unchanged.
+A line is compared by its shape: runs of digits are a variable field ("0"), white space between tokens is one blank.
+
+1. Whole lines: a shape that stands in `min_docs` documents is a template, one of at least LONG_TOKENS tokens without
+   digits from `long_min_docs` documents on, since no chance repeats so long a line.
+2. The tree has a fixed depth: a line's number of tokens, then its leading tokens. As the leading tokens may hold a field
+   themselves, a line with room for f fields is cut into f + 1 parts, and each part names a leaf: two lines that differ in
+   at most f positions meet in one leaf at least.
+3. In a leaf, a position with `min_docs` different tokens or more is open; there, a token becomes a wildcard unless most of
+   the leaf's documents have it. The line with its wildcards, one to f of them, is a generalised template; it recurs if it
+   stands in `min_docs` documents. Lines of fewer than 4 tokens have no room for fields, up to 5 tokens for one, up to 11
+   for two, longer ones for three.
+4. Every line of a recurring template is dropped but in the first document (smallest id) that has it, so the corpus loses
+   no passage altogether.
+
+Counts are combined by key before and after each shuffle, whatever the partitions; keys that hold many rows are salted.
+Whole lines are named by 128 bits of hash, leaves and their tokens by 64; generalised templates are compared as text.
+
+Edge cases: a null text stays null and has no lines; blank lines belong to no template and stay; texts are taken whole at
+any length; documents with a null id are neither counted nor changed; of the lines of one row, equal ones count once, and
+all are dropped or none; rows with the same id count one by one for whole lines, once for generalised templates, and are
+treated alike; an empty table gives an empty result; extra columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,146 +28,136 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of at least so many tokens also have a template that leaves their last third open.
-GENERAL_TOKENS = 8
+from litsift.llm.common import cut, salted_join
+
 MIN_DOCS = 5
-#: Templates of at least so many fixed tokens recur from LONG_MIN_DOCS documents on: no chance repeats so long a line.
+#: Whole lines of at least so many tokens without digits recur from LONG_MIN_DOCS documents on.
 LONG_TOKENS = 20
 LONG_MIN_DOCS = 2
-#: Lines of at least so many tokens merge with lines of other tokens.
-MERGE_TOKENS = 4
+#: Fields that a line of at least so many tokens has room for.
+FIELDS = {4: 1, 6: 2, 12: 3}
+PARTS = 1 + max(FIELDS.values())
 WILD = "\n"  # no token holds a line end
-WHITE = "[\\x20\\x09-\\x0D]+"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line whose runs of digits are variable fields."""
-    return F.filter(F.split(line, WHITE, -1), lambda t: t != "")
-
-
-def whole_key(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), tokens)
-
-
-def open_tokens(tokens: Column) -> Column:
-    """The fixed part of the template that leaves the last third open."""
-    n = F.size(tokens)
-    return F.slice(tokens, F.lit(1), n - F.floor(n / 3).cast("int"))
-
-
-def open_key(tokens: Column) -> Column:
-    """The template that leaves the last third open; null for short lines."""
-    n = F.size(tokens)
-    return F.when(n >= GENERAL_TOKENS, F.xxhash64(n, F.lit("open"), open_tokens(tokens)))
+def shapes_of(text: Column) -> Column:
+    """The shape of each line of a text."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "0"), "[\\x09\\x0B-\\x0D ]{2,}|[\\x09\\x0B-\\x0D]", " ")
+    return F.transform(lines_of(plain), lambda x: F.trim(x))
 
 
-def fixed(tokens: Column) -> Column:
-    """Tokens without a variable field."""
-    return F.filter(tokens, lambda t: ~F.contains(t, F.lit("0")) & (t != WILD))
+def n_tokens(shape: Column) -> Column:
+    return F.octet_length(shape) - F.octet_length(F.replace(shape, F.lit(" "), F.lit(""))) + 1
 
 
-def is_long(tokens: Column) -> Column:
-    return F.when(F.size(tokens) >= LONG_TOKENS, F.size(fixed(tokens)) >= LONG_TOKENS).otherwise(False)
+def fields(n: Column) -> Column:
+    out = F.lit(0)
+    for least, room in FIELDS.items():
+        out = F.when(n >= least, room).otherwise(out)
+    return out
 
 
-def tagged(key: Column, long: Column, leaf: bool = False) -> Column:
-    """A key whose lowest bits say whether it is of a long template and whether it is a leaf."""
-    return key.bitwiseAND(F.lit(-4)).bitwiseOR(F.when(long, 1).otherwise(0) + F.lit(2 * leaf))
+def edge(n: Column, i: Column) -> Column:
+    """The number of tokens before part i."""
+    return F.floor(n * i / (fields(n) + 1)).cast("int")
 
 
-def leaves_of(tokens: Column) -> Column:
-    """The three leaves of a line."""
-    n = F.size(tokens)
-    cut = [F.lit(1), F.floor(n / 3).cast("int") + 1, F.floor(n * 2 / 3).cast("int") + 1, n + 1]
-    each = [tagged(F.xxhash64(n, F.lit(f"leaf{i}"), F.slice(tokens, cut[i], cut[i + 1] - cut[i])), n > LONG_TOKENS, True) for i in range(3)]
-    return F.when(n >= MERGE_TOKENS, F.array(*each)).otherwise(F.array().cast("array<bigint>"))
+def leaf(shape: Column, n: Column, i: int) -> Column:
+    """The leaf that part i of a line names; null if the line has no such part."""
+    begin, end = edge(n, F.lit(i)), edge(n, F.lit(i + 1))
+    part = F.call_function("substring_index", F.call_function("substring_index", shape, F.lit(" "), end), F.lit(" "), begin - end)
+    return F.when((fields(n) > 0) & (fields(n) >= i), F.xxhash64(n, F.lit(i), part))
 
 
-def keyed(text: Column) -> Column:
-    """For each line of a text its tokens (t), its own template keys (a and b) and its leaves (c); null for blank lines."""
-    masked = F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "0")
-    each = F.transform(lines_of(masked), tokens_of)
-    return F.transform(each, lambda t: F.when(F.size(t) > 0, F.struct(t.alias("t"), tagged(whole_key(t), is_long(t)).alias("a"), tagged(open_key(t), is_long(open_tokens(t))).alias("b"), leaves_of(t).alias("c"))))
+def name(shape: Column) -> Column:
+    return F.struct(F.xxhash64(shape).alias("a"), F.xxhash64(F.lit("b"), shape).alias("b"))
 
 
-def enough(n: Column, long: Column, min_docs: int, long_min_docs: int) -> Column:
-    return n >= F.when(long, long_min_docs).otherwise(min_docs)
+def line_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, a, b, long, l0, l1, ...) for each shape of each document; texts are split here and once more where they change."""
+    n, shape = F.col("n"), F.col("shape")
+    each = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(shapes_of(F.col("text")))).alias("shape")).where(shape != "").withColumn("n", n_tokens(shape))
+    long = F.when(n >= LONG_TOKENS, n - F.regexp_count(shape, F.lit("0[^ ]*")) >= LONG_TOKENS).otherwise(False)
+    return each.select("doc_id", name(shape).alias("k"), long.alias("long"), *(leaf(shape, n, i).alias(f"l{i}") for i in range(PARTS))).select("doc_id", "k.*", "long", *(f"l{i}" for i in range(PARTS)))
 
 
-def recurring(docs: DataFrame, min_docs: int, long_min_docs: int, merge: bool) -> DataFrame:
-    """(doc_id, keys): for each document the keys of recurring templates whose lines it loses, and its leaves to merge in."""
-    lines = F.array_compact(keyed(F.col("text")))
-    own = F.transform(F.array_distinct(F.array_compact(F.flatten(F.transform(lines, lambda k: F.array(k["a"], k["b"]))))), lambda k: F.struct(k.alias("key"), F.lit(None).cast("long").alias("line")))
-    leaves = F.flatten(F.transform(lines, lambda k: F.transform(k["c"], lambda c: F.struct(c.alias("key"), k["a"].alias("line")))))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.concat(own, leaves) if merge else own).alias("k")).select("doc_id", "k.*")
-    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("line").alias("low"), F.max("line").alias("high"))
-    long, leaf = F.col("key").bitwiseAND(F.lit(1)) == 1, F.col("key").bitwiseAND(F.lit(2)) == 2
-    templates = counted.where(enough(F.col("n"), long, min_docs, long_min_docs) & (~leaf | (F.col("low") < F.col("high")))).select("key", "first")
-    hits = rows.select("doc_id", "key").join(templates, "key").where((F.col("doc_id") > F.col("first")) | leaf)
-    return hits.groupBy("doc_id").agg(F.collect_set("key").alias("lost_keys"))
+def recurring(rows: DataFrame, min_docs: int, long_min_docs: int, merge: bool) -> DataFrame:
+    """(doc_id, gone, near): names of whole lines that a document loses, and (a, b, n) of lines for the leaves.
 
-
-def masked_at(tokens: Column, positions: Column) -> Column:
-    return F.transform(tokens, lambda t, i: F.when(F.array_contains(positions, i), WILD).otherwise(t))
-
-
-def masked_name(tokens: Column) -> Column:
-    """A template's name, from which a token's part can be taken out and replaced."""
-    return F.aggregate(F.transform(tokens, lambda t, i: F.xxhash64(i, t)), F.xxhash64(F.size(tokens)), lambda x, y: x.bitwiseXOR(y))
-
-
-def merged(joined: DataFrame, i: str, t: str, min_docs: int, long_min_docs: int) -> DataFrame:
-    """(merged_id, lost_lines): for each document the whole keys of lines that it loses by merged templates."""
-    leaf_of = lambda k: F.filter(F.transform(k["c"], lambda c, band: F.struct(F.col(i).alias("merged_id"), F.xxhash64(c, k["a"]).alias("line"), c.alias("leaf"), k["a"].alias("a"), band.alias("band"), k["t"].alias("t"))), lambda x: F.array_contains("lost_keys", x["leaf"]))
-    hot = F.flatten(F.transform(F.array_compact(keyed(F.col(t))), leaf_of))
-    # the outer form, with the id inside, keeps this side's exchanges equal to those of the result, so that they are reused
-    lines = joined.select(F.explode_outer(F.when(F.col("lost_keys").isNotNull(), hot)).alias("k")).where("k is not null").select("k.*")
-    each = lines.groupBy("line").agg(F.count("*").alias("n"), F.first("leaf").alias("leaf"), F.first("a").alias("a"), F.first("band").alias("band"), F.first("t").alias("t"))
-    each = each.where("n > 0 and leaf is not null and a is not null and band is not null and t is not null")  # all columns, so that one exchange serves all uses
-    # a leaf's own third is alike in all its lines
-    own = (F.col("at") >= F.floor(F.col("band") * F.size("t") / 3)) & (F.col("at") < F.floor((F.col("band") + 1) * F.size("t") / 3))
-    tokens = each.select("line", "leaf", "n", "band", "t", F.posexplode("t").alias("at", "token")).where(~own).select("line", "n", F.col("at").cast("int").alias("at"), F.xxhash64("leaf", "at", "token").alias("token"), (F.col("leaf").bitwiseAND(F.lit(1)) == 1).alias("long"))
-    rare = tokens.groupBy("token").agg(F.sum("n").alias("n"), F.max("long").alias("long")).where(~enough(F.col("n"), F.col("long"), min_docs, long_min_docs)).select("token")
-    # a rare token has few rows; those of frequent ones find no partner
-    wild = tokens.select("line", "at", "token").join(rare, "token", "left_semi").groupBy("line").agg(F.collect_set("at").alias("wild"))
-    few = lambda c: F.size(F.filter(c, lambda x: x == WILD)) <= F.floor(F.size(c) / 3)
-    first = each.join(wild, "line", "left").where(F.coalesce(F.size("wild"), F.lit(0)) <= F.floor(F.size("t") / 3)).select("leaf", "a", masked_at(F.col("t"), F.coalesce("wild", F.array().cast("array<int>"))).alias("t"))
-    first = first.withColumn("name", masked_name(F.col("t"))).withColumn("kind", F.xxhash64("leaf", "name"))
-    kinds = first.groupBy("kind").agg(F.first("leaf").alias("leaf"), F.first("name").alias("name"), F.first("t").alias("t"))
-    with_wild = kinds.where(F.array_contains("t", WILD)).select(F.col("kind").alias("found"))
-    swapped = F.col("name").bitwiseXOR(F.xxhash64("at", "token")).bitwiseXOR(F.xxhash64("at", F.lit(WILD)))
-    tried = kinds.select("kind", "leaf", "name", F.posexplode("t").alias("at", "token")).where(F.col("token") != WILD).select("kind", "at", F.xxhash64("leaf", swapped).alias("found"))
-    wider = tried.join(with_wild, "found", "left_semi").groupBy("kind").agg(F.collect_set("at").alias("at"))
-    final = kinds.join(wider, "kind", "left").select("kind", F.when(F.col("at").isNull(), F.col("t")).otherwise(masked_at(F.col("t"), F.col("at"))).alias("u")).where(few(F.col("u")) & F.array_contains("u", WILD))
-    named = first.select("leaf", "a", "kind").join(final.select("kind", tagged(masked_name(F.col("u")), is_long(F.col("u"))).alias("name")), "kind").select("leaf", "a", "name")
-    held = lines.select("merged_id", "leaf", "a").join(named, ["leaf", "a"]).select("merged_id", "name", "a").distinct()
-    counted = held.select("merged_id", "name").distinct().groupBy("name").agg(F.count("*").alias("n"), F.min("merged_id").alias("first"))
-    templates = counted.where(enough(F.col("n"), F.col("name").bitwiseAND(F.lit(1)) == 1, min_docs, long_min_docs))
-    return held.join(templates, "name").where(F.col("merged_id") > F.col("first")).groupBy("merged_id").agg(F.collect_set("a").alias("lost_lines"))
+    Lines in `min_docs` documents or more are near in their first document only, which is enough to know their text.
+    """
+    counted = cut(rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("long").alias("long"), *(F.max(f"l{i}").alias(f"l{i}") for i in range(PARTS))))
+    again = (F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= long_min_docs))
+    known = counted.where(again).select("a", "b", "n", "first", F.lit(False).alias("near"))
+    if merge:
+        leaves = counted.where("l0 is not null").select("a", "b", "n", F.when(again, F.col("first")).alias("first"), F.explode(F.array(*(f"l{i}" for i in range(PARTS)))).alias("leaf")).where("leaf is not null")
+        crowded = cut(leaves.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs))
+        found = salted_join(leaves, crowded, ["leaf"], "a", "lines").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("first").alias("first"), F.lit(True).alias("near"))
+        known = known.union(found).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("first").alias("first"), F.max("near").alias("near"))
+    hits = salted_join(rows.select("doc_id", "a", "b"), cut(known), ["a", "b"], "doc_id", "n")
+    gone = F.col("doc_id") > F.col("first")
+    near = F.col("near") & ((F.col("n") < min_docs) | (F.col("doc_id") == F.col("first")))
+    return hits.where(F.coalesce(gone, F.lit(False)) | near).groupBy("doc_id").agg(F.collect_set(F.when(gone, F.struct("a", "b"))).alias("gone"), F.collect_set(F.when(near, F.struct("a", "b", "n"))).alias("near"))
+
+
+def generalised(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(doc_id, more): shapes of lines that a document loses by generalised templates; from (doc_id, shape, n)."""
+    each = lines.groupBy("shape").agg(F.max("n").alias("n")).withColumn("tokens", n_tokens(F.col("shape"))).withColumn("line", F.xxhash64("shape"))
+    parts = [F.struct(F.lit(i).alias("i"), leaf(F.col("shape"), F.col("tokens"), i).alias("leaf")) for i in range(PARTS)]
+    placed = each.select("line", "shape", "n", "tokens", F.explode(F.array(*parts)).alias("p")).select("line", "shape", "n", "tokens", "p.*").where("leaf is not null")
+    crowded = cut(placed.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs))
+    placed = salted_join(placed, crowded, ["leaf"], "line", "lines")
+    outside = (F.col("at") < edge(F.col("tokens"), F.col("i"))) | (F.col("at") >= edge(F.col("tokens"), F.col("i") + 1))  # a leaf's own part is alike in its lines
+    spots = placed.select("line", "leaf", "i", "n", "tokens", F.posexplode(F.split("shape", " ", -1)).alias("at", "token")).where(outside)
+    spots = spots.select("line", "leaf", "n", "at", fields(F.col("tokens")).alias("room"), F.xxhash64("leaf", "at", "token").alias("token"))
+    kinds = cut(spots.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs"), F.count("*").alias("lines")))
+    spread = kinds.groupBy("leaf", "at").agg(F.count("*").alias("kinds"), F.sum("docs").alias("whole"))
+    wide = cut(spread.where(F.col("kinds") >= min_docs).select("leaf", "at", "whole", "kinds"))
+    wild = cut(salted_join(kinds, wide, ["leaf", "at"], "token", "kinds").where(2 * F.col("docs") <= F.col("whole")).select("token", "lines"))
+    holes = salted_join(spots.select("line", "leaf", "at", "room", "token"), wild, ["token"], "line", "lines")
+    holes = holes.groupBy("line", "leaf", "room").agg(F.collect_set("at").alias("holes")).where(F.size("holes") <= F.col("room")).select("line", "holes").distinct()
+    masked = F.array_join(F.transform(F.split("shape", " ", -1), lambda t, at: F.when(F.array_contains("holes", at), WILD).otherwise(t)), " ")
+    named = each.join(holes, "line").select("shape", masked.alias("template")).distinct()
+    held = cut(lines.join(named, "shape").select("doc_id", "shape", "template", "n"))
+    counted = held.groupBy("doc_id", "template").agg(F.max("n").alias("n")).groupBy("template").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min("doc_id").alias("first"))
+    templates = cut(counted.where(F.greatest("docs", "n") >= min_docs).select("template", "docs", "first"))
+    lost = salted_join(held.select("doc_id", "shape", "template"), templates, ["template"], "doc_id", "docs").where(F.col("doc_id") > F.col("first"))
+    return lost.groupBy("doc_id").agg(F.collect_set("shape").alias("more"))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS, merge: bool = True) -> DataFrame:
-    """The input's columns with text shortened, and n_lines and n_dropped (long)."""
+    """The input's columns with text shortened, and n_lines and n_dropped (long). Without merge, whole lines only."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)  # extra columns may have any names
     i, t = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    lost = recurring(docs.select("doc_id", "text"), min_docs, long_min_docs, merge)
-    joined = plain.join(lost, plain[i] == lost["doc_id"], "left")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lost = recurring(cut(line_rows(texts)), min_docs, long_min_docs, merge)
     if merge:
-        more = merged(joined, i, t, min_docs, long_min_docs)
-        joined = joined.join(more, F.col(i) == more["merged_id"], "left").withColumn("lost_keys", F.when(F.col("lost_lines").isNull(), F.col("lost_keys")).otherwise(F.concat("lost_keys", "lost_lines")))
-    gone = lambda k: F.coalesce(F.array_contains("lost_keys", k["a"]) | (k["b"].isNotNull() & F.array_contains("lost_keys", k["b"])), F.lit(False))
-    pairs = F.arrays_zip(lines_of(F.col(t)).alias("line"), keyed(F.col(t)).alias("k"))
-    kept = F.when(F.col("lost_keys").isNull(), F.col(t)).otherwise(F.array_join(F.transform(F.filter(pairs, lambda p: ~gone(p["k"])), lambda p: p["line"]), "\n"))
-    n_dropped = F.when(F.col("lost_keys").isNull(), F.lit(0)).otherwise(F.size(F.filter(keyed(F.col(t)), gone)))
+        lost = cut(lost)
+        own = F.col("k")
+        match = F.filter("near", lambda x: (x["a"] == own["a"]) & (x["b"] == own["b"]))
+        wanted = texts.join(lost.where(F.size("near") > 0).select("doc_id", "near"), "doc_id")
+        lines = wanted.select("doc_id", "near", F.explode(F.array_distinct(shapes_of(F.col("text")))).alias("shape")).where("shape <> ''").withColumn("k", name(F.col("shape")))
+        lines = lines.select("doc_id", "shape", F.get(match, F.lit(0))["n"].alias("n")).where("n is not null").distinct()
+        more = generalised(cut(lines), min_docs)
+        lost = lost.select("doc_id", "gone").join(more, "doc_id", "full")
+    else:
+        lost = lost.withColumn("more", F.array().cast("array<string>"))
+    lost = lost.select(F.col("doc_id").alias("lost_id"), F.coalesce("gone", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("gone"), F.coalesce("more", F.array().cast("array<string>")).alias("more"))
+    lost = lost.where((F.size("gone") > 0) | (F.size("more") > 0))
+    joined = plain.join(lost, F.col(i).cast("long") == F.col("lost_id"), "left")
+    dropped = lambda x: (x["shape"] != "") & (F.array_contains("gone", name(x["shape"])) | F.array_contains("more", x["shape"]))
+    pairs = F.arrays_zip(lines_of(F.col(t)).alias("line"), shapes_of(F.col(t)).alias("shape"))
+    left = F.when(F.col("lost_id").isNotNull(), F.transform(F.filter(pairs, lambda x: ~dropped(x)), lambda x: x["line"]))
     n_lines = F.when(F.col(t).isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col(t))))
-    out = {n: F.col(n) for n in names} | {t: kept}
-    named = [c.alias(docs.columns[k]) for k, c in enumerate(out.values())]
-    return joined.select(*named, n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
+    out = joined.select(*names, left.alias("left"), n_lines.cast("long").alias("n_lines"))
+    kept = {n: F.col(n) for n in names} | {t: F.when(F.col("left").isNull(), F.col(t)).otherwise(F.array_join("left", "\n"))}
+    n_dropped = F.when(F.col("left").isNull() | F.col(t).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("left"))
+    return out.select(*(c.alias(docs.columns[k]) for k, c in enumerate(kept.values())), F.col("n_lines"), n_dropped.cast("long").alias("n_dropped"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -170,22 +166,38 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-#: DuckDB SQL for digest() over the documents table.
+#: DuckDB SQL for digest() over the documents table; leaves and tokens are compared as they are.
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
+    text IS NULL AS nil FROM documents
+), s AS (
+  SELECT *, trim(regexp_replace(regexp_replace(line, '[0-9]+', '0', 'g'), '[\x09\x0B-\x0D ]+', ' ', 'g'), ' ') AS shape FROM l
+), u AS (SELECT DISTINCT doc_id, shape FROM s WHERE shape <> ''),
+c AS (SELECT shape, string_split(shape, ' ') AS w, count(*) AS n, min(doc_id) AS first FROM u GROUP BY shape),
+r AS (
+  SELECT *, n >= 5 OR (n >= 2 AND len(list_filter(w, lambda x: NOT contains(x, '0'))) >= 20) AS again, len(w) AS k,
+    CASE WHEN len(w) >= 12 THEN 4 WHEN len(w) >= 6 THEN 3 ELSE 2 END AS parts FROM c
+), p AS (
+  SELECT shape, w, n, k, parts, unnest(range(parts)) AS i FROM r WHERE k >= 4
+), f AS (
+  SELECT *, w[k * i // parts + 1:k * (i + 1) // parts] AS part FROM p
 ), t AS (
-  SELECT doc_id, line, pos, list_filter(regexp_split_to_array(regexp_replace(line, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l
-), k AS (
-  SELECT doc_id, line, pos, CASE WHEN len(w) > 0 THEN w END AS a,
-    CASE WHEN len(w) >= 8 THEN struct_pack(n := len(w), h := w[1:len(w) - len(w) // 3]) END AS b FROM t
-), ra AS (SELECT a, min(doc_id) AS first FROM k WHERE a IS NOT NULL GROUP BY a HAVING count(DISTINCT doc_id) >= 5),
-rb AS (SELECT b, min(doc_id) AS first FROM k WHERE b IS NOT NULL GROUP BY b HAVING count(DISTINCT doc_id) >= 5),
-d AS (
-  SELECT k.doc_id, k.line, k.pos, coalesce(k.doc_id > ra.first, false) OR coalesce(k.doc_id > rb.first, false) AS gone
-  FROM k LEFT JOIN ra ON k.a = ra.a LEFT JOIN rb ON k.b = rb.b
+  SELECT shape, n, k, parts, i, part, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM f
+), kinds AS (
+  SELECT k, i, part, pos, token, sum(n) AS docs FROM t GROUP BY k, i, part, pos, token
+), v AS (
+  SELECT *, count(*) OVER (PARTITION BY k, i, part, pos) >= 5 AND 2 * docs <= sum(docs) OVER (PARTITION BY k, i, part, pos) AS wild FROM kinds
+), m AS (
+  SELECT t.shape, t.i, string_agg(CASE WHEN wild THEN chr(10) ELSE t.token END, ' ' ORDER BY t.pos) AS template
+  FROM t JOIN v USING (k, i, part, pos, token) GROUP BY t.shape, t.i, t.parts HAVING count(*) FILTER (wild) BETWEEN 1 AND t.parts - 1
+), h AS (SELECT DISTINCT u.doc_id, u.shape, m.template FROM u JOIN m USING (shape)),
+g AS (SELECT template, min(doc_id) AS first FROM h GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
+x AS (
+  SELECT h.doc_id, h.shape FROM h JOIN g USING (template) WHERE h.doc_id > g.first
+  UNION SELECT u.doc_id, u.shape FROM u JOIN r USING (shape) WHERE r.again AND u.doc_id > r.first
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM d GROUP BY doc_id
+SELECT s.doc_id, count(*) FILTER (NOT nil) AS n_lines, count(*) FILTER (x.shape IS NOT NULL) AS n_dropped,
+  sha256(coalesce(string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (x.shape IS NULL), '')) AS kept_sha256
+FROM s LEFT JOIN x ON s.doc_id = x.doc_id AND s.shape = x.shape GROUP BY s.doc_id
 """

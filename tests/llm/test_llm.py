@@ -112,9 +112,9 @@ def test_line_dedup_drops_long_lines_from_two_documents_on(spark):
         for i in range(n):
             rows.append((10 * n + i, f"{' '.join(rng.choices(words, k=30))}\n{line} {i}\nshort line"))
             want[10 * n + i] = int(i > 0)
-    for i in (100, 101):  # the same first two thirds of 36 tokens
+    for i in range(100, 107):  # different sentences that share their first two thirds
         rows.append((i, opened + " " + " ".join(rng.choices(words, k=12))))
-        want[i] = int(i > 100)
+        want[i] = 0
     few = " ".join(rng.choices(words, k=19))
     rows += [(200, few), (201, few)]
     want |= {200: 0, 201: 0}
@@ -141,8 +141,37 @@ def test_line_dedup_merges_templates_with_word_fields(spark):
     assert set(few.values()) == {0}
     rng = random.Random(12)
     long = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(30)]
-    pair = [(1, " ".join(["one", *long[1:]])), (2, " ".join([*long[:9], "two", *long[10:]]))]
-    assert {r["doc_id"]: r["n_dropped"] for r in linededup.drop_lines(table(spark, pair)).collect()} == {1: 0, 2: 0 + 1}
+    pair = [(1, " ".join(["one", *long[1:]])), (2, " ".join([*long[:9], "two", *long[10:]]))]  # two values are no field
+    assert {r["doc_id"]: r["n_dropped"] for r in linededup.drop_lines(table(spark, pair)).collect()} == {1: 0, 2: 0}
+
+
+def test_line_dedup_word_fields_and_shared_heads(spark):
+    names = ["ann", "bea", "cid", "dot", "eva", "fay", "gil", "hal"]
+    rows = [(i, f"The user {n} logged in from the office\nRead more about our very nice {n}x\nIn the case of the new law the {n} decided {n}a {n}b {n}c") for i, n in enumerate(names)]
+    got = {r["doc_id"]: r for r in linededup.drop_lines(table(spark, rows)).collect()}
+    assert got[0]["n_dropped"] == 0
+    assert all(got[i]["text"] == rows[i][1].split("\n")[2] for i in range(1, 8))
+
+
+def test_line_dedup_edges_and_sql(spark):
+    import duckdb
+
+    rng = random.Random(13)
+    rows = made(6, 80)
+    rows += [(200 + i, f"{'pad ' * rng.randint(0, 3)}Posted {rng.choice('abcdefgh')} by {rng.choice('abcdefgh')} at {i}\n \t\nPosted {rng.choice('abcdefgh')} by x") for i in range(60)]
+    rows += [(300, "again 1\nagain 2\n\nagain 3"), (301, "word " * 300 + "\nagain 7"), (302, "\n\n"), (303, "again 1"), (304, "again 1"), (305, "again 1\r")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({linededup.SQL})").fetchall()}
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in linededup.digest(table(spark, rows)).collect()}
+    assert got == want and got[1][:2] == (0, 0) and got[305][1] == 1 and sum(x[1] for x in got.values()) > 60
+    huge = "word " * 400_000 + "\nagain 7"
+    assert linededup.drop_lines(table(spark, [(i, huge) for i in range(3)])).where("n_dropped > 0").count() == 2
+    odd = spark.createDataFrame([(i, "same line here now", i, "x", 2) for i in range(6)] + [(None, "same line here now", 9, "x", 2)] * 2, "doc_id int, text string, n_lines int, gone string, shape int")
+    out = linededup.drop_lines(odd)
+    assert out.columns == [*odd.columns, "n_lines", "n_dropped"] and out.toDF(*"abcdefg").where("a is null and b is not null").count() == 2
+    assert sorted(r["g"] for r in out.toDF(*"abcdefg").collect()) == [0, 0, 0, 1, 1, 1, 1, 1]
 
 
 def test_quality_base(spark):
