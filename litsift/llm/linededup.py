@@ -46,8 +46,13 @@ def lines_of(text: Column) -> Column:
 
 def shapes_of(text: Column) -> Column:
     """The shape of each line of a text."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "0"), "[\\x09\\x0B-\\x0D ]{2,}|[\\x09\\x0B-\\x0D]", " ")
-    return F.transform(lines_of(plain), lambda x: F.trim(x))
+    def split(plain: Column) -> Column:
+        # most texts have only single blanks, and searches are cheaper than a pattern
+        odd = F.contains(plain, F.lit("  ")) | F.contains(plain, F.lit("\t")) | F.contains(plain, F.lit("\x0b")) | F.contains(plain, F.lit("\x0c")) | F.contains(plain, F.lit("\r"))
+        return F.transform(lines_of(F.when(odd, F.regexp_replace(plain, "[\\x09\\x0B-\\x0D ]+", " ")).otherwise(plain)), lambda x: F.trim(x))
+
+    once = F.array(F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "0"))  # a lambda's argument is computed once
+    return F.get(F.transform(once, split), F.lit(0))
 
 
 def n_tokens(shape: Column) -> Column:
@@ -81,7 +86,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b, long, l0, l1, ...) for each shape of each document; texts are split here and once more where they change."""
     n, shape = F.col("n"), F.col("shape")
     each = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(shapes_of(F.col("text")))).alias("shape")).where(shape != "").withColumn("n", n_tokens(shape))
-    long = F.when(n >= LONG_TOKENS, n - F.regexp_count(shape, F.lit("0[^ ]*")) >= LONG_TOKENS).otherwise(False)
+    figures = F.when(F.contains(shape, F.lit("0")), F.regexp_count(shape, F.lit("0[^ ]*"))).otherwise(0)
+    long = F.when(n >= LONG_TOKENS, n - figures >= LONG_TOKENS).otherwise(False)
     return each.select("doc_id", name(shape).alias("k"), long.alias("long"), *(leaf(shape, n, i).alias(f"l{i}") for i in range(PARTS))).select("doc_id", "k.*", "long", *(f"l{i}" for i in range(PARTS)))
 
 
@@ -114,10 +120,13 @@ def generalised(lines: DataFrame, min_docs: int) -> DataFrame:
     outside = (F.col("at") < edge(F.col("tokens"), F.col("i"))) | (F.col("at") >= edge(F.col("tokens"), F.col("i") + 1))  # a leaf's own part is alike in its lines
     spots = placed.select("line", "leaf", "i", "n", "tokens", F.posexplode(F.split("shape", " ", -1)).alias("at", "token")).where(outside)
     spots = spots.select("line", "leaf", "n", "at", fields(F.col("tokens")).alias("room"), F.xxhash64("leaf", "at", "token").alias("token"))
-    kinds = cut(spots.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs"), F.count("*").alias("lines")))
-    spread = kinds.groupBy("leaf", "at").agg(F.count("*").alias("kinds"), F.sum("docs").alias("whole"))
-    wide = cut(spread.where(F.col("kinds") >= min_docs).select("leaf", "at", "whole", "kinds"))
-    wild = cut(salted_join(kinds, wide, ["leaf", "at"], "token", "kinds").where(2 * F.col("docs") <= F.col("whole")).select("token", "lines"))
+    kinds = cut(spots.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs"), F.count("*").alias("lines"), F.max("room").alias("room")))
+    spread = kinds.groupBy("leaf", "at").agg(F.count("*").alias("kinds"), F.sum("docs").alias("whole"), F.max("docs").alias("top"), F.max("room").alias("room"))
+    spread = cut(spread.where(F.col("kinds") >= min_docs))
+    # where more positions than there is room for have no token that most documents have, every line has too many wildcards
+    blind = spread.groupBy("leaf").agg(F.max("room").alias("room"), F.count_if(2 * F.col("top") <= F.col("whole")).alias("open")).where("open > room")
+    wide = cut(spread.join(blind, "leaf", "left_anti").select("leaf", "at", "whole", "kinds"))
+    wild = cut(salted_join(kinds.drop("room"), wide, ["leaf", "at"], "token", "kinds").where(2 * F.col("docs") <= F.col("whole")).select("token", "lines"))
     holes = salted_join(spots.select("line", "leaf", "at", "room", "token"), wild, ["token"], "line", "lines")
     holes = holes.groupBy("line", "leaf", "room").agg(F.collect_set("at").alias("holes")).where(F.size("holes") <= F.col("room")).select("line", "holes").distinct()
     masked = F.array_join(F.transform(F.split("shape", " ", -1), lambda t, at: F.when(F.array_contains("holes", at), WILD).otherwise(t)), " ")
