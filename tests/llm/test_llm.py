@@ -305,3 +305,19 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns and 0 < out.count() <= before.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, out, d)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in out.select("doc_id").collect()}
+
+
+def test_pipeline_extra_columns_and_repeated_rows(spark):
+    d = "/root/testdata/sf0.001"
+    good = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    extra = {c: F.lit("mine") for c in ("n_lines", "n_dropped", "kept_text", "own_hash", "c0", "shape", "row", "gone", "score")}
+    docs = good.union(good.where("doc_id < 20")).union(good.where("doc_id = 50").withColumn("doc_id", F.lit(None).cast("long"))).withColumns(extra)
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, d).cache()
+        assert out.columns == docs.columns
+    rows = out.collect()
+    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+    assert rows and all(r[c] == "mine" for r in rows for c in extra) and len(ids) == len(set(ids))
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+    assert corpus_pipeline.run(spark, d).select("doc_id").distinct().count() > 0
