@@ -1,24 +1,32 @@
 """The corpus pipeline: documents through five operators to packed sequences.
 
-Each stage works on all rows that its predecessor kept. All but the last return the columns of their input; text and
-n_chars follow what a stage cuts. Rows with a null id are kept by every stage; an empty table stays empty.
+Each stage works on all rows that its predecessor kept. All but the last return the columns of their input, extra ones
+unchanged whatever their names; text and n_chars follow what a stage cuts. Rows with a null id are kept by every stage but
+the classifier, which judges them by their text; of rows that repeat an id, the group stage keeps one; an empty table stays
+empty. run() saves each stage's rows once, in the shared checkpoint folder, so that none is computed twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litsift.llm import classifier, linededup, ngram, packing, suffix
-from litsift.llm.common import utf8
+from litsift.llm.common import cut, utf8
 from litsift.llm.queries import tokenizer_path
 
 
-def shortened(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns, with n_chars of the text as it is now."""
-    return docs.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns))
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named by place, so that no name clashes with a stage's own; and each name's new one."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named(out: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns under their own names again, with n_chars of the text as it is now."""
+    return out.select(*(F.length(names["text"]).cast("long").alias(c) if c == "n_chars" else F.col(n).alias(c) for c, n in names.items()))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,20 +35,30 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shortened(linededup.drop_lines(docs), docs.columns)
+    """Documents without lines of recurring templates."""
+    out, names = linededup.drop_lines(docs), numbered(docs)[1]
+    return named(out.toDF(*names.values(), "lines", "dropped"), names)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component; of rows with one id, all."""
-    kept = ngram.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+    """The smallest document of each component, one row of it; rows with a null id all stay."""
+    plain, names = numbered(docs)
+    i, t = names["doc_id"], names["text"]
+    kept = ngram.jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    held = plain.join(kept, plain[i] == kept["kept_id"], "left_semi")
+    first = Window.partitionBy(i).orderBy(F.xxhash64(t), t)
+    one = held.withColumn("row", F.row_number().over(first)).where("row = 1").drop("row")
+    return named(one.union(plain.where(F.col(i).isNull())), names)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what a smaller document holds too; characters that a cut splits become U+FFFD."""
-    cut = suffix.cut_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("row_hash").alias("cut_hash"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")).dropDuplicates(["cut_id", "cut_hash"])
-    joined = docs.withColumn("own_hash", F.hash(utf8("text"))).join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("own_hash") == F.col("cut_hash")), "left")
-    return shortened(joined.withColumn("text", F.coalesce("kept_text", "text")), docs.columns)
+    plain, names = numbered(docs)
+    i, t = names["doc_id"], names["text"]
+    cut_rows = suffix.cut_repeats(docs.select("doc_id", "text")).where("n_removed > 0")
+    cut_rows = cut_rows.select(F.col("doc_id").alias("cut_id"), F.col("row_hash").alias("cut_hash"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")).dropDuplicates(["cut_id", "cut_hash"])
+    joined = plain.join(cut_rows, (F.col(i) == F.col("cut_id")) & (F.hash(utf8(t)) == F.col("cut_hash")), "left")
+    return named(joined.withColumn(t, F.coalesce("kept_text", t)), names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +80,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        out = stage(spark, out, sf_dir)
-    return out
+    for _, stage in STAGES[:-1]:
+        out = cut(stage(spark, out, sf_dir))
+    return STAGES[-1][1](spark, out, sf_dir)
