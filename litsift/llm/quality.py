@@ -1,11 +1,13 @@
 """Quality rules with compression bands.
 
 Base rules count words, symbols, repeated lines and words in repeated 8-word windows. Compression bands then look at
-zstandard ratios: of the whole text, with limits by its length, and of fixed chunks. Repetitive text compresses too well,
-random text too badly; both are rejected.
+zstandard ratios: of the whole text, with limits by its length, and of fixed chunks; the last chunk ends where the text
+ends, and a text shorter than a chunk is judged as a whole only. Repetitive text compresses too well, random text too
+badly; both are rejected. Short texts vary more, so below some 1,000 bytes only the more extreme ones can be told.
 
 Edge cases: a null text counts as empty; an empty or blank text has no words and fails the base rules; texts are taken
-whole at any length; repeated rows are judged one by one; extra columns of the input are ignored. No shuffle.
+whole at any length; repeated rows are judged one by one, rows with a null id like any other; extra columns of the input
+are ignored, whatever their names; an empty table gives an empty result. No shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from pyspark.sql import functions as F
 
 from litsift.llm.common import utf8
 
-#: Bands: texts of fewer UTF-8 bytes than the first number are kept if their ratio lies between the other two.
-BANDS = ((256, 0.40, 9.0), (1024, 0.42, 0.95), (4096, 0.40, 0.85), (16384, 0.37, 0.80), (1 << 62, 0.33, 0.75))
+#: Bands: texts of fewer UTF-8 bytes than the first number are kept if their ratio lies between the other two. The limits
+#: stand a few hundredths outside the ratios of texts labelled good, by length: prose of four languages, at LEVEL.
+BANDS = (
+    (256, 0.50, 0.92), (512, 0.50, 0.78), (1024, 0.48, 0.71), (2048, 0.455, 0.60), (4096, 0.435, 0.54), (8192, 0.415, 0.49),
+    (16384, 0.40, 0.47), (65536, 0.375, 0.45), (1 << 62, 0.30, 0.45),
+)
 CHUNK = 1024
-CHUNK_BAND = (0.30, 0.90)
+CHUNK_BAND = (0.44, 0.64)
 #: The largest share of chunks outside CHUNK_BAND that a kept text has.
 CHUNK_SHARE = 0.25
 LEVEL = 3
@@ -73,7 +79,8 @@ def judge(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple:
     failed = n < 20 or 100 * repeat > 30 * n
     ratio = len(zstd.compress(text)) / max(1, len(text))
     low, high = next((low, high) for below, low, high in BANDS if len(text) < below)
-    chunks = [len(zstd.compress(text[i : i + CHUNK])) / CHUNK for i in range(0, len(text) - CHUNK + 1, CHUNK)]
+    starts = [*range(0, len(text) - CHUNK, CHUNK), len(text) - CHUNK] if len(text) >= CHUNK else []
+    chunks = [len(zstd.compress(text[i : i + CHUNK])) / CHUNK for i in starts]
     odd = sum(not CHUNK_BAND[0] <= x <= CHUNK_BAND[1] for x in chunks) / max(1, len(chunks))
     return n, word_chars, int(counts[SYMBOLS].sum()), dup, repeat, failed, not failed and low <= ratio <= high and odd <= CHUNK_SHARE, ratio, odd
 

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +183,45 @@ def test_quality_base(spark):
     assert (got[3]["n_words"], got[3]["word_chars"], got[3]["n_symbols"], got[3]["n_dup_lines"]) == (5, 5, 2, 1) and got[4]["n_words"] == 0
 
 
+def base_counts(text: str | None) -> tuple:
+    t = text or ""
+    words = [w for w in re.split("[\x20\x09-\x0D]+", t) if w]
+    windows: dict[tuple, list[int]] = {}
+    for i in range(len(words) - 7):
+        windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+    again = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(8)}
+    lines, dup = set(), 0
+    for line in t.split("\n"):
+        if line.strip(" \t\x0b\x0c\r"):
+            dup += line in lines
+            lines.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(again), n < 20 or 100 * len(again) > 30 * n
+
+
+def test_quality_base_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + made(9) + [(9000, "x y\x1cz\xa0w " * 9), (9001, "ab " * 200_000), (9002, None), (9003, "é\nü\né\n\n \n \n"), (None, "some text")]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = sorted((str(r["doc_id"]), *(r[c] for c in names)) for r in quality.quality_rules(table(spark, rows)).collect())
+    assert got == sorted((str(i), *base_counts(t)) for i, t in rows)
+
+
+def test_quality_bands_reject_random_and_repetitive_texts(spark):
+    rng = random.Random(31)
+    good = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id").where("length(text) > 1500").collect()]
+    b64 = lambda n: " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=8)) for _ in range(n))
+    letters = lambda n: " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 9))) for _ in range(n))
+    phrases = [f"word{i} and more" for i in range(12)]
+    dull = lambda n: " ".join(rng.choice(phrases) for _ in range(n))
+    bad = [b64(40), b64(400), b64(5000), letters(300), letters(3000), dull(60), dull(600), dull(6000), good[0][:1100] + b64(120)]
+    rows = [(i, t) for i, t in enumerate(bad)] + [(1000 + i, t) for i, t in enumerate(good)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(table(spark, rows)).collect()}
+    assert not any(got[i]["kept"] for i in range(len(bad)))
+    passed = [r for i, r in got.items() if i >= 1000 and not r["base_failed"]]
+    assert len(passed) > 100 and sum(r["kept"] for r in passed) >= 0.99 * len(passed)
+
+
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
 
