@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 Z95 = 1.96
 
 
+def to_number(text: Column) -> Column:
+    """A double, or null for what is no number."""
+    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+
+
+def yes_no(answer: Column) -> Column:
+    """1 for Yes, 0 for No, null for anything else."""
+    return F.when(answer == "Yes", 1).when(answer == "No", 0)
+
+
+def to_yes_no(flag: Column) -> Column:
+    return F.when(flag == 1, "Yes").when(flag == 0, "No")
+
+
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """The mean of the vectors (array of arrays) whose mask is not 0, place by place; zeros if all are masked."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["v"])
+    size = F.size(F.get(vectors, F.lit(0)))
+    total = F.aggregate(kept, F.array_repeat(F.lit(0.0), size), lambda a, v: F.zip_with(a, v, lambda p, q: p + q.cast("double")))
+    return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

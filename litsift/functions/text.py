@@ -8,6 +8,7 @@ A null or blank text has no evidence, a count of 0 and an empty snippet.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,8 +63,16 @@ def window_evidence(text: Column | str, pattern: str, field: str, window_size: i
 
     def around(t: str | None) -> list[dict]:
         out: dict[str, dict] = {}
+        starts: list[int] = []
+        ends: list[int] = []
         for m in found.finditer(t) if t and t.strip() else ():
-            whole = " ".join([*t[: m.start()].split()[-window_size:], m[0], *t[m.end() :].split()[:window_size]])
+            if not starts:  # where the words are, once a text
+                spans = [w.span() for w in re.finditer(r"\S+", t)]
+                starts, ends = [a for a, _ in spans], [b for _, b in spans]
+            i, j = bisect_left(starts, m.start()), bisect_right(ends, m.end())
+            before = [t[starts[k] : min(ends[k], m.start())] for k in range(max(0, i - window_size) if window_size else 0, i)]
+            after = [t[max(starts[k], m.end()) : ends[k]] for k in range(j, min(len(ends), j + window_size))]
+            whole = " ".join([*before, m[0], *after])
             out.setdefault(whole, {"text": whole, "field": field, "matched_term": m[0]})
         return list(out.values())
 
@@ -117,3 +126,8 @@ def combined_text(columns: list[str]) -> Column:
 def model_text(columns: list[str], sep: str = " ") -> Column:
     """For modelling: fields joined by the separator between spaces, null as the text nan."""
     return F.concat_ws(f" {sep} ", *(F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns))
+
+
+def tokens(text: Column | str, max_length: int) -> Column:
+    """The first max_length words, for models; a null text has none."""
+    return F.slice(F.filter(F.split(text_or_empty(text), "(?U)\\s+", -1), lambda w: w != ""), 1, max_length)

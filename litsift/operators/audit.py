@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litsift.config import Config
@@ -30,6 +30,22 @@ def log_batch(scored: DataFrame, id_col: str, prediction: str, probability: str,
     )
 
 
+def log_decision(spark: SparkSession, record_id: object, prediction: int, probability: float, phase: str = "screening", reviewer_id: str | None = None) -> DataFrame:
+    """One entry, for interactive use."""
+    row = spark.createDataFrame([(str(record_id), int(prediction), float(probability))], "id string, p int, q double")
+    return log_batch(row, "id", "p", "q", phase, reviewer_id)
+
+
+def to_dict(log: DataFrame) -> dict:
+    """A log as plain data, {"entries": [...]}; it goes through the driver, so it is for logs that people read. Write larger ones as tables."""
+    return {"entries": [r.asDict() for r in log.select(*(c.split()[0] for c in SCHEMA.split(", "))).collect()]}
+
+
+def from_dict(spark: SparkSession, d: dict) -> DataFrame:
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(e.get(n) for n in names) for e in d["entries"]], SCHEMA)
+
+
 def update_labels(log: DataFrame, events: DataFrame, entry_seq: str, event_seq: str) -> DataFrame:
     """Each record's last event (record_id, human_label, reviewer_id, notes) overwrites its first entry; unknown ids raise KeyError."""
     last = events.groupBy("record_id").agg(F.max_by(F.struct("human_label", "reviewer_id", "notes"), event_seq).alias("e"))

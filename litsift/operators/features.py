@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsift.functions.scalars import probit
+from litsift.operators.order import exact_quantiles
 
 UNKNOWN, RARE = 0, 1
 TRANSFORMS = ("min", "max", "mean", "quantile", "log1p", "robust")
@@ -53,32 +54,26 @@ def embedding_width(size: int) -> int:
 
 
 def fit_numeric(df: DataFrame, transforms: dict[str, str]) -> dict[str, dict]:
-    """Parameters of every numeric column, in one pass over the table."""
+    """Parameters of every numeric column: one pass for all sums, and exact quantiles without a task that sees all values."""
     for c, kind in transforms.items():
         if kind not in TRANSFORMS:
             raise ValueError(f"Invalid transform {kind!r} for {c}")
     if not transforms:
         return {}
-    aggregates = []
-    for i, (c, kind) in enumerate(transforms.items()):
-        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        aggregates += [F.percentile(x, 0.5).alias(f"median{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.avg(x).alias(f"mean{i}"), F.count(x).alias(f"n{i}")]
-        if kind == "robust":
-            aggregates.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"))
-        elif kind in ("quantile", "log1p"):
-            aggregates.append(F.percentile(F.log1p(x) if kind == "log1p" else x, F.array(*(F.lit(k / (QUANTILES - 1)) for k in range(QUANTILES)))).alias(f"q{i}"))
-    row = df.agg(*aggregates).first()
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    row = df.agg(*(f(number(c)).alias(f"{k}{i}") for i, c in enumerate(transforms) for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg)))).first()
     out = {}
     for i, (c, kind) in enumerate(transforms.items()):
-        n = row[f"n{i}"]
-        p = {"kind": kind, "median": row[f"median{i}"] if n else 0.0}
+        grid = [k / (QUANTILES - 1) for k in range(QUANTILES)] if kind == "quantile" else [0.25, 0.75] if kind == "robust" else []
+        median, *rest = exact_quantiles(df, number(c), [0.5, *grid]) or [None]
+        p = {"kind": kind, "median": 0.0 if median is None else median}
         if kind in ("min", "max", "mean"):
-            p["value"] = row[f"{kind}{i}"] if n else (1.0 if kind == "max" else 0.0)
+            p["value"] = row[f"{kind}{i}"] if median is not None else (1.0 if kind == "max" else 0.0)
         elif kind == "robust":
-            low, high = row[f"q{i}"] if n else (0.0, 1.0)
+            low, high = rest or (0.0, 1.0)
             p |= {"center": p["median"], "scale": (high - low) or 1.0}
         else:
-            p["quantiles"] = row[f"q{i}"] if n else [0.0]
+            p["quantiles"] = (rest if kind == "quantile" else exact_quantiles(df, F.log1p(number(c)), [k / (QUANTILES - 1) for k in range(QUANTILES)])) or [0.0]
         out[c] = p
     return out
 
@@ -148,10 +143,13 @@ def fit_transforms(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str,
     return FittedTransforms(vocabularies, fit_numeric(df, {c: numeric_transform[c] for c in spec.numeric_cols}))
 
 
-def preprocess(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str, str] | None = None, fitted: FittedTransforms | None = None, rare_threshold: int = 5, sep: str = " ") -> tuple[DataFrame, FittedTransforms]:
-    """Adds model_text, cat, num and labels (array of floats); fits first if nothing fitted is given."""
-    from litsift.functions.text import model_text
+def preprocess(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str, str] | None = None, fitted: FittedTransforms | None = None, rare_threshold: int = 5, sep: str = " ", max_length: int | None = None) -> tuple[DataFrame, FittedTransforms]:
+    """Adds model_text (its first max_length words, or all), cat, num and labels (array of floats); fits first if nothing fitted is given."""
+    from litsift.functions.text import model_text, tokens
 
     fitted = fitted or fit_transforms(df, spec, numeric_transform, rare_threshold)
     labels = F.array(*(F.col(c).cast("float") for c in spec.labels())).cast("array<float>")
-    return fitted.transform(df).withColumns({"model_text": model_text(list(spec.text_cols), sep), "labels": labels}), fitted
+    text = model_text(list(spec.text_cols), sep)
+    if max_length is not None:
+        text = F.array_join(tokens(text, max_length), " ")
+    return fitted.transform(df).withColumns({"model_text": text, "labels": labels}), fitted

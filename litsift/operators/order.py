@@ -6,10 +6,12 @@ its offset, and a window counts within buckets.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+QUANTILE_BUCKETS = 256
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -35,6 +37,37 @@ def hash_rank(df: DataFrame, id_col: str, seed: int, by: list[str] | None = None
     return joined.select(*df.columns, (F.col("_before") + F.col("_own")).alias(name), "n")
 
 
+def exact_quantiles(df: DataFrame, value: Column, probabilities: list[float]) -> list[float]:
+    """Quantiles by linear interpolation between the neighbouring values; [] without values. NaN and null don't count.
+
+    Approximate quantiles deal the values into buckets; the buckets' exact counts tell which of them hold the wanted ranks,
+    and only there distinct values are counted and put in order, a bucket a task. No task sees all values.
+    """
+    x = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    rows = df.select(x.alias("x")).where("x is not null")
+    edges = sorted(set(rows.approxQuantile("x", [i / QUANTILE_BUCKETS for i in range(1, QUANTILE_BUCKETS)], 0.5 / QUANTILE_BUCKETS)))
+    splits = [-float("inf"), *edges, float("inf")]
+    bucketed = Bucketizer(splits=splits, inputCol="x", outputCol="b").transform(rows) if edges else rows.withColumn("b", F.lit(0.0))
+    counts = sorted((int(r["b"]), r["n"]) for r in bucketed.groupBy("b").agg(F.count("*").alias("n")).collect())  # a row a bucket
+    n = sum(c for _, c in counts)
+    if not n:
+        return []
+    places = [p * (n - 1) for p in probabilities]
+    ranks = sorted({int(p) for p in places} | {min(n - 1, int(p) + 1) for p in places})
+    wanted, at, i = [], 0, 0
+    for b, c in counts:
+        while i < len(ranks) and ranks[i] < at + c:
+            wanted.append((float(b), ranks[i], ranks[i] - at))
+            i += 1
+        at += c
+    marks = df.sparkSession.createDataFrame(wanted, "b double, rank long, own long")  # at most two a probability
+    distinct = bucketed.join(F.broadcast(marks.select("b").distinct()), "b").groupBy("b", "x").agg(F.count("*").alias("n"))
+    upto = distinct.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("x")))
+    found = upto.join(F.broadcast(marks), "b").where((F.col("own") < F.col("upto")) & (F.col("own") >= F.col("upto") - F.col("n"))).select("rank", "x").collect()
+    of = {r["rank"]: r["x"] for r in found}
+    return [of[int(p)] + (p - int(p)) * (of[min(n - 1, int(p) + 1)] - of[int(p)]) for p in places]
+
+
 def running_by_score(df: DataFrame, score: str, sums: dict[str, Column], descending: bool = True) -> DataFrame:
     """One row for each distinct score with running sums up to and with it; scores of 0 to 1."""
     distinct = df.groupBy(score).agg(*(F.sum(v).alias(k) for k, v in sums.items())).withColumn("_bucket", F.floor(F.col(score) * BUCKETS))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.functions import text as T
-from litsift.operators.order import hash_rank
+from litsift.operators.order import exact_quantiles, hash_rank
 
 STRATA = ("very_low", "low", "medium", "high", "very_high")
 
@@ -37,10 +37,10 @@ def with_folds(df: DataFrame, id_col: str, label_cols: list[str], n_folds: int =
 
 
 def pattern_scores(df: DataFrame, patterns: dict[str, str], text_cols: list[str]) -> DataFrame:
-    """Adds {label}_pattern_count and {label}_snippets for each pattern, and pattern_score, the sum of the counts."""
+    """Adds {label}_pattern_count and {label}_pattern_snippets for each pattern, and pattern_score, the sum of the counts."""
     used = [c for c in text_cols if c in df.columns]
     with_text = df.withColumn("_text", T.combined_text(used))
-    counted = with_text.withColumns({f"{k}_pattern_count": T.count_matches("_text", p) for k, p in patterns.items()} | {f"{k}_snippets": T.snippets("_text", p) for k, p in patterns.items()})
+    counted = with_text.withColumns({f"{k}_pattern_count": T.count_matches("_text", p) for k, p in patterns.items()} | {f"{k}_pattern_snippets": T.snippets("_text", p) for k, p in patterns.items()})
     total = reduce(lambda a, b: a + b, [F.col(f"{k}_pattern_count") for k in patterns], F.lit(0))
     return counted.withColumn("pattern_score", total).drop("_text")
 
@@ -49,8 +49,8 @@ def with_strata(df: DataFrame, score: str, n_strata: int = 5) -> DataFrame:
     """Adds strata by quantiles of the score: right-closed, equal edges merged, named from the bottom; one score: uniform."""
     if n_strata > len(STRATA):
         raise ValueError(f"at most {len(STRATA)} strata")
-    edges = df.agg(F.array_distinct(F.percentile(score, F.array(*(F.lit(i / n_strata) for i in range(n_strata + 1))))).alias("e")).first()["e"]
-    if not edges or len(edges) < 2:
+    edges = sorted(set(exact_quantiles(df, F.col(score), [i / n_strata for i in range(n_strata + 1)])))
+    if len(edges) < 2:
         return df.withColumn("strata", F.lit("uniform"))
     name = F.lit(STRATA[len(edges) - 2])
     for i in range(len(edges) - 3, -1, -1):
@@ -64,6 +64,12 @@ def sample_strata(df: DataFrame, id_col: str, by: str, fraction: float, seed: in
     return ranked.where(F.col("rank") <= F.bround(F.lit(fraction) * F.col("n"))).select(*df.columns)
 
 
+def strata_distribution(df: DataFrame, by: str = "strata") -> DataFrame:
+    """Rows and share of each stratum; rows without one stand under null."""
+    counts = df.groupBy(by).agg(F.count("*").alias("n"))
+    return counts.crossJoin(counts.agg(F.sum("n").alias("_all"))).select(by, "n", (F.col("n") / F.col("_all")).alias("share"))  # the sum is one row
+
+
 def create_stratified_sample(df: DataFrame, patterns: dict[str, str], id_col: str, text_cols: list[str] | None = None, coding_labels: list[str] | None = None, sample_size: float = 0.2, random_seed: int = 42, n_strata: int = 5) -> DataFrame:
     """A sample for coding: pattern counts and snippets, strata by total count, and empty columns for the coders."""
     scored = pattern_scores(df, patterns, text_cols or ["title", "abstract", "keywords"])

@@ -47,7 +47,7 @@ def semantic_scores(evidence: Column, description: str, encoder: Encoder = hashe
 
 
 def regex_screen(df: DataFrame, criteria: dict[str, dict], fields: list[str] | None = None, unit: str = "sentence", window_size: int = 5, encoder: Encoder | None = hashed_encoder) -> DataFrame:
-    """The input's other columns, five columns a criterion (flag, _evidence, _scores, _mean_score, _max_score), and meets_all_criteria.
+    """The input's other columns, five columns a criterion (flag, _evidence, _semantic_scores, _semantic_mean, _semantic_max), and meets_all_criteria.
 
     criteria: name to {"pattern", "description"}, or a list of patterns. Fields that the table lacks are left out. Without
     an encoder score columns are null. With no criterion every row meets all.
@@ -62,8 +62,8 @@ def regex_screen(df: DataFrame, criteria: dict[str, dict], fields: list[str] | N
     for c in criteria:
         score = F.col(f"_sc_{c}") if encoder is not None else F.lit(None).cast(SCORE)
         made |= {
-            c: (F.size(f"_ev_{c}") > 0).cast("int"), f"{c}_evidence": T.evidence_display(F.col(f"_ev_{c}")), f"{c}_scores": score["individual_scores"],
-            f"{c}_mean_score": score["mean_score"], f"{c}_max_score": score["max_score"],
+            c: (F.size(f"_ev_{c}") > 0).cast("int"), f"{c}_evidence": T.evidence_display(F.col(f"_ev_{c}")), f"{c}_semantic_scores": score["individual_scores"],
+            f"{c}_semantic_mean": score["mean_score"], f"{c}_semantic_max": score["max_score"],
         }
     meets = reduce(lambda a, b: a & b, [F.size(f"_ev_{c}") > 0 for c in criteria], F.lit(True)).cast("int")
     other = [c for c in df.columns if c not in made and c != "meets_all_criteria"]

@@ -80,4 +80,4 @@ def update(state: StoppingState, label: int) -> StoppingState:
     """The state after one more label, for interactive use."""
     hit = label == 1
     new = replace(state, total_screened=state.total_screened + 1, total_relevant=state.total_relevant + hit, consecutive_irrelevant=0 if hit else state.consecutive_irrelevant + 1)
-    return replace(new, history=(*state.history, {"total_screened": new.total_screened, "total_relevant": new.total_relevant, "consecutive_irrelevant": new.consecutive_irrelevant}))
+    return replace(new, history=(*state.history, {"screened": new.total_screened, "relevant": new.total_relevant, "consecutive_irrelevant": new.consecutive_irrelevant}))

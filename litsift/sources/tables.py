@@ -6,9 +6,11 @@ import re
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
+from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +34,23 @@ def load_data(spark: SparkSession, path: str, schema: T.StructType | None = None
         return spark.read.parquet(path)
     if path.endswith(".csv"):
         reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        return with_nulls(reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path))
+        return with_nulls(reader.schema(schema).csv(path)) if schema else typed(with_nulls(reader.option("inferSchema", True).csv(path)))
     return read_xlsx(spark, path)
 
 
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns that hold only numbers beside missing values, as longs or doubles; one pass over the text columns."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df
+    as_kind = lambda c, kind: F.col(f"`{c}`").try_cast(kind)
+    plain = "^[+-]?[0-9]+$"
+    counts = [x for i, c in enumerate(names) for x in (F.count(f"`{c}`").alias(f"n{i}"), F.count(F.when(F.col(f"`{c}`").rlike(plain), as_kind(c, "long"))).alias(f"l{i}"), F.count(as_kind(c, "double")).alias(f"d{i}"))]
+    row = df.agg(*counts).first()
+    kinds = {c: "long" if row[f"l{i}"] == row[f"n{i}"] else "double" for i, c in enumerate(names) if row[f"n{i}"] and row[f"n{i}"] in (row[f"l{i}"], row[f"d{i}"])}
+    return df.withColumns({c: as_kind(c, k) for c, k in kinds.items()}) if kinds else df
+
+
 def cells(data: bytes) -> Iterator[list]:
     """Rows of the first sheet of a workbook."""
     with zipfile.ZipFile(BytesIO(data)) as z:
@@ -43,7 +58,10 @@ def cells(data: bytes) -> Iterator[list]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{NS}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{NS}si")]
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        first = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{NS}sheet"))  # in the order of the workbook's tabs
+        link = next(v for k, v in first.attrib.items() if k.endswith("}id"))
+        target = next(r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if r.get("Id") == link)
+        sheet = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         for row in ElementTree.fromstring(z.read(sheet)).iter(f"{NS}row"):
             out: list = []
             for c in row.iter(f"{NS}c"):
@@ -63,20 +81,34 @@ def cells(data: bytes) -> Iterator[list]:
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet; a workbook holds 1,048,576 rows at most and is one file, so one task reads it. Columns of numbers are doubles or longs."""
-    data = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    rows = list(cells(bytes(data)))
-    head = [str(h) if h is not None else f"column_{i}" for i, h in enumerate(rows[0])] if rows else []
-    body = [[*r[: len(head)], *[None] * (len(head) - len(r))] for r in rows[1:]]
-    fields = []
+    """The first sheet. A workbook is one file of at most 1,048,576 rows, so one task parses it; only the header and the kinds of its columns come to the driver.
+
+    Columns of numbers are longs or doubles; a column without a name is column_i.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                rows = cells(data)
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([[None if v is None else repr(v) if isinstance(v, float) else "'" + str(v) for v in r] for r in part], pa.list_(pa.string()))], ["cells"])
+
+    parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "cells array<string>").withColumn("at", F.monotonically_increasing_id()).persist()
+    top = parsed.orderBy("at").limit(1).collect()
+    if not top:
+        return spark.createDataFrame([], T.StructType([]))
+    head = [f"column_{i}" if h is None else h[1:] if h.startswith("'") else h for i, h in enumerate(top[0]["cells"])]
+    body = parsed.where(F.col("at") > top[0]["at"])
+    cell = [F.get("cells", F.lit(i)) for i in range(len(head))]
+    is_text = [F.startswith(c, F.lit("'")) for c in cell]
+    counts = [x for i, c in enumerate(cell) for x in (F.count(c).alias(f"n{i}"), F.count_if(is_text[i]).alias(f"t{i}"), F.count_if(~is_text[i] & (c.try_cast("double") == F.floor(c.try_cast("double")))).alias(f"w{i}"))]
+    row = body.agg(*counts).first() if head else None
+    out = []
     for i, h in enumerate(head):
-        column = [r[i] for r in body]
-        numbers = all(v is None or isinstance(v, float) for v in column) and any(v is not None for v in column)
-        whole = numbers and all(v is None or v == int(v) for v in column)
-        for r in body:
-            r[i] = int(r[i]) if whole and r[i] is not None else r[i] if numbers or r[i] is None else str(r[i])
-        fields.append(T.StructField(h, T.LongType() if whole else T.DoubleType() if numbers else T.StringType()))
-    return spark.createDataFrame(body, T.StructType(fields))
+        numbers = row[f"n{i}"] and not row[f"t{i}"]
+        kind = "long" if numbers and row[f"w{i}"] == row[f"n{i}"] else "double"
+        out.append((cell[i].try_cast("double").cast(kind) if numbers else F.when(is_text[i], F.substr(cell[i], F.lit(2))).otherwise(cell[i])).alias(h))
+    return body.orderBy("at").select(*out)
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -138,6 +170,21 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Screening Results", width
 
 
 def save_sample_xlsx(sample: DataFrame, path: str, patterns: dict[str, str]) -> None:
-    """A coding sample as a sheet: green heads for label columns, yellow label cells where the pattern was found."""
-    widths = {"title": 50, "abstract": 80, "keywords": 40, "notes": 40} | {f"{k}_snippets": 60 for k in patterns}
-    write_xlsx(sample, path, "Sample", widths, set(patterns), {k: f"{k}_pattern_count" for k in patterns if k in sample.columns}, "D2")
+    """A coding sample as a sheet: green heads for label columns, yellow count cells where a pattern was found."""
+    widths = {"title": 50, "abstract": 80, "keywords": 40, "notes": 40} | {f"{k}_pattern_snippets": 60 for k in patterns}
+    write_xlsx(sample, path, "Sample", widths, set(patterns), {c: c for c in (f"{k}_pattern_count" for k in patterns) if c in sample.columns}, "D2")
+
+
+def screen_file(spark: SparkSession, path: str, criteria: dict[str, dict], output: str | None = None, **options) -> DataFrame:
+    """Screens a file and writes the result: as one sheet "Screening Results" (by default screened.xlsx beside the input), or as CSV or Parquet by the suffix."""
+    from litsift.operators.screening import regex_screen
+
+    out = regex_screen(load_data(spark, path), criteria, **options)
+    output = output or f"{path.rsplit('/', 1)[0]}/screened.xlsx" if "/" in path or output else "screened.xlsx"
+    if output.endswith(".parquet"):
+        out.write.mode("overwrite").parquet(output)
+    elif output.endswith(".csv"):
+        write_csv(out, output)
+    else:
+        write_xlsx(out, output)
+    return out

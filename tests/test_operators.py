@@ -57,9 +57,9 @@ def test_regex_screen(spark):
     df = spark.createDataFrame([(1, "Math here. Algebra there.", "k"), (2, None, None)], "id long, abstract string, title string")
     out = screening.regex_screen(df, {"m": {"pattern": "math", "description": "math"}, "g": {"pattern": "algebra", "description": "algebra"}}).orderBy("id").collect()
     assert (out[0]["m"], out[0]["meets_all_criteria"], out[1]["m"], out[1]["meets_all_criteria"]) == (1, 1, 0, 0)
-    assert out[0]["m_evidence"] == "abstract: Math here" and out[1]["m_scores"] == [] and out[1]["m_max_score"] == 0.0
+    assert out[0]["m_evidence"] == "abstract: Math here" and out[1]["m_semantic_scores"] == [] and out[1]["m_semantic_max"] == 0.0
     assert screening.regex_screen(df, {}).where("meets_all_criteria = 1").count() == 2
-    assert screening.regex_screen(df, {"m": {"pattern": "math"}}, encoder=None).first()["m_scores"] is None
+    assert screening.regex_screen(df, {"m": {"pattern": "math"}}, encoder=None).first()["m_semantic_scores"] is None
 
 
 def test_split_is_exact_and_disjoint(spark):
