@@ -11,34 +11,41 @@ from math import exp, log
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, OneHotEncoder, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsift.config import Config, default_config
-from litsift.functions.scalars import sigmoid
+from litsift.functions.scalars import flag_uncertain, sigmoid
 from litsift.operators import metrics
 from litsift.operators.features import ColumnSpec, preprocess
 from litsift.operators.sampling import with_folds
 
 HIDDEN = "mlp"
+#: Solver steps of an epoch, with hidden units and without.
+STEPS = {True: 5, False: 10}
 
 
-def stages(text_features: int, mlp_layers: list[int] | None, epochs: int, seed: int, embedding: bool) -> list:
+def feature_stages(text_features: int, n_cat: int, embedding: bool) -> list:
+    """Categories become 0 and 1 for each of their codes, so that codes have no order; text becomes hashed word counts."""
     text = [] if embedding else [RegexTokenizer(inputCol="model_text", outputCol="_words", pattern="\\s+"), HashingTF(inputCol="_words", outputCol="_text", numFeatures=text_features)]
-    assemble = VectorAssembler(inputCols=["_text", "_cat", "_num"], outputCol="_features")
-    if mlp_layers:
-        last = MultilayerPerceptronClassifier(featuresCol="_features", labelCol="_label", layers=mlp_layers, maxIter=epochs, seed=seed, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred")
-    else:
-        last = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", regParam=0.01, maxIter=10 * epochs, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred")
-    return [*text, assemble, last]
+    hot = [OneHotEncoder(inputCols=[f"_cat{i}" for i in range(n_cat)], outputCols=[f"_hot{i}" for i in range(n_cat)], dropLast=False, handleInvalid="keep")] if n_cat else []
+    return [*text, *hot, VectorAssembler(inputCols=["_text", *(f"_hot{i}" for i in range(n_cat)), "_num"], outputCol="_features")]
 
 
-def inputs(df: DataFrame, embedding_col: str | None) -> DataFrame:
-    """Vectors for the assembler; an empty array becomes a vector of one zero."""
+def classifier(layers: list[int] | None, steps: int, config: Config):
+    """The last stage; `steps` solver steps, from the same start each time."""
+    names = {"featuresCol": "_features", "labelCol": "_label", "rawPredictionCol": "_raw", "probabilityCol": "_prob", "predictionCol": "_pred", "maxIter": steps}
+    if layers:
+        return MultilayerPerceptronClassifier(layers=layers, seed=config.random_seed, **names)
+    return LogisticRegression(weightCol="_weight", regParam=0.01, **names)
+
+
+def inputs(df: DataFrame, embedding_col: str | None, n_cat: int) -> DataFrame:
+    """Vectors and category codes for the stages; an empty array becomes a vector of one zero."""
     filled = lambda c: array_to_vector(F.when(F.size(c) > 0, F.transform(c, lambda x: x.cast("double"))).otherwise(F.array(F.lit(0.0))))
-    out = df.withColumns({"_cat": filled("cat"), "_num": filled("num")})
+    out = df.withColumns({"_num": filled("num")} | {f"_cat{i}": F.col("cat")[i].cast("double") for i in range(n_cat)})
     return out.withColumn("_text", filled(embedding_col)) if embedding_col else out
 
 
@@ -48,29 +55,31 @@ class ScreeningModel:
 
     models: list[PipelineModel]
     embedding_col: str | None = None
+    n_cat: int = 0
 
     def save(self, path: str) -> None:
         """One folder for each label's pipeline, and the name of the vector column."""
         spark = SparkSession.active()
         for i, m in enumerate(self.models):
             m.write().overwrite().save(f"{path}/label_{i}")
-        spark.createDataFrame([(len(self.models), self.embedding_col)], "n int, embedding_col string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        spark.createDataFrame([(len(self.models), self.embedding_col, self.n_cat)], "n int, embedding_col string, n_cat int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
     @classmethod
     def load(cls, path: str) -> ScreeningModel:
         about = SparkSession.active().read.parquet(f"{path}/about").first()
-        return cls([PipelineModel.load(f"{path}/label_{i}") for i in range(about["n"])], about["embedding_col"])
+        return cls([PipelineModel.load(f"{path}/label_{i}") for i in range(about["n"])], about["embedding_col"], about["n_cat"])
 
     def logits(self, df: DataFrame) -> DataFrame:
         """Adds logits (array of double, one for each label)."""
-        out, names = inputs(df, self.embedding_col), []
+        out, names = inputs(df, self.embedding_col, self.n_cat), []
+        made = [*(f"_cat{i}" for i in range(self.n_cat)), "_num", *(["_text"] if self.embedding_col else [])]
         for i, m in enumerate(self.models):
             out = m.transform(out)
             raw = vector_to_array("_raw")
             logit = raw[1] - raw[0] if m.stages[-1].__class__.__name__.startswith("Multi") else raw[1]
-            out = out.withColumn(f"_logit{i}", logit).drop("_raw", "_prob", "_pred", "_features", *([] if self.embedding_col else ["_words", "_text"]))
+            out = out.withColumn(f"_logit{i}", logit).drop("_raw", "_prob", "_pred", "_features", *(f"_hot{i}" for i in range(self.n_cat)), *([] if self.embedding_col else ["_words", "_text"]))
             names.append(f"_logit{i}")
-        return out.withColumn("logits", F.array(*names)).drop(*names, "_cat", "_num", *(["_text"] if self.embedding_col else []))
+        return out.withColumn("logits", F.array(*names)).drop(*names, *made)
 
     def predict(self, df: DataFrame, threshold: float | list[float] = 0.5, temperature: list[float] | None = None) -> DataFrame:
         """Adds logits, probabilities and predictions (1 above the threshold); calibration comes before the sigmoid."""
@@ -82,20 +91,62 @@ class ScreeningModel:
         return out.withColumn("probabilities", F.array(*p)).withColumn("predictions", F.array(*((F.col("probabilities")[i] > limits[i]).cast("int") for i in range(n))))
 
 
-def fit(df: DataFrame, n_labels: int = 1, config: Config = default_config, text_features: int = 1 << 12, embedding_col: str | None = None, kind: str = "logistic") -> ScreeningModel:
-    """Fits on rows of preprocess(); pos_weight 'auto' weighs positives by negatives / positives."""
-    models = []
-    ready = inputs(df, embedding_col)
+def unpack_labels(predicted: DataFrame, names: list[str], low: float = 0.3, high: float = 0.7) -> DataFrame:
+    """For each label its prediction, {name}_prob and {name}_uncertain, from the arrays of predict()."""
+    p = [F.col("probabilities")[i] for i in range(len(names))]
+    return predicted.withColumns({k: v for i, n in enumerate(names) for k, v in ((n, F.col("predictions")[i]), (f"{n}_prob", p[i]), (f"{n}_uncertain", flag_uncertain(p[i], low, high)))})
+
+
+def train(df: DataFrame, validation: DataFrame | None = None, n_labels: int = 1, config: Config = default_config, text_features: int = 1 << 12, embedding_col: str | None = None, kind: str = "logistic") -> tuple[ScreeningModel, DataFrame]:
+    """The model, and its history: label, epoch, train_loss, validation_loss, train_accuracy, validation_accuracy (in percent) and best.
+
+    An epoch is a few solver steps (STEPS); with validation rows training stops after `early_stopping_patience` epochs without a
+    smaller validation loss, and the best epoch's model is kept. Without them all epochs run at once and the history has
+    one row a label, without figures. Both solvers are deterministic, so epoch k repeats the steps of epoch k - 1 and goes on. pos_weight
+    'auto' weighs positives by negatives / positives (logistic only).
+    """
+    spark, models, history = df.sparkSession, [], []
+    top = df.select(F.size("cat").alias("n")).first()
+    n_cat = max(0, top["n"]) if top else 0
+    ready = inputs(df, embedding_col, n_cat)
     for i in range(n_labels):
-        own = ready.where(F.col("labels")[i].isNotNull()).withColumn("_label", F.col("labels")[i].cast("double"))
+        labelled = lambda rows: rows.where(F.col("labels")[i].isNotNull()).withColumn("_label", F.col("labels")[i].cast("double"))  # noqa: B023, E731
+        own = labelled(ready)
         weight = metrics.positive_weight(own, "_label").first()[0] if config.pos_weight == "auto" else float(config.pos_weight or 1.0)
         own = own.withColumn("_weight", F.when(F.col("_label") == 1, F.lit(float(weight or 1.0))).otherwise(F.lit(1.0)))
+        made = Pipeline(stages=feature_stages(text_features, n_cat, bool(embedding_col))).fit(own)
+        seen = made.transform(own).select("_features", "_label", "_weight").persist()
         layers = None
         if kind == HIDDEN:
-            first = own.select(F.size("cat"), F.size("num"), *([F.size(embedding_col)] if embedding_col else [])).first()
-            layers = [(first[2] if embedding_col else text_features) + max(1, first[0]) + max(1, first[1]), *[config.mlp_hidden_size] * config.n_hidden_layers, 2]
-        models.append(Pipeline(stages=stages(text_features, layers, config.epochs, config.random_seed, bool(embedding_col))).fit(own))
-    return ScreeningModel(models, embedding_col)
+            layers = [seen.first()["_features"].size, *[config.mlp_hidden_size] * config.n_hidden_layers, 2]
+        checked = made.transform(labelled(inputs(validation, embedding_col, n_cat))).select("_features", "_label").persist() if validation is not None else None
+        best, kept, rows = None, None, []
+        for epoch in range(1, config.epochs + 1) if checked is not None else (config.epochs,):
+            fitted = classifier(layers, STEPS[bool(layers)] * epoch, config).fit(seen)
+            figures = [loss_and_accuracy(fitted, t) for t in (seen, checked)] if checked is not None else [(None, None)] * 2
+            rows.append([i, epoch, figures[0][0], figures[1][0], figures[0][1], figures[1][1]])
+            if checked is None or best is None or figures[1][0] < rows[best][3]:
+                best, kept = len(rows) - 1, fitted
+            elif len(rows) - 1 - best >= config.early_stopping_patience:
+                break
+        history += [(*r, k == best) for k, r in enumerate(rows)]
+        models.append(PipelineModel(stages=[*made.stages, kept]))
+        for t in (seen, checked):
+            if t is not None:
+                t.unpersist()
+    schema = "label int, epoch int, train_loss double, validation_loss double, train_accuracy double, validation_accuracy double, best boolean"
+    return ScreeningModel(models, embedding_col, n_cat), spark.createDataFrame(history, schema)
+
+
+def loss_and_accuracy(fitted, rows: DataFrame) -> tuple[float | None, float | None]:
+    p = vector_to_array("_prob")[1]
+    scored = fitted.transform(rows).select("_label", p.alias("p"))
+    return metrics.log_loss(scored, "_label", "p").first()[0], metrics.accuracy_percent(scored, "_label", "p").first()[0]
+
+
+def fit(df: DataFrame, n_labels: int = 1, config: Config = default_config, text_features: int = 1 << 12, embedding_col: str | None = None, kind: str = "logistic") -> ScreeningModel:
+    """Fits on rows of preprocess(), all epochs."""
+    return train(df, None, n_labels, config, text_features, embedding_col, kind)[0]
 
 
 def fit_temperature(scored: DataFrame, logit: Column, label: Column, steps: int = 3, points: int = 25) -> float:
@@ -115,9 +166,20 @@ def fit_temperature(scored: DataFrame, logit: Column, label: Column, steps: int
     return exp(best)
 
 
+def calibration_to_dict(temperature: list[float]) -> dict:
+    return {"temperature": temperature[0] if len(temperature) == 1 else list(temperature)}
+
+
+def calibration_from_dict(d: dict) -> list[float]:
+    t = d["temperature"]
+    return list(t) if isinstance(t, list) else [t]
+
+
 def calibrate(model: ScreeningModel, df: DataFrame) -> list[float]:
-    scored = model.logits(df).select("logits", "labels")
-    return [fit_temperature(scored, F.col("logits")[i], F.col("labels")[i].cast("double")) for i in range(len(model.models))]
+    scored = model.logits(df).select("logits", "labels").persist()  # two short arrays a row, read several times
+    out = [fit_temperature(scored, F.col("logits")[i], F.col("labels")[i].cast("double")) for i in range(len(model.models))]
+    scored.unpersist()
+    return out
 
 
 def cross_validate(df: DataFrame, id_col: str, spec: ColumnSpec, numeric_transform: dict[str, str] | None = None, config: Config = default_config, **options) -> tuple[DataFrame, int]:

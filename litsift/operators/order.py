@@ -44,7 +44,14 @@ def exact_quantiles(df: DataFrame, value: Column, probabilities: list[float]) ->
     and only there distinct values are counted and put in order, a bucket a task. No task sees all values.
     """
     x = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
-    rows = df.select(x.alias("x")).where("x is not null")
+    rows = df.select(x.alias("x")).where("x is not null").persist()  # one narrow column, read three times
+    try:
+        return quantiles_of(rows, probabilities)
+    finally:
+        rows.unpersist()
+
+
+def quantiles_of(rows: DataFrame, probabilities: list[float]) -> list[float]:
     edges = sorted(set(rows.approxQuantile("x", [i / QUANTILE_BUCKETS for i in range(1, QUANTILE_BUCKETS)], 0.5 / QUANTILE_BUCKETS)))
     splits = [-float("inf"), *edges, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="x", outputCol="b").transform(rows) if edges else rows.withColumn("b", F.lit(0.0))
@@ -60,7 +67,7 @@ def exact_quantiles(df: DataFrame, value: Column, probabilities: list[float]) ->
             wanted.append((float(b), ranks[i], ranks[i] - at))
             i += 1
         at += c
-    marks = df.sparkSession.createDataFrame(wanted, "b double, rank long, own long")  # at most two a probability
+    marks = rows.sparkSession.createDataFrame(wanted, "b double, rank long, own long")  # at most two a probability
     distinct = bucketed.join(F.broadcast(marks.select("b").distinct()), "b").groupBy("b", "x").agg(F.count("*").alias("n"))
     upto = distinct.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("x")))
     found = upto.join(F.broadcast(marks), "b").where((F.col("own") < F.col("upto")) & (F.col("own") >= F.col("upto") - F.col("n"))).select("rank", "x").collect()

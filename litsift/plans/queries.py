@@ -115,6 +115,38 @@ def semantic_similarity(spark, d):
     return rows.crossJoin(F.broadcast(goal)).select("vec_id", F.round(scalars.cosine(F.col("embedding"), F.col("goal")), 6).alias("score"))  # goal is one row
 
 
+TYPED = """(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'abc' WHEN 2 THEN ' 12 ' ELSE n_chars::VARCHAR || '.5' END AS raw, CASE quality WHEN 1 THEN 'Yes' ELSE CASE WHEN toxic = 1 THEN 'Maybe' ELSE 'No' END END AS answer FROM documents JOIN labels USING (doc_id))"""
+
+
+@query(f"SELECT doc_id, try_cast(trim(raw) AS DOUBLE) AS number, CASE answer WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 ELSE -1 END::INT AS flag, CASE answer WHEN 'Yes' THEN 'Yes' WHEN 'No' THEN 'No' ELSE '' END AS answer FROM {TYPED} WHERE try_cast(trim(raw) AS DOUBLE) IS NOT NULL")
+def typed_records(spark, d):
+    """Lenient numbers, Yes and No as 1 and 0 and back, and rows without a number dropped."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    case = F.col("doc_id") % 5
+    raw = F.when(case == 0, "NA").when(case == 1, "abc").when(case == 2, " 12 ").otherwise(F.concat(F.col("n_chars").cast("string"), F.lit(".5")))
+    answer = F.when(F.col("quality") == 1, "Yes").when(F.col("toxic") == 1, "Maybe").otherwise("No")
+    out = rows.select("doc_id", scalars.to_number(raw).alias("number"), scalars.yes_no(answer).alias("flag"))
+    out = out.withColumns({"answer": F.coalesce(scalars.to_yes_no(F.col("flag")), F.lit("")), "flag": F.coalesce("flag", F.lit(-1))})
+    return out.na.drop(subset=["number"])
+
+
+@query(f"SELECT doc_id, {P_SQL} AS quality_prob, ({P_SQL} > 0.5)::INT AS quality, {P_SQL} > 0.3 AND {P_SQL} < 0.7 AS quality_uncertain, 1 - {P_SQL} / 2 AS toxic_prob, (1 - {P_SQL} / 2 > 0.5)::INT AS toxic, 1 - {P_SQL} / 2 > 0.3 AND 1 - {P_SQL} / 2 < 0.7 AS toxic_uncertain FROM documents")
+def unpacked_labels(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.array(probability(), 1 - probability() / 2).alias("probabilities"))
+    rows = rows.withColumn("predictions", F.transform("probabilities", lambda p: (p > 0.5).cast("int")))
+    return model.unpack_labels(rows, ["quality", "toxic"]).drop("probabilities", "predictions")
+
+
+@query("""SELECT vec_id, round((a[1] * (vec_id % 2) + b[1] + c[1] * (vec_id % 3 % 2)) / (vec_id % 2 + 1 + vec_id % 3 % 2), 5) AS first, round((a[32] * (vec_id % 2) + b[32] + c[32] * (vec_id % 3 % 2)) / (vec_id % 2 + 1 + vec_id % 3 % 2), 5) AS last
+FROM (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[17:48]::DOUBLE[] AS b, embedding[33:64]::DOUBLE[] AS c FROM embeddings)""")
+def pooled_embeddings(spark, d):
+    """The masked mean of three vectors of a row."""
+    parts = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 17, 32), F.slice("embedding", 33, 32))
+    mask = F.array(F.col("vec_id") % 2, F.lit(1).cast("long"), F.col("vec_id") % 3 % 2)
+    pooled = read(spark, d, "embeddings").select("vec_id", scalars.masked_mean(parts, mask).alias("v"))
+    return pooled.select("vec_id", F.round(F.col("v")[0], 5).alias("first"), F.round(F.col("v")[31], 5).alias("last"))
+
+
 # --- sampling and splits ---
 
 
@@ -154,6 +186,12 @@ def coding_sample(spark, d):
     return sampling.create_stratified_sample(docs, CRITERIA, "doc_id").drop("abstract")
 
 
+@query(STRATA + " SELECT strata, count(*) AS n, round(count(*) / (SELECT count(*) FROM s), 6) AS share FROM s GROUP BY strata")
+def strata_distribution(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", T.count_matches("text", CRITERIA["a"]).alias("score"))
+    return sampling.strata_distribution(sampling.with_strata(docs, "score")).withColumn("share", F.round("share", 6))
+
+
 # --- features ---
 
 
@@ -173,6 +211,30 @@ def cat_encode(spark, d):
 NUM = "(SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"
 
 
+def poly_sql(coefficients: tuple[float, ...], x: str) -> str:
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def probit_sql(p: str, most: float = 5.199337582605575) -> str:
+    tail = lambda x: f"({poly_sql(scalars.PROBIT_C, f'sqrt(-2 * ln({x}))')} / {poly_sql(scalars.PROBIT_D, f'sqrt(-2 * ln({x}))')})"
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    middle = f"({poly_sql(scalars.PROBIT_A, r)} * ({p} - 0.5) / {poly_sql(scalars.PROBIT_B, r)})"
+    return f"greatest(-{most}, least({most}, CASE WHEN {p} <= 0 THEN -{most} WHEN {p} >= 1 THEN {most} WHEN {p} < {scalars.PROBIT_LOW} THEN {tail(p)} WHEN {p} > {1 - scalars.PROBIT_LOW} THEN -{tail(f'(1 - {p})')} ELSE {middle} END))"
+
+
+def quantile_sql(value: str) -> str:
+    """Among 1,000 quantiles q, v stands after the last quantile up to it (r) and after the last one below it (l); the mean of both places."""
+    place = lambda k: f"(CASE WHEN {k} = 0 THEN 0 WHEN {k} = 1000 THEN 1 ELSE ({k} - 1 + (v - q[{k}]) / (q[{k} + 1] - q[{k}])) / 999 END)"
+    return f"""WITH m AS (SELECT median(value) AS m, quantile_cont({value}, list_transform(range(1000), lambda i: i / 999)) AS q FROM {NUM}),
+n AS (SELECT event_id, {value.replace('value', 'coalesce(value, m)')} AS v, q FROM {NUM}, m),
+p AS (SELECT event_id, v, q, len(list_filter(q, lambda z: z <= v)) AS r, len(list_filter(q, lambda z: z < v)) AS l FROM n),
+u AS (SELECT event_id, 0.5 * ({place('r')} + {place('l')}) AS p FROM p)
+SELECT event_id, round({probit_sql('p')}, 6) AS x FROM u"""
+
+
 def numeric(spark: SparkSession, d: str, kind: str) -> DataFrame:
     rows = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
     p = features.fit_numeric(rows, {"value": kind})["value"]
@@ -199,12 +261,12 @@ def num_robust(spark, d):
     return numeric(spark, d, "robust")
 
 
-@query()
+@query(quantile_sql("value"))
 def num_quantile(spark, d):
     return numeric(spark, d, "quantile")
 
 
-@query()
+@query(quantile_sql("ln(1 + value)"))
 def num_log1p(spark, d):
     return numeric(spark, d, "log1p")
 
@@ -293,9 +355,14 @@ def confusion(spark, d):
     return metrics.confusion_matrix(scored(spark, d), "quality", "pred")
 
 
-@query()
+@query(f"""WITH c AS (SELECT {COUNTS} FROM (SELECT quality AS y, pred FROM {SCORED})),
+e AS (SELECT '0' AS class, tn AS hit, tn + fn AS said, tn + fp AS support FROM c UNION ALL SELECT '1', tp, tp + fp, tp + fn FROM c),
+f AS (SELECT class, CASE WHEN said = 0 THEN 0 ELSE hit / said END AS "precision", CASE WHEN support = 0 THEN 0 ELSE hit / support END AS recall, CASE WHEN said + support = 0 THEN 0 ELSE 2 * hit / (said + support) END AS f1, support FROM e),
+r AS (SELECT * FROM f UNION ALL SELECT 'macro avg', avg("precision"), avg(recall), avg(f1), sum(support) FROM f
+UNION ALL SELECT 'weighted avg', sum("precision" * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM f)
+SELECT class, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM r""")
 def classification_report(spark, d):
-    return metrics.classification_report(scored(spark, d), "quality", "pred")
+    return metrics.classification_report(scored(spark, d), "quality", "pred").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 @query(f"SELECT (count(*) - sum(quality)) / greatest(sum(quality), 1) AS pos_weight FROM {SCORED}")
@@ -347,9 +414,17 @@ def audit_disagreements(spark, d):
     return audit.disagreements(log_of(spark, d)).select("record_id", "model_prediction", "human_label")
 
 
-@query()
+@query(f"""WITH s AS (SELECT count(*) AS total, count(*) FILTER (pred = 1) AS included, count(*) FILTER (pred = 0) AS excluded, count(*) FILTER (p > 0.3 AND p < 0.7) AS uncertain,
+count(*) FILTER (human IS NOT NULL) AS reviewed, count(*) FILTER (human <> pred) AS overrides, count(*) FILTER (human = pred) AS agreed,
+count(*) FILTER (human = 1) AS h1, count(*) FILTER (human IS NOT NULL AND pred = 1) AS p1 FROM {LOG}),
+e AS (SELECT *, (h1 * p1 + (reviewed - h1) * (reviewed - p1)) / (reviewed * reviewed) AS chance FROM s), k AS (SELECT *, (agreed / reviewed - chance) / (1 - chance) AS kappa FROM e)
+SELECT unnest(['M8', 'M8', 'M8', 'M8', 'M9', 'M9', 'R1', 'R1', 'R1', 'R2', 'R2', 'R2', 'R2']) AS section,
+unnest(['human_reviewed', 'human_overrides', 'agreement_kappa', 'kappa_interpretation', 'total_screened', 'uncertain_flagged', 'model_included', 'model_excluded', 'human_overrides', 'compared', 'agreed', 'agreement_rate', 'kappa']) AS "key",
+unnest([reviewed::VARCHAR, overrides::VARCHAR, round(kappa, 6)::VARCHAR, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' ELSE 'almost perfect' END,
+total::VARCHAR, uncertain::VARCHAR, included::VARCHAR, excluded::VARCHAR, overrides::VARCHAR, reviewed::VARCHAR, agreed::VARCHAR, round(agreed / reviewed, 6)::VARCHAR, round(kappa, 6)::VARCHAR]) AS "value" FROM k""")
 def prisma_report(spark, d):
-    return audit.prisma_report(log_of(spark, d), Config())
+    """The figures of the report; its fixed texts are left out."""
+    return audit.prisma_report(log_of(spark, d), Config()).where(F.col("section").isin("M8", "M9", "R1", "R2") & (F.col("key") != "description"))
 
 
 HISTORY = """(SELECT doc_id, review, row_number() OVER w AS total_screened, sum(y) OVER w AS total_relevant, row_number() OVER w - coalesce(max(CASE WHEN y = 1 THEN n END) OVER w, 0) AS consecutive_irrelevant
@@ -362,6 +437,15 @@ def stopping_history(spark, d):
     return stopping.stopping_history(rows, "toxic", ["doc_id"], ["review"]).drop("toxic")
 
 
+@query(f"""SELECT doc_id, review, CASE WHEN phase = 'random' THEN CASE WHEN total_screened / n >= 0.1 THEN 'active' ELSE phase END ELSE 'quality_check' END AS phase
+FROM (SELECT *, count(*) OVER (PARTITION BY review) AS n, (['random', 'active', 'switch', 'quality_check'])[1 + doc_id % 4] AS phase FROM {HISTORY})""")
+def phase_transition(spark, d):
+    rows = read(spark, d, "labels").select("doc_id", (F.col("doc_id") % 4).alias("review"), "toxic")
+    h = stopping.stopping_history(rows, "toxic", ["doc_id"], ["review"]).withColumn("phase", F.element_at(F.array(*(F.lit(x) for x in ("random", "active", "switch", "quality_check"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    total = h.groupBy("review").agg(F.count("*").alias("n"))
+    return h.join(total, "review").select("doc_id", "review", stopping.next_phase(F.col("phase"), F.col("n")).alias("phase"))
+
+
 WILSON = "((r / s + 1.96 * 1.96 / (2 * s)) - 1.96 * sqrt((r / s * (1 - r / s) + 1.96 * 1.96 / (4 * s)) / s)) / (1 + 1.96 * 1.96 / s)"
 
 
@@ -399,7 +483,7 @@ SPEC = features.ColumnSpec(text_cols=("text",), categorical_cols=("lang", "sourc
 @query()
 def model_predictions(spark, d):
     """Fitted on the training split, applied to all labelled documents, calibrated on the validation split."""
-    train, val, _ = sampling.split_data(training(spark, d), "doc_id")
+    train, val, _ = (part.persist() for part in sampling.split_data(training(spark, d), "doc_id"))
     ready, fitted = features.preprocess(train, SPEC, {"n_chars": "log1p"})
     fit = model.fit(ready, 2)
     checked, _ = features.preprocess(val, SPEC, fitted=fitted)
@@ -407,6 +491,16 @@ def model_predictions(spark, d):
     return fit.predict(rows, temperature=model.calibrate(fit, checked)).select("doc_id", F.round(F.col("probabilities")[0], 6).alias("quality_prob"), F.col("predictions")[0].alias("quality"), F.round(F.col("probabilities")[1], 6).alias("toxic_prob"), F.col("predictions")[1].alias("toxic"))
 
 
+@query()
+def training_history(spark, d):
+    """A perceptron with embedded categories, trained with early stopping on the validation split."""
+    train, val, _ = (part.persist() for part in sampling.split_data(training(spark, d), "doc_id"))
+    ready, fitted = features.preprocess(train, SPEC, {"n_chars": "log1p"}, max_length=64)
+    checked, _ = features.preprocess(val, SPEC, fitted=fitted, max_length=64)
+    _, history = model.train(ready, checked, 1, Config(epochs=4, early_stopping_patience=2, mlp_hidden_size=8), text_features=256, kind="mlp")
+    return history
+
+
 @query()
 def cv_summary(spark, d):
     folds, _ = model.cross_validate(training(spark, d), "doc_id", SPEC, {"n_chars": "robust"}, Config(n_folds=3, epochs=3))

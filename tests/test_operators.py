@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from litsift.config import Config, default_config, domain_configs, fast_config, robust_config
 from litsift.functions import scalars
 from litsift.functions import text as T
-from litsift.operators import active, audit, features, metrics, model, sampling, screening, stopping
+from litsift.operators import active, audit, features, metrics, model, order, sampling, screening, stopping
 from litsift.sources import tables
 from litsift.streaming.stopping import running_state
 
@@ -179,6 +179,9 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in tables.load_data(spark, str(tmp_path / "a.csv")).orderBy("a").collect()] == [(1, 'x, "y"\nz'), (2, None)]
     df = spark.createDataFrame([(1, "x<&>", 0.5, [1.0]), (2, None, None, [])], "a long, b string, c double, d array<double>")
     tables.write_xlsx(df, str(tmp_path / "a.xlsx"), yellow={"b": "a"}, freeze="D2")
+    (tmp_path / "n.csv").write_text("y,z,w\n2001,NA,x\nNA,1.5,NA\n2003,,2\n")
+    typed = tables.load_data(spark, str(tmp_path / "n.csv"))
+    assert dict(typed.dtypes) == {"y": "bigint", "z": "double", "w": "string"} and {tuple(r) for r in typed.collect()} == {(2001, None, "x"), (None, 1.5, None), (2003, None, "2")}
     back = tables.load_data(spark, str(tmp_path / "a.xlsx")).orderBy("a").collect()
     assert back[0]["b"] == "x<&>" and back[0]["a"] == 1 and back[1]["c"] is None
 
@@ -194,3 +197,73 @@ def test_model_learns(spark, tmp_path):
     fitted_model.save(str(tmp_path / "model"))
     again = model.ScreeningModel.load(str(tmp_path / "model")).predict(ready)
     assert again.where("predictions[0] = y").count() == 60
+
+
+def test_first_sheet_is_that_of_the_first_tab(spark, tmp_path):
+    import zipfile
+
+    for n, v in ((1, "late"), (2, "first")):
+        tables.write_xlsx(spark.createDataFrame([(v, "'=q", 1.5)], "a string, b string, c double"), str(tmp_path / f"{n}.xlsx"))
+    with zipfile.ZipFile(tmp_path / "1.xlsx") as one, zipfile.ZipFile(tmp_path / "2.xlsx") as two, zipfile.ZipFile(tmp_path / "both.xlsx", "w") as out:
+        for name in one.namelist():
+            body = one.read(name).decode()
+            if name == "xl/workbook.xml":
+                body = body.replace("<sheets>", '<sheets><sheet name="Z" sheetId="9" r:id="rId9"/>')
+            if name == "xl/_rels/workbook.xml.rels":
+                kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet"
+                body = body.replace("</Relationships>", f'<Relationship Id="rId9" Type="{kind}" Target="worksheets/sheet10.xml"/></Relationships>')
+            out.writestr(name, body)
+        out.writestr("xl/worksheets/sheet10.xml", two.read("xl/worksheets/sheet1.xml"))
+    r = tables.load_data(spark, str(tmp_path / "both.xlsx")).first()
+    assert (r["a"], r["b"], r["c"]) == ("first", "'=q", 1.5)
+
+
+def test_screen_file_and_snapshots(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("title,abstract\nA,math here\nB,none\n")
+    out = tables.screen_file(spark, str(tmp_path / "in.csv"), {"m": {"pattern": "math", "description": "math"}})
+    back = tables.load_data(spark, str(tmp_path / "screened.xlsx"))
+    assert back.columns == out.columns and {(r["title"], r["m"]) for r in back.collect()} == {("A", 1), ("B", 0)}
+    log = audit.log_decision(spark, 7, 1, 0.9).unionByName(audit.log_decision(spark, 8, 0, 0.2, "test", "r"))
+    again = audit.from_dict(spark, audit.to_dict(log))
+    assert again.schema == audit.from_dict(spark, {"entries": []}).schema and sorted(r["record_id"] for r in again.collect()) == ["7", "8"]
+    assert model.calibration_from_dict(model.calibration_to_dict([2.0])) == [2.0] and model.calibration_to_dict([1.0, 2.0]) == {"temperature": [1.0, 2.0]}
+    assert stopping.update(stopping.StoppingState(), 1).history == ({"screened": 1, "relevant": 1, "consecutive_irrelevant": 0},)
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    values = [rng.choice([0.0, 0.0, rng.gauss(0, 1), float(rng.randint(0, 3))]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+    grid = [i / 200 for i in range(201)]
+    assert order.exact_quantiles(df, F.col("x"), grid) == pytest.approx(list(np.quantile(values, grid)))
+    assert order.exact_quantiles(df.where("x is null"), F.col("x"), grid) == [] and order.exact_quantiles(df.where("x = 3"), F.col("x"), [0.5]) == [3.0]
+
+
+def test_window_evidence_equals_plain_form(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("ab \t\n", k=60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    for w in (0, 1, 3):
+        got = {r["id"]: [e["text"] for e in r["e"]] for r in df.select("id", T.window_evidence("t", "ab?", "t", w).alias("e")).collect()}
+        for i, t in rows:
+            plain = [" ".join([*t[: m.start()].split()[-w:], m[0], *t[m.end() :].split()[:w]]) for m in re.finditer("ab?", t)]
+            assert got[i] == list(dict.fromkeys(plain))
+
+
+def test_training_stops_early_and_keeps_the_best(spark):
+    rows = [(i, "good" if i % 2 else "bad", "en" if i % 2 else ["de", "fr"][i % 4 // 2], float(i), i % 2, [float(i % 2), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, t string, lang string, x double, y int, e array<double>")
+    spec = features.ColumnSpec(("t",), ("lang",), ("x",), "y")
+    ready, fitted = features.preprocess(df, spec, {"x": "mean"}, max_length=3)
+    noise, _ = features.preprocess(df.withColumn("y", (F.col("id") % 3 == 0).cast("int")), spec, fitted=fitted)
+    config = Config(epochs=6, early_stopping_patience=2, mlp_hidden_size=4)
+    for kind, column in (("logistic", None), ("mlp", "e")):
+        made, history = model.train(ready, noise, 1, config, 32, column, kind)
+        h = [r for r in history.orderBy("epoch").collect()]
+        best = [r["epoch"] for r in h if r["best"]]
+        assert best == [min(h, key=lambda r: (r["validation_loss"], r["epoch"]))["epoch"]] and len(h) <= best[0] + 2
+        learnt, _ = model.train(ready, ready, 1, config, 32, column, kind)
+        assert learnt.predict(ready).where("predictions[0] = y").count() == 60 and made.predict(ready).count() == 60
+    assert features.embedding_width(9) == 5
