@@ -1,6 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set holds its distinct word shingles, as 64-bit hashes. Documents with equal sets are one node.
+A document's set holds its distinct word shingles, as 64-bit hashes; overlaps are counted on 48 bits of them. Documents
+with equal sets are one node.
 
 1. Tokens are ordered from rare to frequent: frequent ones are counted over all documents, the rest come in hash order.
    Two sets of similarity t share k tokens among the first n - ceil(t n) + k tokens of each (its prefix), with k by the
@@ -30,15 +31,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsift.llm.common import cut, n_partitions, utf8
+from litsift.llm.common import cut, n_partitions, salted_join, utf8
 from litsift.llm.records import SPARK_SCHEMA, A, B, U, firsts, from_bytes, integers, packed, pair, to_bytes
 
 #: Bytes of text that a task hashes at once, and entries that it gathers before it sends them; they bound its memory only.
-CHUNK, ENTRIES, PREFIX_ENTRIES = 1 << 19, 3_000_000, 1_500_000
+CHUNK, ENTRIES, PREFIX_ENTRIES = 1 << 19, 2_000_000, 1_000_000
 #: Tokens that a task holds LOCAL times or more among ENTRIES are counted for the order; of those, tokens with one
 #: HOT_SHARE-th of all tokens or more count as frequent, so there are at most HOT_SHARE of them (8 MB).
 LOCAL, HOT_SHARE = 2, 1_000_000
 MEMBERS = 32
+#: Queries that a task holds beside a group's members.
+TOGETHER = 256
 LOW48 = U((1 << 48) - 1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -289,7 +292,7 @@ def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(node, tokens) of compressed texts; tokens as sorted 48-bit integers."""
+    """(node, tokens) of compressed texts; tokens as sorted 48-bit integers, so two different shingles of a pair are taken as one with a chance of some 2^-48 times both sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd, hasher = zstandard.ZstdDecompressor(), Hasher()
@@ -321,23 +324,19 @@ def check_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def open_groups(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of queries with members, of larger components, of the groups whose bound they reach; rows (node, tokens, n, comp, g, sub, members)."""
+def open_groups(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Links of some queries with members, of larger components, of one group if they reach its bound; rows (g, sub, salt, node, tokens, n, comp)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, union, members = None, np.empty(0, np.uint64), []
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for k, (node, tokens, n, comp, g, sub) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)):
-                if (g, sub) != last:
-                    last = (g, sub)
-                    members = [((m["n"], m["comp"]), m["node"], from_bytes(m["tokens"])) for m in b.column(6)[k].as_py()]
-                    union = np.unique(np.concatenate([t for _, _, t in members]))
-                x = from_bytes(tokens)
-                if overlap(x, union) >= needed(len(x), percent):
-                    out += [(node, other) for key, other, y in members if key > (n, comp) and linked(x, y, percent)]
-            a, c = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
+        held = [((n, comp), node, from_bytes(t)) for node, t, n, comp in zip(*(members[c].to_pylist() for c in ("node", "tokens", "n", "comp")), strict=True)]
+        union = np.unique(np.concatenate([t for _, _, t in held])) if held else np.empty(0, np.uint64)
+        out: list[tuple[int, int]] = []
+        for node, tokens, n, comp in zip(*(queries[c].to_pylist() for c in ("node", "tokens", "n", "comp")), strict=True):
+            x = from_bytes(tokens)
+            if overlap(x, union) >= needed(len(x), percent):
+                out += [(node, other) for key, other, y in held if key > (n, comp) and linked(x, y, percent)]
+        left, right = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
@@ -411,10 +410,15 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
     least = F.ceil(percent * (F.col("size") + F.greatest("low", F.ceil(percent * F.col("size") / 100))) / (100 + percent))  # overlap with the smallest member that fits
     fits = (least <= F.least("most", "reach")) & (F.col("own") < F.col("top")) & (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size"))
     k = 1 + F.floor(F.ceil(percent * F.col("size") / 100) / 8)
-    beside = queries.join(cells, "token").where(fits).groupBy("node", "own", "size", "g", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node", "own", "g", "sub")
-    members = sets.join(part, "node").groupBy("g", "sub").agg(F.collect_list(F.struct(F.col("comp.n").alias("n"), F.col("comp.comp").alias("comp"), "node", "tokens")).alias("members"))
-    asked = beside.join(sets, "node").join(members, ["g", "sub"]).select("node", "tokens", F.col("own.n"), F.col("own.comp"), "g", "sub", "members")
-    return stars.union(asked.mapInArrow(open_groups(percent), "a long, b long"))
+    beside = cut(queries.join(cells, "token").where(fits).groupBy("node", "own", "size", "g", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node", F.col("own.n").alias("n"), F.col("own.comp").alias("comp"), "g", "sub"))
+    salts = beside.groupBy("g", "sub").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))  # a group with many queries is held by several tasks
+    own = ["g", "sub", "salt", "node", "tokens", "n", "comp"]
+    asked = beside.join(salts, ["g", "sub"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(sets, "node").select(*own)
+    members = part.join(salts, ["g", "sub"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    members = members.join(sets, "node").select("g", "sub", "salt", "node", "tokens", F.col("comp.n").alias("n"), F.col("comp.comp").alias("comp"))
+    asked, members = (df.select(*(F.col(c).alias(c) for c in own)) for df in (asked, members))  # both come from `sets`
+    opened = asked.groupBy("g", "sub", "salt").cogroup(members.groupBy("g", "sub", "salt")).applyInArrow(open_groups(percent), "a long, b long")
+    return stars.union(opened)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -424,5 +428,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     comp = components(links(rows, surveyed, n, percent))
     each = surveyed.where("bucket is null").select("doc_id", "node", F.col("size").cast("long").alias("n_shingles"))
     whole = each.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = whole.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return whole.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    whole = cut(whole)
+    least = cut(whole.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    found = salted_join(whole.where("comp is not null").withColumn("spread", F.monotonically_increasing_id()), least, ["comp"], "spread", "rows").drop("spread", "rows")
+    found = found.unionByName(whole.where("comp is null").withColumn("least", F.lit(None).cast("long")))
+    return found.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
