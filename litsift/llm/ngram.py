@@ -17,8 +17,8 @@ with equal sets are one node.
    large group of near copies costs its size and not its square; no link between components is lost.
 
 Edge cases: a null or blank text has an empty set and is linked with nothing; fewer words than `n` make one shingle;
-texts are taken whole at any length; repeated rows share their set and so their component; a null id is no component's
-smallest id; an empty table gives an empty result; extra columns are ignored.
+texts are taken whole at any length; repeated rows share their set and so their component; rows with a null id
+are linked like others, but a null id is no component's smallest id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -380,10 +380,12 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
     matrix = cut(beside.mapInArrow(strong(percent), "token long, node long, size int, most int"))
     nodes = matrix.select("node").distinct()
     place = surveyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = place.join(nodes, "node").select("doc_id").distinct()
+    wanted = cut(place.join(nodes, "node").select("node", "doc_id"))
     packed_texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(frames, "doc_id long, frame binary")
-    found = packed_texts.join(wanted, "doc_id", "left_semi").select("frame").mapInArrow(sets_of(n), "node long, tokens binary")
-    sets = cut(found.dropDuplicates(["node"]))
+    found = packed_texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("frame").mapInArrow(sets_of(n), "node long, tokens binary")
+    nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", "text").mapInArrow(frames, "doc_id long, frame binary").select("frame").mapInArrow(sets_of(n), "node long, tokens binary")
+    nameless = nameless.dropDuplicates(["node"]).join(wanted.where("doc_id is null"), "node", "left_semi")  # sets that only rows with a null id have
+    sets = cut(found.union(nameless).dropDuplicates(["node"]))
 
     # Partition: of the nodes that lead a token, having fewest tokens of their own, the one that shares most tokens.
     lead = matrix.groupBy("token").agg(F.min_by("node", F.struct(F.col("size") - F.col("most"), "node")).alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
