@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.llm.common import n_partitions, utf8
+from litsift.llm.common import cut, n_partitions, salted_join, utf8
 from litsift.llm.records import SCHEMA, SPARK_SCHEMA, A, U, firsts, from_bytes, integers, packed, pair, spans
 
 HALF, WHOLE = 25, 50
@@ -387,8 +387,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     dealt = lambda df: df.repartitionById(buckets, at)
     shared = dealt(ranked.mapInArrow(shared_ranks(buckets), SPARK_SCHEMA)).mapInArrow(keep_shared(buckets), SPARK_SCHEMA)
     light = ranked.select("doc_id", "row_hash", F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("size"))
-    first = light.groupBy("text_hash", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = light.join(first, ["text_hash", "size"]).where("doc_id > first").select("doc_id", "row_hash").mapInArrow(copy_records(buckets), SPARK_SCHEMA)
+    first = cut(light.groupBy("text_hash", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later_copies = salted_join(light.withColumn("spread", F.monotonically_increasing_id()), first, ["text_hash", "size"], "spread", "n").where("doc_id > first")
+    copies = later_copies.select("doc_id", "row_hash").mapInArrow(copy_records(buckets), SPARK_SCHEMA)
     frames = rows.mapInArrow(squeeze(buckets), "bucket int, doc_id long, row_hash int, frame binary").groupBy("bucket")
     left = frames.cogroup(shared.unionByName(copies).groupBy("bucket")).applyInArrow(windows_left(buckets), SPARK_SCHEMA)
     later = dealt(left).mapInArrow(keep_later(buckets), SPARK_SCHEMA)
