@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from litsift.llm import bpe, chat, classifier, linededup, ngram, packing, quality, queries, sharding, suffix, topk
@@ -64,6 +65,15 @@ def test_ngram_join(spark, seed):
     assert got == components_of(rows)
 
 
+def test_ngram_join_links_through_rows_with_a_null_id(spark):
+    words = [f"u{i}" for i in range(100)]
+    bridge = " ".join(words)
+    rows = [(1, " ".join(words[13:])), (None, bridge), (None, bridge), (3, " ".join(words[:-13])), (None, None), (4, "else " + bridge[::-1])]
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram.jaccard_components(table(spark, rows)).collect())
+    assert got == [(0, 0), (0, 1), (0, 1), (1, 1), (3, 1), (4, 4)]
+    assert components_of([r for r in rows if r[0]])[3][1] == 3  # not linked without the rows between
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_dedup(spark, seed):
     rows = made(seed) + [(100, "ab" * 400), (101, "ab" * 300 + "c"), (102, "x" * 49), (103, "x" * 49)]
@@ -224,8 +234,6 @@ def test_quality_bands_reject_random_and_repetitive_texts(spark):
 
 
 def test_bpe_equals_library(spark):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(queries.tokenizer_path())
     t.no_padding()
     t.no_truncation()
@@ -250,6 +258,24 @@ def test_packing_places_every_piece_once(spark):
     assert out.sequence_id.nunique() <= 1.05 * out.length.sum() / 64 + 1
 
 
+def test_packing_ids_equal_library(spark):
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    rng = random.Random(5)
+    long = "".join(rng.choices(["word ", "  ", "\n", "é", "1234", "don't ", "<|endoftext|>"], k=320_000))
+    rows = [*made(3), (200, long), (201, " " * 1_000_001 + "x"), (202, "<|endoftext|> a"), (203, "a " * 1024)]
+    assert len(long) > packing.LONG_TEXT
+    expected = {}
+    for i, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        start = piece = 0
+        while start < len(ids):
+            stop = start + ((len(ids) - start) % 1024 or 1024)
+            expected[i, piece] = start, stop - start, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[start:stop]))
+            start, piece = stop, piece + 1
+    out = packing.pack_documents(table(spark, rows), queries.tokenizer_path()).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in out} == expected and len(out) == len(expected)
+
+
 def test_sharding_balances_bytes(spark):
     rows = [(i, "x" * (i % 50)) for i in range(2000)]
     out = sharding.shard(table(spark, rows)).toPandas()
