@@ -35,7 +35,7 @@ from litsift.llm.common import cut, n_partitions, salted_join, utf8
 from litsift.llm.records import SPARK_SCHEMA, A, B, U, firsts, from_bytes, integers, packed, pair, to_bytes
 
 #: Bytes of text that a task hashes at once, and entries that it gathers before it sends them; they bound its memory only.
-CHUNK, ENTRIES, PREFIX_ENTRIES = 1 << 19, 2_000_000, 1_000_000
+CHUNK, ENTRIES, PREFIX_ENTRIES = 1 << 19, 1_000_000, 500_000
 #: Tokens that a task holds LOCAL times or more among ENTRIES are counted for the order; of those, tokens with one
 #: HOT_SHARE-th of all tokens or more count as frequent, so there are at most HOT_SHARE of them (8 MB).
 LOCAL, HOT_SHARE = 2, 1_000_000
@@ -111,8 +111,8 @@ def node_of(tokens: np.ndarray) -> int:
 def sets_in(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int | None, np.ndarray]]:
     hasher = Hasher()
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            yield doc, hasher.tokens(text, n)
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):  # one text at a time as Python bytes
+            yield doc, hasher.tokens(text.as_py(), n)
 
 
 def survey(n: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -288,17 +288,22 @@ def strong(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zstd = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstd.compress(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "frame"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstd.compress(x.as_py()) for x in b.column(1)], pa.binary())], ["doc_id", "frame"])
 
 
-def sets_of(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(node, tokens) of compressed texts; tokens as sorted 48-bit integers, so two different shingles of a pair are taken as one with a chance of some 2^-48 times both sizes."""
+def sets_of(n: int, framed: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(node, tokens) of texts, compressed ones if `framed`; tokens as sorted 48-bit integers, so two different shingles of a pair are taken as one with a chance of some 2^-48 times both sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd, hasher = zstandard.ZstdDecompressor(), Hasher()
         for b in batches:
-            sets = [hasher.tokens(zstd.decompress(x), n) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in sets], pa.int64()), pa.array([to_bytes(np.sort(t & LOW48)) for t in sets], pa.binary())], ["node", "tokens"])
+            nodes: list[int] = []
+            sets: list[bytes] = []
+            for x in b.column(0):
+                tokens = hasher.tokens(zstd.decompress(x.as_py()) if framed else x.as_py(), n)
+                nodes.append(node_of(tokens))
+                sets.append(to_bytes(np.sort(tokens & LOW48)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
     return run
 
@@ -383,7 +388,7 @@ def links(rows: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFra
     wanted = cut(place.join(nodes, "node").select("node", "doc_id"))
     packed_texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(frames, "doc_id long, frame binary")
     found = packed_texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("frame").mapInArrow(sets_of(n), "node long, tokens binary")
-    nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", "text").mapInArrow(frames, "doc_id long, frame binary").select("frame").mapInArrow(sets_of(n), "node long, tokens binary")
+    nameless = rows.where(F.col("doc_id").isNull()).select("text").mapInArrow(sets_of(n, framed=False), "node long, tokens binary")
     nameless = nameless.dropDuplicates(["node"]).join(wanted.where("doc_id is null"), "node", "left_semi")  # sets that only rows with a null id have
     sets = cut(found.union(nameless).dropDuplicates(["node"]))
 
