@@ -2,7 +2,8 @@
 
 Ranks of byte strings are named by hash and double in length: 8 bytes (exact), 16, 25 and 50; the rank of a longer string
 is that of the pair of ranks at its two offsets. Spark deals rank entries out by rank, tasks sort them, and only
-positions whose rank is not unique go on to the next length.
+positions whose rank is not unique go on to the next length. Hashes only bring strings together: what is removed has been
+compared byte for byte, or is a whole text of one SHA-256 with a smaller one.
 
 1. Length 25: of the 26 such strings in a 50-byte window, the one of smallest rank stands for the window; equal windows
    have equal ones. Ranks that stand in one document only are unique: none of their windows can repeat.
@@ -113,6 +114,45 @@ RUN = 255
 COPY = U((1 << 48) - 1)
 
 
+def same_windows(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the 50 bytes at each place of a are those at its place of b; some places at a time."""
+    windows, out = np.lib.stride_tricks.sliding_window_view(raw, WHOLE), np.empty(len(a), dtype=bool)
+    for k in range(0, len(a), SEGMENT // WHOLE):
+        part = slice(k, k + SEGMENT // WHOLE)
+        out[part] = (windows[a[part]] == windows[b[part]]).all(axis=1)
+    return out
+
+
+def same_runs(raw: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each run at a are those of the run of its size at b; some runs at a time."""
+    out, ends = np.empty(len(a), dtype=bool), np.cumsum(sizes)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, SEGMENT)), len(a)))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        equal = raw[spans(a[i:j], sizes[i:j])] == raw[spans(b[i:j], sizes[i:j])]
+        out[i:j] = np.logical_and.reduceat(equal, np.cumsum(sizes[i:j]) - sizes[i:j])
+    return out
+
+
+def later_windows(raw: np.ndarray, at: np.ndarray, rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows (places, ranks and ids of their rows) also stand in a row of a smaller id."""
+    order = np.lexsort((ids, rank))
+    lead = np.flatnonzero(firsts(rank[order]))
+    group = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
+    first = order[lead][group]
+    later = np.empty(len(order), dtype=bool)
+    later[order] = ids[order] > ids[first]
+    asked = np.flatnonzero(later[order])
+    odd = group[asked[~same_windows(raw, at[order[asked]], at[first[asked]])]]
+    for g in np.unique(odd):  # different strings of one rank
+        members = order[group == g]
+        least: dict[bytes, int] = {}
+        for k in members:
+            least.setdefault(raw[at[k] : at[k] + WHOLE].tobytes(), int(ids[k]))
+        for k in members:
+            later[k] = ids[k] > least[raw[at[k] : at[k] + WHOLE].tobytes()]
+    return later
+
+
 def run_bytes(values: np.ndarray) -> np.ndarray:
     return (values & U(RUN)).astype(np.int64) + WHOLE - 1
 
@@ -252,11 +292,13 @@ def windows_left(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             i, h = np.array(ids, np.int64), np.array(hashes, np.int32)
             order = np.lexsort((i[row], name))
             lead = np.flatnonzero(firsts(name[order]))
-            later = np.empty(len(order), dtype=bool)
-            later[order] = i[row[order]] > np.repeat(i[row[order[lead]]], np.diff(np.append(lead, len(order))))
+            first = np.empty(len(order), dtype=np.int64)
+            first[order] = np.repeat(order[lead], np.diff(np.append(lead, len(order))))
             sizes = run_bytes(values)
-            later &= sizes < 5 * WHOLE  # what name covers whole
-            yield packed(bucket[~later], row[~later], values[~later], i, h, raw, (np.cumsum(sizes) - sizes)[~later], sizes[~later])
+            begin = np.cumsum(sizes) - sizes
+            later = (i[row] > i[row[first]]) & (sizes == sizes[first])
+            later[later] = same_runs(raw, begin[later], begin[first[later]], sizes[later])  # others are judged by their windows
+            yield packed(bucket[~later], row[~later], values[~later], i, h, raw, begin[~later], sizes[~later])
             if later.any():
                 yield packed(np.full(int(later.sum()), -1, np.int32), row[later], values[later], i, h)
 
@@ -284,7 +326,7 @@ def windows_left(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             row, values = np.array(g.doc)[owner[start]], (place[start].astype(np.uint64) << U(8)) | size.astype(np.uint64)
             begin, end = at[start], at[start + size - 1]
             name = pair(pair(r[begin], r[begin + HALF]), pair(pair(r[end], r[end + HALF]), size.astype(np.uint64)))
-            for mid in (0.25, 0.5, 0.75):  # runs of up to 200 windows are named by strings that cover them whole
+            for mid in (0.25, 0.5, 0.75):  # runs are named by strings along them
                 x = at[start + (size * mid).astype(np.int64)]
                 name = pair(name, pair(r[x], r[x + HALF]))
             held.append((row, values, name, (m[start] % U(buckets)).astype(np.int32), raw[spans(begin, run_bytes(values))].tobytes()))
@@ -318,10 +360,7 @@ def keep_later(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 ranks.append(pair(r[at], r[at + HALF]))
             rank = np.concatenate(ranks)
             owner = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((ids[owner], rank))
-            lead = np.flatnonzero(firsts(rank[order]))
-            later = np.empty(len(order), dtype=bool)
-            later[order] = ids[owner[order]] > np.repeat(ids[owner[order[lead]]], np.diff(np.append(lead, len(order))))
+            later = later_windows(raw, spans(ends - run_bytes(values), size), rank, ids[owner])
             start = np.flatnonzero(firsts(owner, later))
             length = np.diff(np.append(start, len(later)))
             start, length = start[later[start]], length[later[start]]
@@ -386,7 +425,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     at = F.when(F.col("bucket") < 0, F.pmod(F.hash("ids"), F.lit(buckets))).otherwise(F.col("bucket"))
     dealt = lambda df: df.repartitionById(buckets, at)
     shared = dealt(ranked.mapInArrow(shared_ranks(buckets), SPARK_SCHEMA)).mapInArrow(keep_shared(buckets), SPARK_SCHEMA)
-    light = ranked.select("doc_id", "row_hash", F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("size"))
+    light = ranked.select("doc_id", "row_hash", F.unhex(F.sha2("text", 256)).alias("text_hash"), F.octet_length("text").alias("size"))
     first = cut(light.groupBy("text_hash", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     later_copies = salted_join(light.withColumn("spread", F.monotonically_increasing_id()), first, ["text_hash", "size"], "spread", "n").where("doc_id > first")
     copies = later_copies.select("doc_id", "row_hash").mapInArrow(copy_records(buckets), SPARK_SCHEMA)

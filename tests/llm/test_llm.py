@@ -4,6 +4,7 @@ import re
 import string
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -81,6 +82,21 @@ def test_suffix_dedup(spark, seed):
     assert got == suffix.brute_force({i: (t or "").encode() for i, t in rows})
 
 
+@pytest.mark.parametrize("mask", [0, 7, 1023])
+def test_suffix_dedup_compares_bytes_where_ranks_collide(monkeypatch, mask):
+    """The tasks of one bucket by hand, with ranks of so few values that different strings share them."""
+    monkeypatch.setattr(suffix, "pair", lambda a, b: (a * suffix.A + b >> suffix.U(20)) & suffix.U(mask))
+    monkeypatch.setattr(suffix, "SEGMENT", 512)
+    rows = [(i, (t or "").encode()) for i, t in made(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([t for _, t in rows])], ["doc_id", "row_hash", "text"])
+    frames = pa.Table.from_batches(suffix.squeeze(1)(iter([batch])))
+    shared = pa.Table.from_batches(suffix.keep_shared(1)(suffix.shared_ranks(1)(iter([batch]))), suffix.SCHEMA)
+    left = suffix.windows_left(1)(frames, shared)
+    out = suffix.cut_rows(frames, pa.Table.from_batches(suffix.keep_later(1)(iter(left.to_batches())), suffix.SCHEMA)).to_pylist()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in out}
+    assert got == suffix.brute_force(dict(rows)) and sum(x[1] for x in got.values()) > 1000
+
+
 def test_suffix_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SEGMENT", 64)
     rng = random.Random(5)
