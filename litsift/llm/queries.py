@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsift.llm import bpe, chat, classifier, linededup, ngram, packing, quality, sharding, suffix, topk
+from litsift.llm import bpe, chat, classifier, linededup, lm, merkle, ngram, packing, quality, sharding, suffix, topk, whitening
 from litsift.llm.common import documents
 
 
@@ -59,6 +59,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(documents(spark, sf_dir))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_bpe": op10_bpe,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {"op4_chat_formatting": chat.SQL, "op5_line_dedup": linededup.SQL, "op9_exact_top_k": topk.SQL}
