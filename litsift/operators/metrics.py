@@ -59,13 +59,14 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     return each.union(macro).union(weighted)
 
 
-def multi_label_metrics(df: DataFrame, labels: str, predictions: str, names: list[str] | None = None) -> DataFrame:
-    """Metrics for each label of two arrays; names default to label_i."""
-    rows = df.select(F.posexplode(F.arrays_zip(F.col(labels).alias("y"), F.col(predictions).alias("p"))).alias("i", "z")).select("i", F.col("z.y").alias("y"), F.col("z.p").alias("p"))
+def multi_label_metrics(df: DataFrame, labels: str, predictions: str, names: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Metrics for each label of two arrays, within `by`; names default to label_i."""
+    by = by or []
+    rows = df.select(*by, F.posexplode(F.arrays_zip(F.col(labels).alias("y"), F.col(predictions).alias("p"))).alias("i", "z")).select(*by, "i", F.col("z.y").alias("y"), F.col("z.p").alias("p"))
     name = F.concat(F.lit("label_"), F.col("i"))
     for i, n in enumerate(names or []):
         name = F.when(F.col("i") == i, n).otherwise(name)
-    out = binary_metrics(rows, "y", "p", ["i"]).withColumn("label", name)
+    out = binary_metrics(rows, "y", "p", [*by, "i"]).withColumn("label", name)
     return out.where(F.col("i") < len(names)) if names else out
 
 

@@ -258,7 +258,7 @@ def test_training_stops_early_and_keeps_the_best(spark):
     spec = features.ColumnSpec(("t",), ("lang",), ("x",), "y")
     ready, fitted = features.preprocess(df, spec, {"x": "mean"}, max_length=3)
     noise, _ = features.preprocess(df.withColumn("y", (F.col("id") % 3 == 0).cast("int")), spec, fitted=fitted)
-    config = Config(epochs=6, early_stopping_patience=2, mlp_hidden_size=4)
+    config = Config(epochs=6, early_stopping_patience=2, mlp_hidden_size=8, learning_rate=0.05)
     for kind, column in (("logistic", None), ("mlp", "e")):
         made, history = model.train(ready, noise, 1, config, 32, column, kind)
         h = [r for r in history.orderBy("epoch").collect()]
