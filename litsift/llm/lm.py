@@ -40,15 +40,20 @@ from pyspark.sql import functions as F
 from litsift.llm.common import cut, utf8
 
 #: Symbols: the end, the commonest words, and classes of all other words by a checksum of so many first bytes.
-WORD_SYMBOLS, CLASSES, PREFIX = 256, 256, 3
+WORD_SYMBOLS, CLASSES, PREFIX = 192, 192, 3
 OUTPUTS = WORD_SYMBOLS + CLASSES
-CONTEXT, WIDTH, NOISE, STEP, RATE, ROUNDS = 4, 16, 32, 1024, 0.1, 8
+CONTEXT, WIDTH, NOISE, RATE, ROUNDS = 4, 16, 32, 0.1, 8
+#: Tokens in a row of a training step, and such rows of a step.
+RUN, RUNS = 32, 32
 #: Words of the broadcast dictionary, at most, and the bytes of the longest; entries of a task's counter.
-WORDS, LONGEST, COUNTED = 1 << 19, 64, 1 << 20
+WORDS, LONGEST, COUNTED = 1 << 18, 64, 1 << 20
 #: Counts are told apart by so many steps to a doubling.
 STEPS = 16
 ADDED = 0.1
-SCORED = 512
+#: Tokens whose vectors are made together, and whose distributions are.
+PIECE, SCORED = 1 << 15, 512
+#: exp() of single precision overflows above 88.
+SAFE = 80.0
 END = b""
 
 
@@ -111,10 +116,8 @@ def lexicon(counts: DataFrame) -> Lexicon:
         if fit > WORDS:
             break
         least = r["n"]
-    top = short.where(F.col("n") >= least).toPandas()  # at most WORDS rows
-    words, n_of = [bytes(w) for w in top["word"]], top["n"].to_numpy(dtype=np.int64)
-    order = sorted(range(len(words)), key=lambda i: (-n_of[i], words[i]))
-    words, n_of = [words[i] for i in order], n_of[order]
+    top = short.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most WORDS rows
+    words, n_of = top.column("word").to_pylist(), top.column("n").to_numpy()
     common = min(len(words), WORD_SYMBOLS - 1)
     symbols = np.array([*range(1, common + 1), *(symbol(w) for w in words[common:])], dtype=np.uint16)
     end = counts.where(F.col("word") == F.lit(END)).first()
@@ -194,21 +197,33 @@ class Weights:
         w = WIDTH
         return cls(a[:, :w].copy(), a[:, w : 2 * w].copy(), a[:, 2 * w].copy(), c[:, :w].copy(), a[:, 2 * w + 1].copy(), a[:, 2 * w + 2].copy(), a[:, 2 * w + 3].copy(), c[:, w : 2 * w].copy())
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        return np.einsum("bjd,jd->bd", self.r[context], self.c)
-
-    def step(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
-        """One step up the noise-contrastive likelihood of a batch; all its rows share the noise."""
-        x = self.r[context]
-        p = np.einsum("bjd,jd->bd", x, self.c)
-        own, others, log_k = self.q[target], self.q[noise], np.float32(np.log(len(noise)))
-        g = 1 / (1 + np.exp(np.clip(np.einsum("bd,bd->b", p, own) + self.b[target] - log_k, -60, 60)))
+    def predicted(self, x: np.ndarray) -> np.ndarray:
+        """What the context says at each place from the vectors x of symbols in a row, of which the first CONTEXT are context only."""
+        n = x.shape[-2] - CONTEXT
+        out = x[..., CONTEXT - 1 : CONTEXT - 1 + n, :] * self.c[0]
+        for j in range(1, CONTEXT):
+            out += x[..., CONTEXT - 1 - j : CONTEXT - 1 - j + n, :] * self.c[j]
+        return out
+
+    def step(self, symbols: np.ndarray, real: np.ndarray, noise: np.ndarray) -> None:
+        """One step up the noise-contrastive likelihood of runs of symbols, each after its context; all places share the noise."""
+        x = self.r[symbols]
+        target, n = symbols[:, CONTEXT:].ravel(), symbols.shape[1] - CONTEXT
+        p = self.predicted(x).reshape(-1, WIDTH)
+        own, others, log_k, real = self.q[target], self.q[noise], np.float32(np.log(len(noise))), real.ravel()
+        g = real / (1 + np.exp(np.clip(np.einsum("bd,bd->b", p, own) + self.b[target] - log_k, -60, 60)))
         h = 1 / (1 + np.exp(np.clip(log_k - self.b[noise] - p @ others.T, -60, 60)))  # how sure it is that noise is true
+        h *= real[:, None]
         dp = g[:, None] * own - h @ others
         climb(self.q, self.q2, np.concatenate([target, noise]), np.concatenate([g[:, None] * p, -(h.T @ p)]))
         climb(self.b[:, None], self.b2, np.concatenate([target, noise]), np.concatenate([g, -h.sum(axis=0)])[:, None])
-        dc = np.einsum("bd,bjd->jd", dp, x)
-        climb(self.r, self.r2, context.ravel(), (dp[:, None, :] * self.c).reshape(-1, WIDTH))
+        dp = dp.reshape(-1, n, WIDTH)
+        dx, dc = np.zeros_like(x), np.empty_like(self.c)
+        for j in range(CONTEXT):
+            at = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + n)
+            dx[:, at] += dp * self.c[j]
+            dc[j] = np.einsum("bnd,bnd->d", dp, x[:, at])
+        climb(self.r, self.r2, symbols.ravel(), dx.reshape(-1, WIDTH))
         self.c2 += dc * dc
         self.c += np.float32(RATE) * dc / np.sqrt(self.c2)
 
@@ -224,17 +239,22 @@ def climb(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, gradient: np
 
 
 def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all rows one after the other, each row after CONTEXT ends; the places of its symbols, and their rows."""
+    """Symbols of all rows one after the other, each row after CONTEXT ends; for each whether it is the row's own, and its row."""
     pad = bytes(2 * CONTEXT)
     flat = np.frombuffer(b"".join(x for ids in column.to_pylist() for x in (pad, ids)), dtype=np.uint16)
     sizes = pc.binary_length(column).to_numpy() // 2
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    return flat, np.arange(len(row), dtype=np.int64) + CONTEXT * (row + 1), row
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + CONTEXT)
+    real = np.ones(len(flat), dtype=np.float32)
+    real[((np.cumsum(sizes + CONTEXT) - sizes - CONTEXT)[:, None] + np.arange(CONTEXT)).ravel()] = 0
+    return flat, real, row
 
 
-def contexts(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The symbols before each place, the nearest first."""
-    return flat[at[:, None] - np.arange(1, CONTEXT + 1)]
+def runs(flat: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Views of RUN symbols in a row after their CONTEXT, one run after the other; and which of the RUN are real."""
+    n = -(-(len(flat) - CONTEXT) // RUN)
+    more = n * RUN + CONTEXT - len(flat)
+    symbols = np.lib.stride_tricks.sliding_window_view(np.pad(flat, (0, more)), RUN + CONTEXT)[::RUN]
+    return symbols, np.pad(real, (0, more))[CONTEXT:].reshape(n, RUN)
 
 
 def train(encoded: DataFrame, mass: np.ndarray) -> Weights:
@@ -249,13 +269,15 @@ def train(encoded: DataFrame, mass: np.ndarray) -> Weights:
             own, seen, part = Weights.of(start.rows()), 0, TaskContext.get().partitionId()  # noqa: B023
             rng = np.random.default_rng((turn, part))  # noqa: B023
             for b in batches:
-                flat, at, _ = laid_out(b.column("ids"))
-                steps = -(-len(at) // STEP)
-                for k in range(steps):  # symbols from all over the batch
-                    chosen = at[k::steps]
+                if not b.num_rows:
+                    continue
+                flat, real, _ = laid_out(b.column("ids"))
+                symbols, known = runs(flat, real)
+                steps = -(-len(symbols) // RUNS)
+                for k in range(steps):  # runs from all over the batch
                     noise = np.minimum(np.searchsorted(share, rng.random(NOISE)), OUTPUTS - 1).astype(np.uint16)
-                    own.step(contexts(flat, chosen), flat[chosen], noise)
-                seen += len(at)
+                    own.step(symbols[k::steps], known[k::steps], noise)
+                seen += int(real.sum())
             if seen:
                 x = own.rows()
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int32()), pa.array([part] * len(x), pa.int32()), pa.array([seen] * len(x), pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["i", "part", "seen", "x"])
@@ -283,23 +305,29 @@ def model_scores(encoded: DataFrame, weights: Weights, mass: np.ndarray) -> Data
     matrix = np.concatenate([weights.q, bias[:, None]], axis=1).T.copy()
     keep = ["row", "doc_id", "n_tokens", "n_hit", "base_hit", "adjust"]
 
+    longest = float(np.sqrt((weights.q**2).sum(axis=1)).max())
+    most = float(np.abs(bias).max())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = np.empty((SCORED, OUTPUTS), dtype=np.float32)
-        p = np.ones((SCORED, WIDTH + 1), dtype=np.float32)
+        p = np.ones((PIECE, WIDTH + 1), dtype=np.float32)
         for b in batches:
-            flat, at, row = laid_out(b.column("ids"))
-            logs = np.empty(len(at), dtype=np.float32)
-            for a in range(0, len(at), SCORED):
-                places = at[a : a + SCORED]
-                k = len(places)
-                p[:k, :WIDTH] = weights.predicted(contexts(flat, places))
-                np.matmul(p[:k], matrix, out=z[:k])
-                own = z[np.arange(k), flat[places]]
-                most = z[:k].max(axis=1)
-                z[:k] -= most[:, None]
-                np.exp(z[:k], out=z[:k])
-                logs[a : a + k] = own - most - np.log(z[:k].sum(axis=1))
-            score = np.bincount(row, weights=logs, minlength=b.num_rows) / np.log(10)
+            flat, real, row = laid_out(b.column("ids"))
+            logs = np.zeros(len(flat), dtype=np.float32)
+            for first in range(CONTEXT, len(flat), PIECE):
+                n = min(PIECE, len(flat) - first)
+                p[:n, :WIDTH] = weights.predicted(weights.r[flat[first - CONTEXT : first + n]])
+                safe = float(np.sqrt((p[:n, :WIDTH] ** 2).sum(axis=1)).max()) * longest + most < SAFE
+                for a in range(0, n, SCORED):
+                    k = min(SCORED, n - a)
+                    np.matmul(p[a : a + k], matrix, out=z[:k])
+                    own, top = z[np.arange(k), flat[first + a : first + a + k]], np.float32(0)
+                    if not safe:
+                        top = z[:k].max(axis=1)
+                        z[:k] -= top[:, None]
+                    np.exp(z[:k], out=z[:k])
+                    logs[first + a : first + a + k] = own - top - np.log(z[:k].sum(axis=1))
+            score = np.bincount(row, weights=logs * real, minlength=b.num_rows) / np.log(10)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], [*keep, "model"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
