@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.functions.scalars import probit
-from litsift.operators.order import exact_quantiles
+from litsift.operators.order import column_figures, range_rank
 
 UNKNOWN, RARE = 0, 1
 TRANSFORMS = ("min", "max", "mean", "quantile", "log1p", "robust")
 QUANTILES = 1000
+#: Values of a vocabulary that stands in an expression, that is broadcast, and that is held by the driver at all.
+LITERAL, HELD = 1_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -37,43 +39,58 @@ class ColumnSpec:
 
 
 def vocabulary(df: DataFrame, column: str, rare_threshold: int = 5) -> DataFrame:
-    """(value, index): values found rare_threshold times or more, from 2 by falling count and then by value."""
+    """(value, index): values found rare_threshold times or more, from 2 by falling count and then by value; any number of them."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).where(F.col("n") >= rare_threshold)
-    return counts.select("value", (F.row_number().over(Window.orderBy(F.desc("n"), "value")) + 1).alias("index"))  # a row a kept value
+    ranked = range_rank(counts, [-F.col("n"), F.col("value")], "value")
+    return ranked.select("value", (F.col("rank") + RARE).cast("int").alias("index"))
 
 
 def encode(column: str, vocab: dict[str, int]) -> Column:
-    """0 for null, 1 for a rare or unseen value."""
+    """0 for null, 1 for a rare or unseen value; for small vocabularies."""
     kept = {k: v for k, v in vocab.items() if v > RARE}
     known = F.create_map(*(F.lit(x) for x in chain.from_iterable(kept.items())))[F.col(column).cast("string")] if kept else F.lit(None).cast("int")
     return F.when(F.col(column).isNull(), F.lit(UNKNOWN)).otherwise(F.coalesce(known, F.lit(RARE))).cast("int")
 
 
+def encode_by_join(df: DataFrame, column: str, vocab: DataFrame, name: str, small: bool) -> DataFrame:
+    """Adds encode() of a vocabulary table (value, index); `small`: it has at most HELD values and is broadcast.
+
+    A larger one is joined by value; Spark splits the rows of a frequent value, of which the table has one.
+    """
+    table = vocab.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
+    joined = df.join(F.broadcast(table) if small else table.hint("merge"), F.col(column).cast("string") == F.col("_value"), "left")
+    code = F.when(F.col(column).isNull(), F.lit(UNKNOWN)).otherwise(F.coalesce("_index", F.lit(RARE))).cast("int")
+    return joined.withColumn(name, code).drop("_value", "_index")
+
+
 def embedding_width(size: int) -> int:
     return min(50, (size + 1) // 2)
 
 
 def fit_numeric(df: DataFrame, transforms: dict[str, str]) -> dict[str, dict]:
-    """Parameters of every numeric column: one pass for all sums, and exact quantiles without a task that sees all values."""
+    """Parameters of every numeric column, all in the same three passes and exact, without a task that sees all values."""
     for c, kind in transforms.items():
         if kind not in TRANSFORMS:
             raise ValueError(f"Invalid transform {kind!r} for {c}")
-    if not transforms:
-        return {}
-    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    row = df.agg(*(f(number(c)).alias(f"{k}{i}") for i, c in enumerate(transforms) for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg)))).first()
-    out = {}
-    for i, (c, kind) in enumerate(transforms.items()):
-        grid = [k / (QUANTILES - 1) for k in range(QUANTILES)] if kind == "quantile" else [0.25, 0.75] if kind == "robust" else []
-        median, *rest = exact_quantiles(df, number(c), [0.5, *grid]) or [None]
+    grid = [k / (QUANTILES - 1) for k in range(QUANTILES)]
+    asked: dict[str, tuple[Column, list[float]]] = {}
+    for c, kind in transforms.items():
+        asked[c] = F.col(c), [0.5, *(grid if kind == "quantile" else [0.25, 0.75] if kind == "robust" else [])]
+        if kind == "log1p":
+            asked[f"log1p {c}"] = F.log1p(F.col(c).cast("double")), grid
+    found, out = column_figures(df, asked), {}
+    for c, kind in transforms.items():
+        f = found[c]
+        median, *rest = f.quantiles or [None]
         p = {"kind": kind, "median": 0.0 if median is None else median}
         if kind in ("min", "max", "mean"):
-            p["value"] = row[f"{kind}{i}"] if median is not None else (1.0 if kind == "max" else 0.0)
+            value = {"min": f.low, "max": f.high, "mean": f.mean}[kind]
+            p["value"] = value if f.n else (1.0 if kind == "max" else 0.0)
         elif kind == "robust":
             low, high = rest or (0.0, 1.0)
             p |= {"center": p["median"], "scale": (high - low) or 1.0}
         else:
-            p["quantiles"] = (rest if kind == "quantile" else exact_quantiles(df, F.log1p(number(c)), [k / (QUANTILES - 1) for k in range(QUANTILES)])) or [0.0]
+            p["quantiles"] = (rest if kind == "quantile" else found[f"log1p {c}"].quantiles) or [0.0]
         out[c] = p
     return out
 
@@ -106,17 +123,24 @@ def apply_numeric(column: str, p: dict) -> Column:
 
 @dataclass
 class FittedTransforms:
-    """What a fit learnt; plain data with a JSON form."""
+    """What a fit learnt; plain data with a JSON form. Vocabularies of more than HELD values stay tables (value, index), with their sizes."""
 
     vocabularies: dict[str, dict[str, int]] = field(default_factory=dict)
     numeric: dict[str, dict] = field(default_factory=dict)
+    tables: dict[str, tuple[DataFrame, int]] = field(default_factory=dict, compare=False)
+    order: tuple[str, ...] = field(default=(), compare=False)
+
+    def categories(self) -> list[str]:
+        return list(self.order or self.vocabularies)
 
     @property
     def categorical_vocab_sizes(self) -> list[int]:
-        return [len(v) for v in self.vocabularies.values()]
+        return [self.tables[c][1] + RARE + 1 if c in self.tables else len(self.vocabularies[c]) for c in self.categories()]
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        if self.tables:
+            raise ValueError(f"too large for the driver, write them as tables: {list(self.tables)}")
+        return {"vocabularies": self.vocabularies, "numeric": self.numeric}
 
     @classmethod
     def from_dict(cls, d: dict) -> FittedTransforms:
@@ -127,9 +151,16 @@ class FittedTransforms:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds cat (array of indices) and num (array of floats)."""
-        cat = F.array(*(encode(c, v) for c, v in self.vocabularies.items())).cast("array<int>")
+        codes, out = [], df
+        for i, c in enumerate(self.categories()):
+            if c in self.tables or len(self.vocabularies[c]) > LITERAL:
+                table = self.tables[c][0] if c in self.tables else df.sparkSession.createDataFrame([x for x in self.vocabularies[c].items() if x[1] > RARE], "value string, index int")
+                out = encode_by_join(out, c, table, f"_code{i}", c not in self.tables)
+                codes.append(F.col(f"_code{i}"))
+            else:
+                codes.append(encode(c, self.vocabularies[c]))
         num = F.array(*(apply_numeric(c, p).cast("float") for c, p in self.numeric.items())).cast("array<float>")
-        return df.withColumns({"cat": cat, "num": num})
+        return out.withColumns({"cat": F.array(*codes).cast("array<int>"), "num": num}).drop(*(f"_code{i}" for i in range(len(codes))))
 
 
 def fit_transforms(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str, str] | None = None, rare_threshold: int = 5) -> FittedTransforms:
@@ -137,10 +168,15 @@ def fit_transforms(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str,
     numeric_transform = numeric_transform or {}
     if missing := [c for c in spec.numeric_cols if c not in numeric_transform]:
         raise ValueError(f"no transform for {missing}")
-    vocabularies = {}
+    vocabularies, tables = {}, {}
     for c in spec.categorical_cols:
-        vocabularies[c] = {"<UNK>": UNKNOWN, "<RARE>": RARE} | {r["value"]: r["index"] for r in vocabulary(df, c, rare_threshold).orderBy("index").collect()}
-    return FittedTransforms(vocabularies, fit_numeric(df, {c: numeric_transform[c] for c in spec.numeric_cols}))
+        values = vocabulary(df, c, rare_threshold)
+        held = values.where(F.col("index") <= HELD + RARE).collect()  # at most HELD values
+        if len(held) == HELD and (n := values.count()) > HELD:
+            tables[c] = values, n
+        else:
+            vocabularies[c] = {"<UNK>": UNKNOWN, "<RARE>": RARE} | {r["value"]: r["index"] for r in sorted(held, key=lambda r: r["index"])}
+    return FittedTransforms(vocabularies, fit_numeric(df, {c: numeric_transform[c] for c in spec.numeric_cols}), tables, tuple(spec.categorical_cols))
 
 
 def preprocess(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str, str] | None = None, fitted: FittedTransforms | None = None, rare_threshold: int = 5, sep: str = " ", max_length: int | None = None) -> tuple[DataFrame, FittedTransforms]:
