@@ -41,7 +41,7 @@ class ColumnSpec:
 def vocabulary(df: DataFrame, column: str, rare_threshold: int = 5) -> DataFrame:
     """(value, index): values found rare_threshold times or more, from 2 by falling count and then by value; any number of them."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).where(F.col("n") >= rare_threshold)
-    ranked = range_rank(counts, [-F.col("n"), F.col("value")], "value")
+    ranked = range_rank(counts, [-F.col("n"), F.col("value")])
     return ranked.select("value", (F.col("rank") + RARE).cast("int").alias("index"))
 
 

@@ -79,14 +79,18 @@ def multi_label_summary(df: DataFrame, labels: str, predictions: str, names: lis
 
 
 def agreement(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """total, agreed, agreement_rate and kappa of two 0/1 columns where both are given; kappa is 1 with one class overall, null without rows."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    c = counts(both, a, b, by)
-    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
-    n, hit = tp + fp + tn + fn, tp + tn
-    chance = ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / (n * n)
-    kappa = F.when(n == 0, F.lit(None).cast("double")).when((chance == 1), F.lit(1.0)).otherwise((hit / n - chance) / (1 - chance))
-    return c.select(*(by or []), n.alias("total"), hit.alias("agreed"), ratio(hit, n).alias("agreement_rate"), kappa.alias("kappa"))
+    """total, agreed, agreement_rate and Cohen's kappa of two columns of any classes where both are given; kappa is 1 with one class overall, null without rows."""
+    by = by or []
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("_n"))
+    none = F.lit(0).cast("long")
+    sides = pairs.select(*by, F.explode(F.array(F.struct(F.col("_a").alias("c"), F.col("_n").alias("x"), none.alias("y")), F.struct(F.col("_b").alias("c"), none.alias("x"), F.col("_n").alias("y")))).alias("s"))
+    chance = sides.groupBy(*by, "s.c").agg((F.sum("s.x").cast("double") * F.sum("s.y")).alias("_xy")).groupBy(*by).agg(F.sum("_xy").alias("_xy"))
+    seen = pairs.groupBy(*by).agg(F.coalesce(F.sum("_n"), none).alias("total"), F.coalesce(F.sum(F.when(F.col("_a") == F.col("_b"), F.col("_n"))), none).alias("agreed"))
+    both = seen.crossJoin(chance) if not by else seen.alias("s").join(chance.alias("c"), [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]).select("s.*", "_xy")  # one row each without by
+    n, hit = F.col("total"), F.col("agreed")
+    expected = F.col("_xy") / (n.cast("double") * n)
+    kappa = F.when(n == 0, F.lit(None).cast("double")).when(expected == 1, F.lit(1.0)).otherwise((hit / n - expected) / (1 - expected))
+    return both.select(*by, "total", "agreed", ratio(hit, n).alias("agreement_rate"), kappa.alias("kappa"))
 
 
 def positive_weight(df: DataFrame, label: str) -> DataFrame:

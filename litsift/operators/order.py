@@ -131,22 +131,24 @@ def running_by_score(df: DataFrame, score: str, sums: dict[str, Column], descend
     return distinct.join(F.broadcast(before), "_bucket").select(score, *(k for k in sums), *((F.sum(k).over(inner) + F.col(f"_{k}")).alias(f"run_{k}") for k in sums))
 
 
-def range_rank(df: DataFrame, order: list[Column], key: str, name: str = "rank") -> DataFrame:
-    """Adds the rank (from 1) of rows with unique keys in an order that tells all of them apart.
+def ranges(df: DataFrame, order: list[Column]) -> Column:
+    """The number of the range, from 0, that a row falls into; ranges follow the order, ascending and with nulls first.
 
-    One key in SAMPLED, by hash, comes to the driver and gives the splitters of ranges of some RANGE_ROWS rows; the counts of
-    ranges give offsets, and a window counts within a range.
+    One place in SAMPLED, by hash, comes to the driver and gives the splitters of ranges of some RANGE_ROWS rows. Rows of one
+    place share a range.
     """
     place = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
-    sample = sorted(tuple(r["o"]) for r in df.where(F.pmod(F.xxhash64(key), F.lit(SAMPLED)) == 0).select(place.alias("o")).collect())
-    ranges = max(1, -(-len(sample) * SAMPLED // RANGE_ROWS))
-    cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)})
+    nulls_first = lambda o: tuple((v is not None, v) if v is not None else (False, 0) for v in o)
+    sample = sorted((tuple(r["o"]) for r in df.where(F.pmod(F.xxhash64(*order), F.lit(SAMPLED)) == 0).select(place.alias("o")).collect()), key=nulls_first)
+    n = max(1, -(-len(sample) * SAMPLED // RANGE_ROWS))
+    chosen = {sample[i * len(sample) // n] for i in range(1, n)}
+    cuts = sorted((c for c in chosen if all(v == v for v in c)), key=nulls_first)  # NaN can't be a splitter
 
     def before(cut: tuple) -> Column:
-        """Whether a row stands before a splitter."""
         out = F.lit(False)
         for c, v in reversed(list(zip(order, cut, strict=True))):
-            out = (c < F.lit(v)) | ((c == F.lit(v)) & out)
+            less = F.lit(False) if v is None else c.isNull() | (c < F.lit(v))
+            out = F.coalesce(less | (c.eqNullSafe(F.lit(v)) & out), F.lit(False))
         return out
 
     def found(a: int, b: int) -> Column:
@@ -155,7 +157,12 @@ def range_rank(df: DataFrame, order: list[Column], key: str, name: str = "rank")
         m = (a + b) // 2
         return F.when(before(cuts[m]), found(a, m)).otherwise(found(m + 1, b))
 
-    dealt = df.withColumn("_range", found(0, len(cuts)))
+    return found(0, len(cuts))
+
+
+def range_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the rank (from 1) in an order that tells all rows apart; counts of ranges give offsets, and a window counts within a range."""
+    dealt = df.withColumn("_range", ranges(df, order))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
     ranked = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))

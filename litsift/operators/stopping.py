@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litsift.config import Config, default_config
 from litsift.functions.scalars import recall_estimate, work_saved
+from litsift.operators.order import ranges
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ class ActiveState:
 
     iteration: int = 0
     labeled_ids: tuple = ()
+    unlabeled_ids: tuple = ()
     strategy: str = "uncertainty"
     history: tuple = field(default=())
 
@@ -47,14 +49,25 @@ class ActiveState:
 def stopping_history(labels: DataFrame, label: str, order: list[str], by: list[str]) -> DataFrame:
     """Adds total_screened, total_relevant and consecutive_irrelevant after each label of a review; any label but 1 is irrelevant.
 
-    A review is one sequence, so its rows meet in one window; reviews run in parallel.
+    A review of any length is spread over tasks: its rows are cut into slices that follow the order, each slice gives its
+    rows, its relevant rows and those after the last relevant one, and these three are scanned over the slices of a review;
+    every row then counts on from what stands before its slice. Rows of one place in the order stay in one slice.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     relevant = F.coalesce((F.col(label) == 1).cast("long"), F.lit(0))
-    counted = labels.withColumns({"total_screened": F.row_number().over(w).cast("long"), "total_relevant": F.sum(relevant).over(run)})
-    last = F.max(F.when(relevant == 1, F.col("total_screened"))).over(run)
-    return counted.withColumn("consecutive_irrelevant", F.col("total_screened") - F.coalesce(last, F.lit(0)))
+    cut = labels.withColumns({"_slice": ranges(labels, [F.col(c) for c in (*by, *order)]), "_hit": relevant})
+    w = Window.partitionBy(*by, "_slice").orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = cut.withColumns({"_n": F.row_number().over(w).cast("long"), "_r": F.sum("_hit").over(run)})
+    own = own.withColumn("_last", F.max(F.when(F.col("_hit") == 1, F.col("_n"))).over(run))
+    each = own.groupBy(*by, "_slice").agg(F.max("_n").alias("_rows"), F.sum("_hit").alias("_hits"), F.max("_last").alias("_at"))
+    scan = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    whole = each.withColumns({"_n0": F.coalesce(F.sum("_rows").over(scan), F.lit(0)), "_r0": F.coalesce(F.sum("_hits").over(scan), F.lit(0))})
+    whole = whole.withColumn("_last0", F.coalesce(F.max(F.col("_n0") + F.col("_at")).over(scan), F.lit(0)))
+    keys = [*by, "_slice"]
+    before = whole.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)), "_n0", "_r0", "_last0")
+    met = own.join(before, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)])
+    total = F.col("_n0") + F.col("_n")
+    return met.select(*labels.columns, total.alias("total_screened"), (F.col("_r0") + F.col("_r")).alias("total_relevant"), (total - F.coalesce(F.col("_n0") + F.col("_last"), F.col("_last0"))).alias("consecutive_irrelevant"))
 
 
 def should_stop(total: Column, config: Config = default_config) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litsift.operators import features, metrics, order
+from litsift.operators import features, metrics, order, stopping
 
 
 def test_all_columns_in_the_same_passes(spark):
@@ -58,3 +58,34 @@ def test_vocabulary_of_many_values(spark, monkeypatch):
     assert some.tables and not held.tables and len(held.vocabularies["value"]) == some.categorical_vocab_sizes[0]
     assert sorted(map(str, held.transform(asked).collect())) == sorted(map(str, some.transform(asked).collect()))
     assert features.FittedTransforms.from_dict(held.to_dict()) == held
+
+
+def test_long_reviews_are_spread_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(order, "SAMPLED", 2)
+    monkeypatch.setattr(order, "RANGE_ROWS", 60)
+    rng = random.Random(4)
+    rows = [(r, k if k else None, rng.choice([0, 0, 0, 1, None])) for r, n in (("a", 900), (None, 40), ("c", 1), ("d", 200)) for k in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "review string, seq int, y int")
+    assert order.ranges(df, [F.col("review"), F.col("seq")]) is not None
+    got = stopping.stopping_history(df, "y", ["seq"], ["review"])
+    assert df.withColumn("s", order.ranges(df, [F.col("review"), F.col("seq")])).groupBy("s").count().agg(F.max("count")).first()[0] < 200
+    states = {}
+    want = set()
+    for r, k, y in sorted(rows, key=lambda x: (x[0] or "", x[1] or 0)):
+        s = stopping.update(states.get(r, stopping.StoppingState()), y)
+        states[r] = stopping.replace(s, history=())
+        want.add((r, k, y, s.total_screened, s.total_relevant, s.consecutive_irrelevant))
+    assert {tuple(x) for x in got.collect()} == want
+    assert stopping.stopping_history(df.where("false"), "y", ["seq"], ["review"]).count() == 0
+    state = stopping.ActiveState(2, (1, 2), (3,))
+    assert stopping.ActiveState.from_dict(state.to_dict()) == state
+
+
+def test_kappa_of_any_classes(spark):
+    df = spark.createDataFrame([("x", a, b) for a, b in [(0, 0), (1, 1), (2, 2), (0, 1), (2, 1), (1, 1), (0, None)]] + [("y", 1, 1)], "g string, a int, b int")
+    r = metrics.agreement(df.where("g = 'x'"), "a", "b").first()
+    chance = (2 * 1 + 2 * 4 + 2 * 1) / 36
+    assert (r["total"], r["agreed"]) == (6, 4) and r["kappa"] == pytest.approx((4 / 6 - chance) / (1 - chance))
+    assert {x["g"]: x["kappa"] for x in metrics.agreement(df, "a", "b", ["g"]).collect()} == {"x": pytest.approx(r["kappa"]), "y": 1.0}
+    assert metrics.agreement(df.where("false"), "a", "b").first()["kappa"] is None
