@@ -215,25 +215,32 @@ class Weights:
         h = 1 / (1 + np.exp(np.clip(log_k - self.b[noise] - p @ others.T, -60, 60)))  # how sure it is that noise is true
         h *= real[:, None]
         dp = g[:, None] * own - h @ others
-        climb(self.q, self.q2, np.concatenate([target, noise]), np.concatenate([g[:, None] * p, -(h.T @ p)]))
-        climb(self.b[:, None], self.b2, np.concatenate([target, noise]), np.concatenate([g, -h.sum(axis=0)])[:, None])
+        both = together(np.concatenate([target, noise]))
+        climb(self.q, self.q2, both, np.concatenate([g[:, None] * p, -(h.T @ p)]))
+        climb(self.b[:, None], self.b2, both, np.concatenate([g, -h.sum(axis=0)])[:, None])
         dp = dp.reshape(-1, n, WIDTH)
         dx, dc = np.zeros_like(x), np.empty_like(self.c)
         for j in range(CONTEXT):
             at = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + n)
             dx[:, at] += dp * self.c[j]
             dc[j] = np.einsum("bnd,bnd->d", dp, x[:, at])
-        climb(self.r, self.r2, symbols.ravel(), dx.reshape(-1, WIDTH))
+        climb(self.r, self.r2, together(symbols.ravel()), dx.reshape(-1, WIDTH))
         self.c2 += dc * dc
         self.c += np.float32(RATE) * dc / np.sqrt(self.c2)
 
 
-def climb(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
-    """Adds up the gradients of each symbol and moves it, by less the more it has been moved."""
+def together(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal symbols stand together, where each begins in it, and which it is."""
     order = np.argsort(at, kind="stable")
     own = at[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    rows, g = own[first], np.add.reduceat(gradient[order], first, axis=0)
+    return order, first, own[first]
+
+
+def climb(weights: np.ndarray, squares: np.ndarray, which: tuple[np.ndarray, np.ndarray, np.ndarray], gradient: np.ndarray) -> None:
+    """Adds up the gradients of each symbol and moves it, by less the more it has been moved."""
+    order, first, rows = which
+    g = np.add.reduceat(gradient[order], first, axis=0)
     squares[rows] += (g * g).mean(axis=1)
     weights[rows] += g * (np.float32(RATE) / np.sqrt(squares[rows]))[:, None]
 
@@ -310,7 +317,7 @@ def model_scores(encoded: DataFrame, weights: Weights, mass: np.ndarray) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = np.empty((SCORED, OUTPUTS), dtype=np.float32)
-        p = np.ones((PIECE, WIDTH + 1), dtype=np.float32)
+        p, ones = np.ones((PIECE, WIDTH + 1), dtype=np.float32), np.ones(OUTPUTS, dtype=np.float32)
         for b in batches:
             flat, real, row = laid_out(b.column("ids"))
             logs = np.zeros(len(flat), dtype=np.float32)
@@ -326,7 +333,7 @@ def model_scores(encoded: DataFrame, weights: Weights, mass: np.ndarray) -> Data
                         top = z[:k].max(axis=1)
                         z[:k] -= top[:, None]
                     np.exp(z[:k], out=z[:k])
-                    logs[first + a : first + a + k] = own - top - np.log(z[:k].sum(axis=1))
+                    logs[first + a : first + a + k] = own - top - np.log(z[:k] @ ones)
             score = np.bincount(row, weights=logs * real, minlength=b.num_rows) / np.log(10)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], [*keep, "model"])
 
