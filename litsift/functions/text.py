@@ -1,29 +1,90 @@
 """Regular-expression evidence, counts and snippets as column expressions.
 
 Patterns are Python regular expressions, matched without case and with Unicode classes. Counts and sentence evidence are
-native expressions; window evidence and snippets run Python's re over Arrow batches, which also is the exact dialect.
-A null or blank text has no evidence, a count of 0 and an empty snippet.
+native expressions where Java has the same pattern; other patterns, window evidence and snippets run Python's re over Arrow
+batches. A null or blank text has no evidence, a count of 0 and an empty snippet.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EVIDENCE = "array<struct<text:string,field:string,matched_term:string>>"
 
 
-def java(pattern: str) -> str:
-    """The pattern in Java's dialect; a malformed one raises re.error."""
-    re.compile(pattern)
-    out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
-    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', '')}>", out)
-    return "(?iU)" + out.replace("\\Z", "\\z")
+#: What Python and Java read differently, or only one of them reads: flags in a group, conditionals, comments, vertical
+#: white space, and escapes of classes in a class.
+UNLIKE = re.compile(r"\(\?(?![:=!>]|<[=!]|P[<=])|\\v|\\[0-9]{2}")
+
+
+def nested_class(pattern: str) -> bool:
+    """Whether a character class holds [ or && or an escaped b, which Java reads in another way."""
+    within, i = False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            if within and pattern[i + 1 : i + 2] == "b":
+                return True
+            i += 2
+            continue
+        if within:
+            if c == "[" or pattern.startswith("&&", i):
+                return True
+            within = c != "]"
+        elif c == "[":
+            within = True
+            i += 1 + pattern.startswith("^", i + 1)
+            if pattern.startswith("]", i):  # a plain ] in Python
+                return True
+            continue
+        i += 1
+    return False
+
+
+def java(pattern: str) -> str | None:
+    """The pattern in Java's dialect, None where Java has no such pattern; a malformed one raises re.error."""
+    groups = re.compile(pattern, re.IGNORECASE).groupindex
+    if UNLIKE.search(pattern) or nested_class(pattern) or any(c.casefold() != c.lower() for c in pattern):  # letters such as sharp s have pairs of their own in each
+        return None
+    out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<g{groups[m[1]]}>", pattern)
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<g{groups[m[1]]}>", out)
+    out = "(?iUd)" + out.replace("\\Z", "\\z")
+    context = SparkContext._active_spark_context
+    if context is None:
+        return None
+    try:
+        context._jvm.java.util.regex.Pattern.compile(out)
+    except (Py4JJavaError, IllegalArgumentException):
+        return None
+    return out
+
+
+def by_python(text: Column, kind: str, of: Callable[[re.Pattern, str], Any], pattern: str) -> Column:
+    """of(pattern, text) for each text that isn't null, in Arrow batches."""
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = re.compile(pattern, re.IGNORECASE)
+        for texts in batches:
+            yield texts.map(lambda t: of(found, t))
+
+    return run(text)
+
+
+def matches(text: Column | str, pattern: str) -> Column:
+    """Whether a text has a match; a null text counts as empty."""
+    text, p = text_or_empty(text), java(pattern)
+    return text.rlike(p) if p else by_python(text, "boolean", lambda found, t: found.search(t) is not None, pattern)
 
 
 def text_or_empty(c: Column | str) -> Column:
@@ -42,7 +103,8 @@ def count_matches(text: Column | str, pattern: str) -> Column:
     except re.error:
         return F.lit(0)
     text = text_or_empty(text)
-    return F.when(blank(text), F.lit(0)).otherwise(F.regexp_count(text, F.lit(p)))
+    count = F.regexp_count(text, F.lit(p)) if p else by_python(text, "int", lambda found, t: sum(1 for _ in found.finditer(t)), pattern)
+    return F.when(blank(text), F.lit(0)).otherwise(count)
 
 
 def sentences(text: Column | str) -> Column:
@@ -53,10 +115,22 @@ def sentences(text: Column | str) -> Column:
 def sentence_evidence(text: Column | str, pattern: str, field: str) -> Column:
     """Each distinct sentence with a match, and its first match."""
     p = java(pattern)
+    if p is None:
+        return python_evidence(text_or_empty(text), pattern, field)
     hits = F.array_distinct(F.filter(sentences(text), lambda s: (s != "") & s.rlike(p)))
     return F.transform(hits, lambda s: F.struct(s.alias("text"), F.lit(field).alias("field"), F.regexp_extract(s, p, 0).alias("matched_term")))
 
 
+def python_evidence(text: Column, pattern: str, field: str) -> Column:
+    """sentence_evidence by Python's re."""
+
+    def of(found: re.Pattern, t: str) -> list[dict]:
+        parts = dict.fromkeys(p.strip() for p in re.split(r"[.!?]+\s+", t))
+        return [{"text": p, "field": field, "matched_term": m[0]} for p in parts if p and (m := found.search(p))]
+
+    return by_python(text, EVIDENCE, of, pattern)
+
+
 def window_evidence(text: Column | str, pattern: str, field: str, window_size: int = 5) -> Column:
     """Each match with up to window_size words on either side, once per distinct text; 0 keeps all words before it."""
     found = re.compile(pattern, re.IGNORECASE)

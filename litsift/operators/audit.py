@@ -36,9 +36,12 @@ def log_decision(spark: SparkSession, record_id: object, prediction: int, probab
     return log_batch(row, "id", "p", "q", phase, reviewer_id)
 
 
-def to_dict(log: DataFrame) -> dict:
-    """A log as plain data, {"entries": [...]}; it goes through the driver, so it is for logs that people read. Write larger ones as tables."""
-    return {"entries": [r.asDict() for r in log.select(*(c.split()[0] for c in SCHEMA.split(", "))).collect()]}
+def to_dict(log: DataFrame, most: int = 1_000_000) -> dict:
+    """A log as plain data, {"entries": [...]}; it goes through the driver, so a log of more than `most` entries raises ValueError. Write larger ones as tables."""
+    rows = log.select(*(c.split()[0] for c in SCHEMA.split(", "))).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} entries: write the log as a table")
+    return {"entries": [r.asDict() for r in rows]}
 
 
 def from_dict(spark: SparkSession, d: dict) -> DataFrame:

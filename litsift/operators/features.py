@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.functions.scalars import probit
+from litsift.operators.encoders import Encoder, with_vectors
 from litsift.operators.order import column_figures, range_rank
 
 UNKNOWN, RARE = 0, 1
@@ -179,13 +180,19 @@ def fit_transforms(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str,
     return FittedTransforms(vocabularies, fit_numeric(df, {c: numeric_transform[c] for c in spec.numeric_cols}), tables, tuple(spec.categorical_cols))
 
 
-def preprocess(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str, str] | None = None, fitted: FittedTransforms | None = None, rare_threshold: int = 5, sep: str = " ", max_length: int | None = None) -> tuple[DataFrame, FittedTransforms]:
-    """Adds model_text (its first max_length words, or all), cat, num and labels (array of floats); fits first if nothing fitted is given."""
+def preprocess(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str, str] | None = None, fitted: FittedTransforms | None = None, rare_threshold: int = 5, sep: str | None = None, max_length: int | None = None, encoder: Encoder | None = None) -> tuple[DataFrame, FittedTransforms]:
+    """Adds model_text (its first max_length words, or all), cat, num and labels (array of floats); fits first if nothing fitted is given.
+
+    With an encoder also text_vector, from the text joined by the encoder's separator; train with embedding_col="text_vector".
+    """
     from litsift.functions.text import model_text, tokens
 
+    sep = sep if sep is not None else encoder.sep if encoder else " "
+
     fitted = fitted or fit_transforms(df, spec, numeric_transform, rare_threshold)
     labels = F.array(*(F.col(c).cast("float") for c in spec.labels())).cast("array<float>")
     text = model_text(list(spec.text_cols), sep)
     if max_length is not None:
         text = F.array_join(tokens(text, max_length), " ")
-    return fitted.transform(df).withColumns({"model_text": text, "labels": labels}), fitted
+    out = fitted.transform(df).withColumns({"model_text": text, "labels": labels})
+    return (with_vectors(out, "model_text", encoder) if encoder else out), fitted

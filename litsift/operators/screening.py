@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -79,7 +80,78 @@ def screening_summary(screened: DataFrame, criteria: list[str]) -> DataFrame:
 
 
 def criteria_flags(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """Only 0/1 flags over one text column, without evidence: stays in generated code."""
-    flags = {c: T.text_or_empty(text).rlike(T.java(p)).cast("int") for c, p in patterns.items()}
+    """Only 0/1 flags over one text column, without evidence: stays in generated code where Java has the patterns."""
+    flags = {c: T.matches(text, p).cast("int") for c, p in patterns.items()}
     meets = reduce(lambda a, b: a & b, [f == 1 for f in flags.values()], F.lit(True)).cast("int")
     return df.withColumns(flags | {"meets_all_criteria": meets})
+
+
+#: Letters beside A-Z that a pattern without case takes for one of a-z.
+FOLDED = str.maketrans({"\u017f": "s", "\u0131": "i", "\u0130": "i", "\u212a": "k"})
+
+
+def required_literals(pattern: str) -> frozenset[str] | None:
+    """Texts in lower case, one of which is in every match; None where no such set is found. Only ASCII, of two letters or more."""
+
+    def of(parts) -> list[frozenset[str]]:
+        """Sets of which a match needs one text each."""
+        out, run = [], ""
+        for kind, value in [*parts, (None, None)]:
+            name = str(kind)
+            if name == "LITERAL" and value < 128:
+                run += chr(value).lower()
+                continue
+            if len(run) > 1:
+                out.append(frozenset([run]))
+            run = ""
+            if name == "SUBPATTERN":
+                out += of(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                out += of(value[2])
+            elif name == "BRANCH":
+                each = [of(b) for b in value[1]]
+                if all(each):
+                    out.append(frozenset().union(*(best(e) for e in each)))
+        return out
+
+    def best(sets: list[frozenset[str]]) -> frozenset[str]:
+        """The set whose shortest text is longest."""
+        return max(sets, key=lambda s: (min(map(len, s)), -len(s)))
+
+    found = of(re._parser.parse(pattern, re.IGNORECASE))
+    return best(found) if found else None
+
+
+def screen_many(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """criteria_flags() for hundreds of patterns: one scan of a text by an automaton over the literals that matches need tells which patterns to try.
+
+    Patterns without such a literal are always tried. The rows are those of criteria_flags().
+    """
+    import ahocorasick
+
+    names = list(patterns)
+    literals = [required_literals(p) for p in patterns.values()]
+    always = [i for i, x in enumerate(literals) if x is None]
+    of: dict[str, list[int]] = {}
+    for i, x in enumerate(literals):
+        for t in x or ():
+            of.setdefault(t, []).append(i)
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compiled = [re.compile(p, re.IGNORECASE) for p in patterns.values()]
+        automaton = ahocorasick.Automaton()
+        for t, which in of.items():
+            automaton.add_word(t, tuple(which))
+        if of:
+            automaton.make_automaton()
+        for texts in batches:
+            out = []
+            for t in texts:
+                asked = {i for _, which in automaton.iter(t.translate(FOLDED).lower()) for i in which} if of else set()
+                out.append(sorted(i for i in (*always, *asked) if compiled[i].search(t)))
+            yield pd.Series(out, dtype=object)
+
+    found = df.withColumn("_found", run(T.text_or_empty(text)))
+    flags = {c: F.array_contains("_found", i).cast("int") for i, c in enumerate(names)}
+    return found.withColumns(flags | {"meets_all_criteria": (F.size("_found") == len(names)).cast("int")}).drop("_found")

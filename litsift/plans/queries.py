@@ -80,12 +80,28 @@ def sentence_evidence(spark, d):
     return docs.groupBy("doc_id").agg(F.count("*").alias("n_evidence"), F.sum(F.length("e.text")).alias("chars"), F.min(md5).alias("first_md5"), F.max(md5).alias("last_md5"))
 
 
-@query()
+#: Parts between matches and the matches, from which their places follow.
+PARTS = lambda pattern, text="text": f"string_split_regex({text}, '(?i){pattern}') AS p, regexp_extract_all({text}, '(?i){pattern}') AS m"
+LAST_WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')[-5:]"
+FIRST_WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')[1:5]"
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, {PARTS(CRITERIA['b'])} FROM documents), u AS (SELECT doc_id, text, unnest(range(1, len(m) + 1)) AS k, p, m FROM s),
+x AS (SELECT doc_id, text, k, m[k] AS hit, list_sum(list_transform(p[1:k], lambda w: length(w)))::BIGINT + coalesce(list_sum(list_transform(m[1:k - 1], lambda w: length(w))), 0)::BIGINT AS start FROM u),
+e AS (SELECT doc_id, k, hit, array_to_string(list_concat(list_concat({LAST_WORDS.format('substr(text, 1, start)')}, [hit]), {FIRST_WORDS.format('substr(text, start + length(hit) + 1)')}), ' ') AS text FROM x)
+SELECT doc_id, text, 'text' AS field, arg_min(hit, k) AS matched_term FROM e GROUP BY doc_id, text""")
 def window_evidence(spark, d):
     return read(spark, d, "documents").select("doc_id", F.explode(T.window_evidence("text", CRITERIA["b"], "text")).alias("e")).select("doc_id", "e.*")
 
 
-@query()
+def snippets_sql(text: str, pattern: str) -> str:
+    """The first three matches with 20 characters on either side, from lists p and m."""
+    before = {1: "p[1]", 2: "p[1] || m[1] || p[2]", 3: "p[1] || m[1] || p[2] || m[2] || p[3]"}
+    each = [f"CASE WHEN len(m) >= {k} THEN '...' || regexp_replace(right({b}, 20) || m[{k}] || substr({text}, length({b}) + length(m[{k}]) + 1, 20), '^\\s+|\\s+$', '', 'g') || '...' END" for k, b in before.items()]
+    return f"substr(concat_ws(' | ', {', '.join(each)}), 1, 200)"
+
+
+@query(f"SELECT doc_id, {snippets_sql('text', CRITERIA['a'])} AS snippets FROM (SELECT doc_id, text, {PARTS(CRITERIA['a'])} FROM documents)")
 def snippets(spark, d):
     return read(spark, d, "documents").select("doc_id", T.snippets("text", CRITERIA["a"]).alias("snippets"))
 
@@ -177,10 +193,22 @@ def pattern_score_strata(spark, d):
 SELECT doc_id, strata FROM r WHERE r <= round_even(0.2 * n, 0)""")
 def stratified_sample(spark, d):
     docs = read(spark, d, "documents").select("doc_id", T.count_matches("text", CRITERIA["a"]).alias("score"))
-    return sampling.sample_strata(sampling.with_strata(docs, "score"), "doc_id", "strata", 0.2).select("doc_id", "strata")
+    return sampling.sample_by_score(docs, "doc_id", "score", 0.2).select("doc_id", "strata")
 
 
-@query()
+CODED = f"""WITH d AS (SELECT doc_id, title, concat_ws(' ', title, text, '') AS whole FROM (SELECT doc_id, substr(text, 1, 80) AS title, text FROM documents)),
+c AS (SELECT *, len(regexp_extract_all(whole, '(?i){CRITERIA['a']}')) AS na, len(regexp_extract_all(whole, '(?i){CRITERIA['b']}')) AS nb, na + nb AS score FROM d),
+e AS (SELECT list_sort(list_distinct([quantile_cont(score, 0.0), quantile_cont(score, 0.2), quantile_cont(score, 0.4), quantile_cont(score, 0.6), quantile_cont(score, 0.8), quantile_cont(score, 1.0)])) AS e FROM c),
+s AS (SELECT c.*, CASE WHEN len(e) < 2 THEN 0 ELSE greatest(1, len(list_filter(e[1:len(e) - 1], lambda x: score > x))) END AS strata FROM c, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY strata ORDER BY md5(doc_id || '|42'), doc_id) AS r, count(*) OVER (PARTITION BY strata) AS n FROM s),
+k AS (SELECT * FROM r WHERE r <= round_even(0.2 * n, 0)),
+a AS (SELECT doc_id, {snippets_sql('whole', CRITERIA['a'])} AS x FROM (SELECT doc_id, whole, {PARTS(CRITERIA['a'], 'whole')} FROM k)),
+b AS (SELECT doc_id, {snippets_sql('whole', CRITERIA['b'])} AS x FROM (SELECT doc_id, whole, {PARTS(CRITERIA['b'], 'whole')} FROM k))
+SELECT k.doc_id, title, NULL::VARCHAR AS keywords, na::INT AS a_pattern_count, a.x AS a_pattern_snippets, nb::INT AS b_pattern_count, b.x AS b_pattern_snippets, '' AS a, '' AS b, '' AS notes, '' AS coder_id, '' AS coding_date
+FROM k JOIN a ON k.doc_id = a.doc_id JOIN b ON k.doc_id = b.doc_id"""
+
+
+@query(CODED)
 def coding_sample(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"), F.lit(None).cast("string").alias("keywords"))
     return sampling.create_stratified_sample(docs, CRITERIA, "doc_id").drop("abstract")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import date, datetime, timedelta
 from io import BytesIO
 from itertools import islice
 from xml.etree import ElementTree
@@ -28,12 +29,15 @@ def with_nulls(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def load_data(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet by its suffix, CSV by '.csv' (types inferred without a schema), anything else as the first sheet of a workbook."""
+def load_data(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """Parquet by its suffix, CSV by '.csv' (types inferred without a schema), anything else as the first sheet of a workbook.
+
+    A CSV file whose quoted fields may hold line ends can't be split, so one task reads it; with multi_line=False large files are split.
+    """
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".csv"):
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         return with_nulls(reader.schema(schema).csv(path)) if schema else typed(with_nulls(reader.option("inferSchema", True).csv(path)))
     return read_xlsx(spark, path)
 
@@ -51,14 +55,37 @@ def typed(df: DataFrame) -> DataFrame:
     return df.withColumns({c: as_kind(c, k) for c, k in kinds.items()}) if kinds else df
 
 
+# Numbers of the built-in formats that show dates and times.
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def date_styles(styles: bytes) -> set[int]:
+    """The cell styles that show a number as a date or time."""
+    root = ElementTree.fromstring(styles)
+    plain = lambda code: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|General', "", code)
+    own = {int(f.get("numFmtId")) for f in root.iter(f"{NS}numFmt") if re.search("[dmyhs]", plain(f.get("formatCode") or ""), re.IGNORECASE)}
+    cell_formats = root.find(f"{NS}cellXfs")
+    return {i for i, x in enumerate(cell_formats if cell_formats is not None else ()) if int(x.get("numFmtId") or 0) in own | DATE_FORMATS}
+
+
+def date_of(serial: float, from_1904: bool) -> datetime:
+    """The date of a workbook's day count, to the millisecond; the count from 1900 has a 29 February 1900 that never was."""
+    base = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 31 if serial < 60 else 30)
+    return base + timedelta(milliseconds=round(serial * 86_400_000))
+
+
 def cells(data: bytes) -> Iterator[list]:
-    """Rows of the first sheet of a workbook."""
+    """Rows of the first sheet of a workbook: texts, floats, booleans and datetimes."""
     with zipfile.ZipFile(BytesIO(data)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{NS}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{NS}si")]
-        first = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{NS}sheet"))  # in the order of the workbook's tabs
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        about = book.find(f"{NS}workbookPr")
+        from_1904 = about is not None and about.get("date1904") in ("1", "true")
+        dates = date_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else set()
+        first = next(book.iter(f"{NS}sheet"))  # in the order of the workbook's tabs
         link = next(v for k, v in first.attrib.items() if k.endswith("}id"))
         target = next(r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if r.get("Id") == link)
         sheet = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
@@ -76,14 +103,30 @@ def cells(data: bytes) -> Iterator[list]:
                 elif v is None or v.text is None:
                     out.append(None)
                 else:
-                    out.append(shared[int(v.text)] if kind == "s" else v.text if kind in ("str", "e") else float(v.text))
+                    number = float(v.text) if kind in (None, "n", "b") else None
+                    if kind == "b":
+                        out.append(bool(number))
+                    elif kind == "d":
+                        out.append(datetime.fromisoformat(v.text))
+                    elif number is None:
+                        out.append(shared[int(v.text)] if kind == "s" else v.text)
+                    else:
+                        out.append(date_of(number, from_1904) if int(c.get("s") or 0) in dates else number)
             yield out
 
 
+def marked(v: object) -> str | None:
+    """A cell as a text whose first character tells its kind."""
+    if v is None:
+        return None
+    return "?" + str(v) if isinstance(v, bool) else "#" + repr(v) if isinstance(v, float) else "@" + v.isoformat(" ") if isinstance(v, datetime) else "'" + str(v)
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """The first sheet. A workbook is one file of at most 1,048,576 rows, so one task parses it; only the header and the kinds of its columns come to the driver.
 
-    Columns of numbers are longs or doubles; a column without a name is column_i.
+    Columns of numbers are longs or doubles, those of dates timestamps, those of booleans booleans, all others texts; a
+    column without a name is column_i.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,23 +134,25 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
             for data in batch.column("content").to_pylist():
                 rows = cells(data)
                 while part := list(islice(rows, 10_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array([[None if v is None else repr(v) if isinstance(v, float) else "'" + str(v) for v in r] for r in part], pa.list_(pa.string()))], ["cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array([[marked(v) for v in r] for r in part], pa.list_(pa.string()))], ["cells"])
 
-    parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "cells array<string>").withColumn("at", F.monotonically_increasing_id()).persist()
+    parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "cells array<string>").withColumn("at", F.monotonically_increasing_id())
     top = parsed.orderBy("at").limit(1).collect()
     if not top:
         return spark.createDataFrame([], T.StructType([]))
-    head = [f"column_{i}" if h is None else h[1:] if h.startswith("'") else h for i, h in enumerate(top[0]["cells"])]
+    head = [f"column_{i}" if h is None else h[1:] for i, h in enumerate(top[0]["cells"])]
     body = parsed.where(F.col("at") > top[0]["at"])
     cell = [F.get("cells", F.lit(i)) for i in range(len(head))]
-    is_text = [F.startswith(c, F.lit("'")) for c in cell]
-    counts = [x for i, c in enumerate(cell) for x in (F.count(c).alias(f"n{i}"), F.count_if(is_text[i]).alias(f"t{i}"), F.count_if(~is_text[i] & (c.try_cast("double") == F.floor(c.try_cast("double")))).alias(f"w{i}"))]
+    value = [F.substr(c, F.lit(2)) for c in cell]
+    number = [v.try_cast("double") for v in value]
+    of = lambda i, mark: F.count_if(F.startswith(cell[i], F.lit(mark)))
+    counts = [x for i, c in enumerate(cell) for x in (F.count(c).alias(f"n{i}"), of(i, "#").alias(f"f{i}"), of(i, "@").alias(f"d{i}"), of(i, "?").alias(f"b{i}"), F.count_if(F.startswith(c, F.lit("#")) & (number[i] == F.floor(number[i]))).alias(f"w{i}"))]
     row = body.agg(*counts).first() if head else None
     out = []
     for i, h in enumerate(head):
-        numbers = row[f"n{i}"] and not row[f"t{i}"]
-        kind = "long" if numbers and row[f"w{i}"] == row[f"n{i}"] else "double"
-        out.append((cell[i].try_cast("double").cast(kind) if numbers else F.when(is_text[i], F.substr(cell[i], F.lit(2))).otherwise(cell[i])).alias(h))
+        all_of = {k for k in "fdbw" if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]}
+        kind = "long" if "w" in all_of else "double" if "f" in all_of else "timestamp_ntz" if "d" in all_of else "boolean" if "b" in all_of else None
+        out.append((number[i].cast(kind) if kind in ("long", "double") else value[i].cast(kind) if kind else value[i]).alias(h))
     return body.orderBy("at").select(*out)
 
 
@@ -137,8 +182,13 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Screening Results", width
         at = f'r="{name_of(i)}{r}" s="{style}"'
         if v is None:
             return ""
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
+        if isinstance(v, bool):
+            return f'<c {at} t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
             return f"<c {at}><v>{v}</v></c>"
+        if isinstance(v, date):
+            day = v if isinstance(v, datetime) else datetime(v.year, v.month, v.day)
+            return f'<c r="{name_of(i)}{r}" s="3"><v>{(day.replace(tzinfo=None) - datetime(1899, 12, 30)) / timedelta(days=1)!r}</v></c>'
         safe = escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v)))
         return f'<c {at} t="inlineStr"><is><t xml:space="preserve">{safe}</t></is></c>'
 
@@ -161,7 +211,7 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Screening Results", width
         "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{kind}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{kind}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{kind}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{kind}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="4"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="3"><xf/><xf fontId="1" fillId="2" applyFill="1" applyFont="1"/><xf fontId="1" fillId="3" applyFill="1" applyFont="1"/></cellXfs></styleSheet>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="4"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/><xf fontId="1" fillId="2" applyFill="1" applyFont="1"/><xf fontId="1" fillId="3" applyFill="1" applyFont="1"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>',
         "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}">{view}<cols>{columns}</cols><sheetData>{"".join(lines)}</sheetData></worksheet>',
     }
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
