@@ -1,16 +1,18 @@
 """The corpus pipeline: documents through five operators to packed sequences.
 
 Each stage works on all rows that its predecessor kept. All but the last return the columns of their input, extra ones
-unchanged whatever their names; text and n_chars follow what a stage cuts. Rows with a null id are kept by every stage but
-the classifier, which judges them by their text; of rows that repeat an id, the group stage keeps one; an empty table stays
-empty. run() saves each stage's rows once, in the shared checkpoint folder, so that none is computed twice.
+unchanged whatever their names; text and n_chars follow what a stage cuts. Rows are told apart by a key of their own: rows
+that repeat an id with other texts all go through, copies of one row are a group like any other, and so are rows with a null
+id, which stand behind all ids in a group. The suffix stage cuts by id, so rows of one id don't cut one another, and rows
+with a null id stay as they are. An empty table stays empty. run() saves each stage's rows once, in the shared checkpoint
+folder, so that none is computed twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsift.llm import classifier, linededup, ngram, packing, suffix
@@ -41,14 +43,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component, one row of it; rows with a null id all stay."""
+    """Of each component the row of the smallest id, and of its copies under that id the first."""
     plain, names = numbered(docs)
-    i, t = names["doc_id"], names["text"]
-    kept = ngram.jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    held = plain.join(kept, plain[i] == kept["kept_id"], "left_semi")
-    first = Window.partitionBy(i).orderBy(F.xxhash64(t), t)
-    one = held.withColumn("row", F.row_number().over(first)).where("row = 1").drop("row")
-    return named(one.union(plain.where(F.col(i).isNull())), names)
+    rows = plain.withColumn("row", F.monotonically_increasing_id())
+    groups = ngram.jaccard_components(rows.select(F.col("row").alias("doc_id"), F.col(names["text"]).alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    first = groups.join(rows.select("row", F.col(names["doc_id"]).alias("id")), "row").groupBy("component_id").agg(F.min(place)["row"].alias("row"))
+    return named(rows.join(first.select("row"), "row", "left_semi").drop("row"), names)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
