@@ -308,7 +308,7 @@ def train(encoded: DataFrame, mass: np.ndarray) -> Weights:
 
 def model_scores(encoded: DataFrame, weights: Weights, mass: np.ndarray) -> DataFrame:
     """encoded without ids, with `model`: the sum of the normalised base-10 log probabilities of a row's symbols."""
-    bias = (weights.b + np.log(mass / mass.sum())).astype(np.float32)
+    bias = (weights.b + np.log(np.maximum(mass / mass.sum(), 1e-30))).astype(np.float32)  # a place without a word is never met
     matrix = np.concatenate([weights.q, bias[:, None]], axis=1).T.copy()
     keep = ["row", "doc_id", "n_tokens", "n_hit", "base_hit", "adjust"]
 

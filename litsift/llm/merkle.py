@@ -83,7 +83,7 @@ def offsets(rows: DataFrame) -> dict[int, tuple[int, int, bool, int]]:
         before.append(total.get(r["a"]["g"], 0))
         for e in {r["a"]["g"]: r["a"], r["b"]["g"]: r["b"]}.values():
             total[e["g"]] = total.get(e["g"], 0) + e["n"]
-    following = [r["a"]["g"] for r in edges[1:]] + [None]
+    following = [*(r["a"]["g"] for r in edges[1:]), *([None] if edges else [])]
     return {r["part"]: (base, total[r["a"]["g"]], r["b"]["g"] != after, total[r["b"]["g"]]) for r, base, after in zip(edges, before, following, strict=True)}
 
 
