@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from litsift.llm.common import utf8
 
-#: Bands: texts of fewer UTF-8 bytes than the first number are kept if their ratio lies between the other two. The limits
-#: stand a few hundredths outside the ratios of texts labelled good, by length: prose of four languages, at LEVEL.
-BANDS = (
-    (256, 0.50, 0.92), (512, 0.50, 0.78), (1024, 0.48, 0.71), (2048, 0.455, 0.60), (4096, 0.435, 0.54), (8192, 0.415, 0.49),
-    (16384, 0.40, 0.47), (65536, 0.375, 0.45), (1 << 62, 0.30, 0.45),
-)
+#: A kept text's ratio lies between two limits, which follow its length in UTF-8 bytes: straight lines over the logarithm of
+#: the length between these points, and level beyond. The upper limit stands outside the ratios of prose, licence texts and
+#: program sources; random letters are above it from some 1,500 bytes on. The lower one stands some hundredths below those
+#: of prose of four languages, so that noise and repetition fall below it; sources and tables often do too. All at LEVEL.
+UPPER = ((128, 1.02), (256, 0.86), (512, 0.765), (1024, 0.675), (2048, 0.58), (4096, 0.545), (8192, 0.50), (16384, 0.47), (65536, 0.45))
+LOWER = ((362, 0.50), (724, 0.48), (1448, 0.455), (2896, 0.435), (5793, 0.415), (11585, 0.40), (32768, 0.375), (262144, 0.30))
 CHUNK = 1024
 CHUNK_BAND = (0.44, 0.64)
 #: The largest share of chunks outside CHUNK_BAND that a kept text has.
@@ -64,6 +64,11 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
+def limit(points: tuple[tuple[int, float], ...], size: int) -> float:
+    at, value = zip(*points, strict=True)
+    return float(np.interp(np.log2(max(1, size)), np.log2(at), value))
+
+
 def judge(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple:
     words = text.split()  # of bytes: at \x20 and \x09-\x0D only
     n = len(words)
@@ -78,7 +83,7 @@ def judge(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple:
     repeat = repeated_words(words)
     failed = n < 20 or 100 * repeat > 30 * n
     ratio = len(zstd.compress(text)) / max(1, len(text))
-    low, high = next((low, high) for below, low, high in BANDS if len(text) < below)
+    low, high = limit(LOWER, len(text)), limit(UPPER, len(text))
     starts = [*range(0, len(text) - CHUNK, CHUNK), len(text) - CHUNK] if len(text) >= CHUNK else []
     chunks = [len(zstd.compress(text[i : i + CHUNK])) / CHUNK for i in starts]
     odd = sum(not CHUNK_BAND[0] <= x <= CHUNK_BAND[1] for x in chunks) / max(1, len(chunks))

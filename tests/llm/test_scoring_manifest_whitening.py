@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from litsift.llm import lm, merkle, whitening
+from litsift.llm import lm, merkle, quality, whitening
 
 NAMES = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -233,3 +233,11 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
     got = out.collect()
     assert Counter(r["text"] for r in got if r["text"] and not r["text"].startswith("alone")) == Counter(texts) and len(got) == 24 + 3
     assert {(r["doc_id"], r["text"]) for r in got} >= {(2 * k, rows[3 * k][1]) for k in range(12)} and all(r["row"] == "mine" for r in got)
+
+
+def test_quality_limits_follow_the_length_without_steps():
+    for points in (quality.UPPER, quality.LOWER):
+        values = [quality.limit(points, n) for n in range(0, 300_000, 7)]
+        assert max(abs(a - b) for a, b in zip(values, values[1:])) < 0.02 and values == sorted(values, reverse=True)
+    assert all(quality.limit(quality.LOWER, n) < quality.limit(quality.UPPER, n) for n in range(0, 300_000, 7))
+    assert quality.limit(quality.UPPER, 1_069) > 0.65  # a licence text of that length has 0.63
