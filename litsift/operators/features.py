@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.functions.scalars import probit
-from litsift.operators.encoders import Encoder, with_vectors
+from litsift.operators.encoders import Encoder, tokenized, with_vectors
 from litsift.operators.order import column_figures, range_rank
 
 UNKNOWN, RARE = 0, 1
@@ -183,7 +183,8 @@ def fit_transforms(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str,
 def preprocess(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str, str] | None = None, fitted: FittedTransforms | None = None, rare_threshold: int = 5, sep: str | None = None, max_length: int | None = None, encoder: Encoder | None = None) -> tuple[DataFrame, FittedTransforms]:
     """Adds model_text (its first max_length words, or all), cat, num and labels (array of floats); fits first if nothing fitted is given.
 
-    With an encoder also text_vector, from the text joined by the encoder's separator; train with embedding_col="text_vector".
+    With an encoder also text_vector, from the text joined by the encoder's separator, and with a tokenizer input_ids and
+    attention_mask; train with embedding_col="text_vector". What isn't asked for is not worked out.
     """
     from litsift.functions.text import model_text, tokens
 
@@ -195,4 +196,6 @@ def preprocess(df: DataFrame, spec: ColumnSpec, numeric_transform: dict[str, str
     if max_length is not None:
         text = F.array_join(tokens(text, max_length), " ")
     out = fitted.transform(df).withColumns({"model_text": text, "labels": labels})
+    if encoder and encoder.tokenizer:
+        out = out.withColumn("_tokens", tokenized("model_text", encoder)).withColumns({c: F.col(f"_tokens.{c}") for c in ("input_ids", "attention_mask")}).drop("_tokens")
     return (with_vectors(out, "model_text", encoder) if encoder else out), fitted

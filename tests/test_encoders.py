@@ -48,6 +48,7 @@ def test_training_on_an_encoder(spark, tmp_path):
     rows = [(i, "good paper" if i % 2 else "bad paper long", float(i % 5), i % 2) for i in range(80)]
     df = spark.createDataFrame(rows, "id long, t string, x double, y int")
     ready, fitted = features.preprocess(df, features.ColumnSpec(("t",), (), ("x",), "y"), {"x": "mean"}, encoder=toy(tmp_path))
+    assert ready.where("id = 0").select("input_ids", "attention_mask").first() == ([2, 3, 4] + [0] * 509, [1] * 3 + [0] * 509)
     net, _ = model.train(ready, None, 1, Config(epochs=10, learning_rate=0.05, mlp_hidden_size=4), embedding_col="text_vector", kind="mlp", id_col="id")
     assert net.fitted.shape.text == len(WORDS) and net.predict(ready).where(F.col("predictions")[0] == F.col("y")).count() == 80
     logistic, _ = model.train(ready, None, 1, Config(), embedding_col="text_vector")
