@@ -5,7 +5,8 @@ merge rank to all its positions; active ranks are applied in ascending order, ea
 only the lists of pairs that a merge touched are updated. The ids of a text are then the joined ids of its words.
 
 Edge cases: a null text counts as empty and gives no ids; text is taken whole at any length; bytes that are not UTF-8
-after decoding become U+FFFD, as the tokenizers library does. Extra columns of the input never reach the encoder.
+after decoding become U+FFFD, as the tokenizers library does. Rows that repeat an id or have none are encoded one by one;
+an empty table gives an empty result. Extra columns of the input never reach the encoder.
 """
 
 from __future__ import annotations

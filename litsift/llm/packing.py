@@ -7,8 +7,9 @@
 3. Pieces of one length are interchangeable, so a piece needs only its number among those of its length, counted in
    salted groups, to find its sequence and its place there.
 
-Edge cases: a null or empty text is one piece that holds just the end id; repeated rows are packed one by one; an
-empty table gives an empty result; extra columns of the input are ignored.
+Edge cases: a null or empty text is one piece that holds just the end id; repeated rows are packed one by one, and so are
+rows with a null id, whose pieces have a null id; an empty table gives an empty result; extra columns of the input are
+ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from litsift.llm import lm, merkle, quality, whitening
+from litsift.llm import bpe, lm, merkle, packing, quality, queries, whitening
 
 NAMES = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -241,3 +241,17 @@ def test_quality_limits_follow_the_length_without_steps():
         assert max(abs(a - b) for a, b in zip(values, values[1:])) < 0.02 and values == sorted(values, reverse=True)
     assert all(quality.limit(quality.LOWER, n) < quality.limit(quality.UPPER, n) for n in range(0, 300_000, 7))
     assert quality.limit(quality.UPPER, 1_069) > 0.65  # a licence text of that length has 0.63
+
+
+def test_bpe_and_packing_take_rows_without_an_id_and_repeated_rows(spark):
+    rows = [(None, "one two"), (None, "one two"), (None, None), (3, "x " * 3000), (3, "x " * 3000), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "ids": F.lit(2), "piece": F.lit(3)})
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in bpe.digest(docs, queries.tokenizer_path()).collect())
+    n = {k: next(t for i, t in got if i == k) for k in (3, 4)}
+    assert sum(got.values()) == 6 and got[3, n[3]] == 2 and n[4] == 0 and got[None, 0] == 1 and max(v for (i, _), v in got.items() if i is None) == 2
+    pieces = packing.pack_documents(docs, queries.tokenizer_path()).collect()
+    long = [r for r in pieces if r["doc_id"] == 3]
+    assert sum(r["length"] for r in long) == 2 * (n[3] + 1) and Counter(r["piece"] for r in long) == Counter({k: 2 for k in range(-(-(n[3] + 1) // 1024))})
+    assert sum(r["doc_id"] is None for r in pieces) == 3 and len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
+    empty = docs.where("false")
+    assert bpe.digest(empty, queries.tokenizer_path()).count() == packing.pack_documents(empty, queries.tokenizer_path()).count() == 0
