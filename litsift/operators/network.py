@@ -114,13 +114,14 @@ def text_values(column: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray,
     return row, key % shape.text, value / norm[row]
 
 
-def rows_of(batch: pa.RecordBatch | pa.Table, shape: Shape, model: int) -> Rows:
+def rows_of(batch: pa.RecordBatch | pa.Table, shape: Shape, model: int, text: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Rows:
+    """The rows as one model takes them; text: text_values(), where another model has asked for them."""
     n = batch.num_rows
     table = lambda c, width: np.array([x[model][:width] for x in batch.column(c).to_pylist()], dtype=float).reshape(n, width)
     codes = table("codes", len(shape.categories)).astype(np.int64)
     codes = np.where(codes < np.array(shape.categories, dtype=np.int64), codes, RARE)
     labels = np.array([[np.nan if v is None else v for v in x] for x in batch.column("labels").to_pylist()], dtype=float).reshape(n, shape.labels)
-    return Rows(*text_values(batch.column("text"), shape), codes, np.nan_to_num(table("numbers", shape.numbers)), labels)
+    return Rows(*(text or text_values(batch.column("text"), shape)), codes, np.nan_to_num(table("numbers", shape.numbers)), labels)
 
 
 def forward(shape: Shape, parts: list[np.ndarray], rows: Rows, drop: float = 0.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray | None]]]:
@@ -225,9 +226,12 @@ def epoch_of_shard(tables: Iterator[pa.Table], shard: int, epoch: int, shapes: d
         figures[k][0] += loss * len(rows)
 
     for table in tables:
-        fold = table.column("fold").to_numpy()
+        fold, texts = table.column("fold").to_numpy(), {}
         for k, shape in shapes.items():
-            rows, own = rows_of(table, shape, k), fold == k
+            kind = shape.text, shape.hashed
+            if kind not in texts:
+                texts[kind] = text_values(table.column("text"), shape)
+            rows, own = rows_of(table, shape, k, texts[kind]), fold == k
             for a in range(0, len(rows), config.eval_batch_size):
                 part, held = rows.take(np.arange(a, min(a + config.eval_batch_size, len(rows)))), own[a : a + config.eval_batch_size]
                 z = forward(shape, before[k], part)[0]
