@@ -265,16 +265,15 @@ def cross_validate(df: DataFrame, id_col: str, spec: ColumnSpec, numeric_transfo
     codes and numbers under every fold's transforms, and is left out by the model of its own fold.
     """
     names = spec.labels()
-    rows = with_folds(df, id_col, names, config.n_folds, config.random_seed)
-    folds = range(config.n_folds)
-    fits = [fit_transforms(rows.where(F.col("fold") != k), spec, numeric_transform, config.rare_threshold) for k in folds]
-    for k, fitted in enumerate(fits):
-        rows = fitted.transform(rows).withColumnsRenamed({"cat": f"_cat{k}", "num": f"_num{k}"})
-    labels = F.array(*(F.col(c).cast("float") for c in names))
-    text = text_input(embedding_col, text_features)
-    rows = rows.withColumn("model_text", model_text(list(spec.text_cols)))
-    rows = rows.select(F.col(id_col).alias("key"), F.col("fold").cast("int").alias("fold"), text.alias("text"), F.array(*(f"_cat{k}" for k in folds)).alias("codes"), F.array(*(f"_num{k}" for k in folds)).alias("numbers"), labels.alias("labels")).persist()
+    folds, labels, text = range(config.n_folds), F.array(*(F.col(c).cast("float") for c in names)), text_input(embedding_col, text_features)
+    base = with_folds(df, id_col, names, config.n_folds, config.random_seed).persist()  # read by every fit and by the scans
     try:
+        fits = [fit_transforms(base.where(F.col("fold") != k), spec, numeric_transform, config.rare_threshold) for k in folds]
+        rows = base
+        for k, fitted in enumerate(fits):
+            rows = fitted.transform(rows).withColumnsRenamed({"cat": f"_cat{k}", "num": f"_num{k}"})
+        rows = rows.withColumn("model_text", model_text(list(spec.text_cols)))
+        rows = rows.select(F.col(id_col).alias("key"), F.col("fold").cast("int").alias("fold"), text.alias("text"), F.array(*(f"_cat{k}" for k in folds)).alias("codes"), F.array(*(f"_num{k}" for k in folds)).alias("numbers"), labels.alias("labels"))
         vector = rows.agg(F.max(F.size("text"))).first()[0] if embedding_col else text_features
         shapes = [network.Shape(max(1, vector or 1), embedding_col is None, tuple(f.categorical_vocab_sizes), len(f.numeric), config.mlp_hidden_size, config.n_hidden_layers, len(names)) for f in fits]
         fitted = network.train_all(rows, F.col("key"), shapes, config)
@@ -282,7 +281,7 @@ def cross_validate(df: DataFrame, id_col: str, spec: ColumnSpec, numeric_transfo
         scored = rows.select("fold", F.transform("labels", lambda y: y.cast("int")).alias("y"), F.transform(z, lambda x: (x > 0).cast("int")).alias("p"))
         made = metrics.multi_label_metrics(scored, "y", "p", names, ["fold"]).drop("i").collect()  # a row a fold and label
     finally:
-        rows.unpersist()
+        base.unpersist()
     at = [f.history[f.best - 1] if f.best else (0, None, None, None, None) for f in fitted]
     out = [(*r, at[r["fold"]][0], at[r["fold"]][2], at[r["fold"]][4]) for r in made]
     kinds = "fold int, tp long, fp long, tn long, fn long, accuracy double, precision double, recall double, specificity double, f1 double, label string, best_epoch int, best_validation_loss double, validation_accuracy double"

@@ -513,22 +513,29 @@ SPEC = features.ColumnSpec(text_cols=("text",), categorical_cols=("lang", "sourc
 @query()
 def model_predictions(spark, d):
     """Fitted on the training split, applied to all labelled documents, calibrated on the validation split."""
-    train, val, _ = sampling.split_data(training(spark, d), "doc_id")
-    ready, fitted = features.preprocess(train, SPEC, {"n_chars": "log1p"})
-    fit = model.fit(ready, 2)
-    checked, _ = features.preprocess(val, SPEC, fitted=fitted)
+    train, val = (part.persist() for part in sampling.split_data(training(spark, d), "doc_id")[:2])
+    try:
+        ready, fitted = features.preprocess(train, SPEC, {"n_chars": "log1p"})
+        fit = model.fit(ready, 2)
+        temperature = model.calibrate(fit, features.preprocess(val, SPEC, fitted=fitted)[0])
+    finally:
+        train.unpersist()
+        val.unpersist()
     rows, _ = features.preprocess(training(spark, d), SPEC, fitted=fitted)
-    return fit.predict(rows, temperature=model.calibrate(fit, checked)).select("doc_id", F.round(F.col("probabilities")[0], 6).alias("quality_prob"), F.col("predictions")[0].alias("quality"), F.round(F.col("probabilities")[1], 6).alias("toxic_prob"), F.col("predictions")[1].alias("toxic"))
+    return fit.predict(rows, temperature=temperature).select("doc_id", F.round(F.col("probabilities")[0], 6).alias("quality_prob"), F.col("predictions")[0].alias("quality"), F.round(F.col("probabilities")[1], 6).alias("toxic_prob"), F.col("predictions")[1].alias("toxic"))
 
 
 @query()
 def training_history(spark, d):
     """One network for both labels with learnt category tables, trained with early stopping on the validation split."""
-    train, val, _ = sampling.split_data(training(spark, d), "doc_id")
-    ready, fitted = features.preprocess(train, SPEC, {"n_chars": "log1p"})
-    checked, _ = features.preprocess(val, SPEC, fitted=fitted)
-    _, history = model.train(ready, checked, 2, Config(learning_rate=RATE), kind="mlp", id_col="doc_id")
-    return history
+    train, val = (part.persist() for part in sampling.split_data(training(spark, d), "doc_id")[:2])
+    try:
+        ready, fitted = features.preprocess(train, SPEC, {"n_chars": "log1p"})
+        checked, _ = features.preprocess(val, SPEC, fitted=fitted)
+        return model.train(ready, checked, 2, Config(learning_rate=RATE), kind="mlp", id_col="doc_id")[1]
+    finally:
+        train.unpersist()
+        val.unpersist()
 
 
 @query()
