@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than one such part of all rows, so there are fewer than twice as many hot keys.
 HOT_PARTS = 2048
+#: Spark's setting by which an execution removes its own shuffle files as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def use_checkpoints(spark: SparkSession) -> str:
@@ -27,10 +29,17 @@ def use_checkpoints(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a reliable checkpoint in the shared folder; for narrow tables.
 
-    Spark removes a checkpoint once nothing refers to it if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    Nothing reads the shuffle files of what made them again, so they are removed at once and don't stay until the driver
+    collects its garbage. Spark removes a checkpoint once nothing refers to it if spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
+    conf = df.sparkSession.conf
     use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a frame takes the setting as it is when the frame is made
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def n_partitions(spark: SparkSession) -> int:

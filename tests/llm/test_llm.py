@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -11,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from litsift.llm import bpe, chat, classifier, linededup, ngram, packing, quality, queries, sharding, suffix, topk
+from litsift.llm.common import CLEANUP, cut
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -438,6 +441,20 @@ def test_classifier_edges(spark):
     assert classifier.classify(table(spark, []), labels).count() == 0
 
 
+def test_cut_removes_the_shuffle_files_of_what_it_ran(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.name for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+    before, setting = files(), spark.conf.get(CLEANUP)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("v")).join(spark.range(7).withColumnRenamed("id", "k").repartition(3), "k")
+    got = cut(df)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in df.collect()} and spark.conf.get(CLEANUP) == setting
+
+
 def test_pipeline_stages(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
