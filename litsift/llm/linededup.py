@@ -78,6 +78,11 @@ def leaf(shape: Column, n: Column, i: int) -> Column:
     return F.when((fields(n) > 0) & (fields(n) >= i), F.xxhash64(n, F.lit(i), part))
 
 
+def spot(leaf: Column, at: Column, token: Column) -> Column:
+    """A token at its place in a leaf."""
+    return F.xxhash64(leaf, at, token)
+
+
 def name(shape: Column) -> Column:
     return F.struct(F.xxhash64(shape).alias("a"), F.xxhash64(F.lit("b"), shape).alias("b"))
 
@@ -118,17 +123,18 @@ def generalised(lines: DataFrame, min_docs: int) -> DataFrame:
     crowded = cut(placed.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs))
     placed = salted_join(placed, crowded, ["leaf"], "line", "lines")
     outside = (F.col("at") < edge(F.col("tokens"), F.col("i"))) | (F.col("at") >= edge(F.col("tokens"), F.col("i") + 1))  # a leaf's own part is alike in its lines
-    spots = placed.select("line", "leaf", "i", "n", "tokens", F.posexplode(F.split("shape", " ", -1)).alias("at", "token")).where(outside)
-    spots = spots.select("line", "leaf", "n", "at", fields(F.col("tokens")).alias("room"), F.xxhash64("leaf", "at", "token").alias("token"))
-    kinds = cut(spots.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs"), F.count("*").alias("lines"), F.max("room").alias("room")))
-    spread = kinds.groupBy("leaf", "at").agg(F.count("*").alias("kinds"), F.sum("docs").alias("whole"), F.max("docs").alias("top"), F.max("room").alias("room"))
-    spread = cut(spread.where(F.col("kinds") >= min_docs))
+    spots = placed.select("leaf", "i", "n", "tokens", F.posexplode(F.split("shape", " ", -1)).alias("at", "token")).where(outside)
+    spots = spots.select("leaf", "n", "at", fields(F.col("tokens")).alias("room"), spot(F.col("leaf"), F.col("at"), F.col("token")).alias("token"))
+    kinds = spots.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs"), F.count("*").alias("lines"), F.max("room").alias("room"))
+    spread = kinds.groupBy("leaf", "at").agg(F.count("*").alias("kinds"), F.sum("docs").alias("whole"), F.max("docs").alias("top"), F.max_by("token", "docs").alias("token"), F.sum("lines").alias("lines"), F.max("room").alias("room"))
+    usual = 2 * F.col("top") > F.col("whole")  # one token at most, which is no wildcard
+    opened = spread.where(F.col("kinds") >= min_docs).groupBy("leaf").agg(F.max("room").alias("room"), F.max("lines").alias("lines"), F.count_if(~usual).alias("blind"), F.collect_list(F.struct("at", F.when(usual, F.col("token")).alias("usual"))).alias("open"))
     # where more positions than there is room for have no token that most documents have, every line has too many wildcards
-    blind = spread.groupBy("leaf").agg(F.max("room").alias("room"), F.count_if(2 * F.col("top") <= F.col("whole")).alias("open")).where("open > room")
-    wide = cut(spread.join(blind, "leaf", "left_anti").select("leaf", "at", "whole", "kinds"))
-    wild = cut(salted_join(kinds.drop("room"), wide, ["leaf", "at"], "token", "kinds").where(2 * F.col("docs") <= F.col("whole")).select("token", "lines"))
-    holes = salted_join(spots.select("line", "leaf", "at", "room", "token"), wild, ["token"], "line", "lines")
-    holes = holes.groupBy("line", "leaf", "room").agg(F.collect_set("at").alias("holes")).where(F.size("holes") <= F.col("room")).select("line", "holes").distinct()
+    opened = cut(opened.where("blind <= room").select("leaf", "room", "lines", "open"))
+    words = F.array(F.split("shape", " ", -1))  # a lambda's argument is computed once
+    wild = lambda w: F.filter("open", lambda x: x["usual"].isNull() | (spot(F.col("leaf"), x["at"], F.get(w, x["at"])) != x["usual"]))
+    holes = salted_join(placed.select("line", "leaf", "shape"), opened, ["leaf"], "line", "lines").select("line", "room", F.get(F.transform(words, wild), F.lit(0))["at"].alias("holes"))
+    holes = holes.where((F.size("holes") > 0) & (F.size("holes") <= F.col("room"))).select("line", F.array_sort("holes").alias("holes")).distinct()
     masked = F.array_join(F.transform(F.split("shape", " ", -1), lambda t, at: F.when(F.array_contains("holes", at), WILD).otherwise(t)), " ")
     named = each.join(holes, "line").select("shape", masked.alias("template")).distinct()
     held = cut(lines.join(named, "shape").select("doc_id", "shape", "template", "n"))

@@ -185,6 +185,17 @@ def test_line_dedup_word_fields_and_shared_heads(spark):
     assert all(got[i]["text"] == rows[i][1].split("\n")[2] for i in range(1, 8))
 
 
+def test_line_dedup_joins_no_more_than_a_row_for_each_line_and_leaf(spark, monkeypatch):
+    """Near copies of one line, each with a word of its own: what is joined follows the lines and not their tokens or pairs."""
+    base, n = [f"base{chr(97 + i)}" for i in range(24)], 72
+    rows = [(k, " ".join(f"own{chr(97 + k // 26)}{chr(97 + k % 26)}" if j == k % 12 else w for j, w in enumerate(base))) for k in range(n)]
+    sizes, join = [], linededup.salted_join
+    monkeypatch.setattr(linededup, "salted_join", lambda many, *rest: sizes.append(many.count()) or join(many, *rest))
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_lines(table(spark, rows)).collect()}
+    assert got == {k: int(k >= 12) for k in range(n)}  # 12 templates of 6 lines, of which the first stays
+    assert max(sizes) <= linededup.PARTS * n, sizes
+
+
 def test_line_dedup_edges_and_sql(spark):
     import duckdb
 
