@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 from math import exp, log
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 
@@ -268,7 +269,8 @@ def cross_validate(df: DataFrame, id_col: str, spec: ColumnSpec, numeric_transfo
     folds, labels, text = range(config.n_folds), F.array(*(F.col(c).cast("float") for c in names)), text_input(embedding_col, text_features)
     base = with_folds(df, id_col, names, config.n_folds, config.random_seed).persist()  # read by every fit and by the scans
     try:
-        fits = [fit_transforms(base.where(F.col("fold") != k), spec, numeric_transform, config.rare_threshold) for k in folds]
+        with ThreadPool(len(folds)) as pool:  # many small jobs a fold, beside each other
+            fits = pool.map(lambda k: fit_transforms(base.where(F.col("fold") != k), spec, numeric_transform, config.rare_threshold), folds)
         rows = base
         for k, fitted in enumerate(fits):
             rows = fitted.transform(rows).withColumnsRenamed({"cat": f"_cat{k}", "num": f"_num{k}"})
@@ -276,7 +278,7 @@ def cross_validate(df: DataFrame, id_col: str, spec: ColumnSpec, numeric_transfo
         rows = rows.select(F.col(id_col).alias("key"), F.col("fold").cast("int").alias("fold"), text.alias("text"), F.array(*(f"_cat{k}" for k in folds)).alias("codes"), F.array(*(f"_num{k}" for k in folds)).alias("numbers"), labels.alias("labels"))
         vector = rows.agg(F.max(F.size("text"))).first()[0] if embedding_col else text_features
         shapes = [network.Shape(max(1, vector or 1), embedding_col is None, tuple(f.categorical_vocab_sizes), len(f.numeric), config.mlp_hidden_size, config.n_hidden_layers, len(names)) for f in fits]
-        fitted = network.train_all(rows, F.col("key"), shapes, config)
+        fitted = network.train_all(rows, F.col("key"), shapes, config, all_figures=False)
         z = network.logits(fitted, F.col("fold"), F.col("text"), F.col("codes"), F.col("numbers"))
         scored = rows.select("fold", F.transform("labels", lambda y: y.cast("int")).alias("y"), F.transform(z, lambda x: (x > 0).cast("int")).alias("p"))
         made = metrics.multi_label_metrics(scored, "y", "p", names, ["fold"]).drop("i").collect()  # a row a fold and label

@@ -8,13 +8,16 @@ moments by rows, chunk by chunk, and the next epoch begins from the mean. With o
 plain sequential training.
 
 Several models train in one scan: a row of fold k is for validation in model k and for training in all others, a row without
-fold is for training in all. Figures of an epoch come with the next scan, from the weights that it starts with.
+fold is for training in all. Rows are packed once into blocks of arrays; in a scan each model of each shard has a task.
+Figures of an epoch come with the next scan, from the weights that it starts with.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,10 @@ from litsift.operators.features import RARE, embedding_width
 
 #: Rows that are trained on one after the other in an epoch, about; rows shuffled together; numbers of a chunk.
 SHARD_ROWS, BLOCK, CHUNK = 50_000, 4096, 1 << 16
+#: Numbers that AdamW takes at once: what they need stays in a core's cache.
+PIECE = 1 << 14
+#: For a scan: a union keeps its parts' partitions apart, a task each, and shuffle files go as soon as the frame is collected.
+SETTINGS = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 # AdamW's settings.
 BETA1, BETA2, EPSILON, DECAY = 0.9, 0.999, 1e-8, 0.01
 FIGURES = ("train_loss", "n_train", "train_hits", "train_labels", "validation_loss", "validation_labels", "validation_hits")
@@ -45,10 +52,14 @@ class Shape:
     layers: int
     labels: int
 
+    @property
+    def inputs(self) -> int:
+        return self.text + sum(map(embedding_width, self.categories)) + self.numbers
+
     def sizes(self) -> list[tuple[int, ...]]:
         """Category tables, then weights and biases layer by layer."""
         tables = [(v, embedding_width(v)) for v in self.categories]
-        widths = [self.text + sum(w for _, w in tables) + self.numbers, *[self.hidden] * self.layers, self.labels]
+        widths = [self.inputs, *[self.hidden] * self.layers, self.labels]
         return [*tables, *(s for a, b in zip(widths, widths[1:], strict=False) for s in ((a, b), (b,)))]
 
     def views(self, flat: np.ndarray) -> list[np.ndarray]:
@@ -87,15 +98,17 @@ class Rows:
         inner = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
         return Rows(np.repeat(np.arange(len(which)), n), self.at[inner], self.value[inner], self.codes[which], self.numbers[which], self.labels[which])
 
+    def part(self, a: int, b: int) -> Rows:
+        """Rows a to b - 1, without copies."""
+        low, high = np.searchsorted(self.row, (a, b))
+        return Rows(self.row[low:high] - a, self.at[low:high], self.value[low:high], self.codes[a:b], self.numbers[a:b], self.labels[a:b])
+
     @classmethod
     def joined(cls, a: Rows, b: Rows) -> Rows:
         if not len(a):
             return b
         return cls(np.concatenate([a.row, b.row + len(a)]), *(np.concatenate([x, y]) for x, y in ((a.at, b.at), (a.value, b.value), (a.codes, b.codes), (a.numbers, b.numbers), (a.labels, b.labels))))
 
-    def text(self, size: int) -> np.ndarray:
-        return np.bincount(self.row * size + self.at, self.value, len(self) * size).reshape(len(self), size)
-
 
 def text_values(column: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, index and value of each entry of the text vectors; hashed words become counts of length 1."""
@@ -125,17 +138,24 @@ def rows_of(batch: pa.RecordBatch | pa.Table, shape: Shape, model: int, text: tu
 
 
 def forward(shape: Shape, parts: list[np.ndarray], rows: Rows, drop: float = 0.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray | None]]]:
-    """Logits, and for each layer its input and dropout mask."""
-    k = len(shape.categories)
-    x = np.concatenate([rows.text(shape.text), *(e[rows.codes[:, i]] for i, e in enumerate(parts[:k])), rows.numbers], axis=1)
+    """Logits, and for each layer its input and what dropout keeps of it."""
+    k, at = len(shape.categories), shape.text
+    x = np.zeros((len(rows), shape.inputs))  # few of the text's places are not 0
+    x[rows.row, rows.at] = rows.value
+    for i, e in enumerate(parts[:k]):
+        x[:, at : at + e.shape[1]] = e[rows.codes[:, i]]
+        at += e.shape[1]
+    x[:, at:] = rows.numbers
     kept = []
     for i in range(k, len(parts), 2):
-        mask = (rng.random(x.shape) >= drop) / (1 - drop) if rng is not None and drop else None
-        x = x if mask is None else x * mask
-        kept.append((x, mask))
+        keep = rng.random(x.shape) >= drop if rng is not None and drop else None
+        if keep is not None:
+            x *= keep
+            x *= 1 / (1 - drop)
+        kept.append((x, keep))
         x = x @ parts[i] + parts[i + 1]
         if i + 2 < len(parts):
-            x = np.maximum(x, 0)
+            np.maximum(x, 0, out=x)
     return x, kept
 
 
@@ -149,23 +169,27 @@ def losses(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
     return loss * known, ((1 - y) - w * np.where(z >= 0, small, 1.0) / (1 + small)) * known
 
 
-def gradient(shape: Shape, flat: np.ndarray, rows: Rows, weight: np.ndarray, drop: float = 0.0, rng: np.random.Generator | None = None) -> tuple[float, np.ndarray]:
-    """The mean loss over known labels, and its gradient."""
-    parts, out = shape.views(flat), np.zeros_like(flat)
+def gradient(shape: Shape, flat: np.ndarray, rows: Rows, weight: np.ndarray, drop: float = 0.0, rng: np.random.Generator | None = None, out: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """The mean loss over known labels, and its gradient, which is put into `out` if given."""
+    parts, out = shape.views(flat), np.empty_like(flat) if out is None else out
     grads, k = shape.views(out), len(shape.categories)
     z, kept = forward(shape, parts, rows, drop, rng)
     loss, d = losses(z, rows.labels, weight)
     n = max(1, int((~np.isnan(rows.labels)).sum()))
     d = d / n
     for i in range(len(parts) - 2, k - 1, -2):
-        x, mask = kept[(i - k) // 2]
-        grads[i][...], grads[i + 1][...] = x.T @ d, d.sum(axis=0)
-        d = d @ parts[i].T
-        d = d if mask is None else d * mask
+        x, keep = kept[(i - k) // 2]
+        np.matmul(x.T, d, out=grads[i])
+        grads[i + 1][...] = d.sum(axis=0)
+        own = slice(None) if i > k else slice(shape.text, shape.inputs - shape.numbers)  # of the inputs only the categories are learnt
+        d = d @ parts[i][own].T
+        if keep is not None:
+            d = d * keep[:, own] * (1 / (1 - drop))
         if i > k:
             d = d * (x > 0)
-    at = shape.text
+    at = 0
     for i, g in enumerate(grads[:k]):
+        g[...] = 0
         np.add.at(g, rows.codes[:, i], d[:, at : at + g.shape[1]])
         at += g.shape[1]
     return float(loss.sum() / n), out
@@ -191,13 +215,25 @@ class State:
         return cls(*(x.copy() for x in np.split(vector, 3)))
 
     def step(self, grad: np.ndarray, t: int, rate: float, clip: float) -> None:
-        """Step t, from 1; the gradient is shortened to `clip`."""
+        """Step t, from 1; the gradient is shortened to `clip`. PIECE by PIECE, and in place."""
         norm = float(np.sqrt(grad @ grad))
-        grad = grad * (clip / (norm + 1e-6)) if clip and norm > clip else grad
-        self.flat *= 1 - rate * DECAY
-        self.first += (1 - BETA1) * (grad - self.first)
-        self.second += (1 - BETA2) * (grad * grad - self.second)
-        self.flat -= rate * (self.first / (1 - BETA1**t)) / (np.sqrt(self.second / (1 - BETA2**t)) + EPSILON)
+        short = (1 - BETA1) * (clip / (norm + 1e-6) if clip and norm > clip else 1.0)
+        spread = np.sqrt(1 - BETA2**t)
+        for a in range(0, len(grad), PIECE):
+            flat, first, second = (x[a : a + PIECE] for x in (self.flat, self.first, self.second))
+            x = grad[a : a + PIECE] * short
+            first *= BETA1
+            first += x
+            x *= x
+            x *= (1 - BETA2) / (1 - BETA1) ** 2
+            second *= BETA2
+            second += x
+            np.sqrt(second, out=x)
+            x += EPSILON * spread
+            np.divide(first, x, out=x)
+            x *= rate * spread / (1 - BETA1**t)
+            flat *= 1 - rate * DECAY
+            flat -= x
 
 
 def rate_at(config: Config, step: int, total: int) -> float:
@@ -207,48 +243,44 @@ def rate_at(config: Config, step: int, total: int) -> float:
     return config.learning_rate * max(0.0, (total - step) / max(1, total - config.warmup_steps))
 
 
-def epoch_of_shard(tables: Iterator[pa.Table], shard: int, epoch: int, shapes: dict[int, Shape], states: dict[int, State], weights: dict[int, np.ndarray], sizes: dict[int, int], config: Config, learn: bool) -> dict[int, np.ndarray]:
-    """Takes the states through a shard's blocks of rows; the figures by model, in the order of FIGURES.
+def epoch_of_shard(parts: Iterator[tuple[np.ndarray, Rows]], shard: int, epoch: int, model: int, shape: Shape, state: State, weight: np.ndarray, size: int, config: Config, learn: bool, all_figures: bool) -> np.ndarray:
+    """Takes a model's state through a shard's blocks of folds and rows; its figures, in the order of FIGURES.
 
-    Every block is scored with the weights at the start, then trained on. sizes: training rows of the shard by model.
+    Every block is scored with the weights at the start, without all_figures only its rows for validation; then it is
+    trained on. size: training rows of the shard.
     """
-    before = {k: shapes[k].views(s.flat.copy()) for k, s in states.items()}
-    figures = {k: np.zeros(len(FIGURES)) for k in states}
-    per_epoch = {k: -(-n // config.batch_size) for k, n in sizes.items()}
-    done = {k: per_epoch[k] * (epoch - 1) for k in states}
-    rngs = {k: np.random.default_rng((config.random_seed, epoch, shard)) for k in states}
-    waiting: dict[int, Rows | None] = dict.fromkeys(states)
-
-    def trained(k: int, rows: Rows) -> None:
-        loss, grad = gradient(shapes[k], states[k].flat, rows, weights[k], config.dropout_rate, rngs[k])
-        states[k].step(grad, done[k] + 1, rate_at(config, done[k], per_epoch[k] * config.epochs), config.gradient_clip_norm)
-        done[k] += 1
-        figures[k][0] += loss * len(rows)
-
-    for table in tables:
-        fold, texts = table.column("fold").to_numpy(), {}
-        for k, shape in shapes.items():
-            kind = shape.text, shape.hashed
-            if kind not in texts:
-                texts[kind] = text_values(table.column("text"), shape)
-            rows, own = rows_of(table, shape, k, texts[kind]), fold == k
-            for a in range(0, len(rows), config.eval_batch_size):
-                part, held = rows.take(np.arange(a, min(a + config.eval_batch_size, len(rows)))), own[a : a + config.eval_batch_size]
-                z = forward(shape, before[k], part)[0]
-                known = ~np.isnan(part.labels)
-                loss, hits = losses(z, part.labels, weights[k])[0], ((z > 0) == (part.labels == 1)) & known
-                figures[k][2:] += hits[~held].sum(), known[~held].sum(), loss[held].sum(), known[held].sum(), hits[held].sum()
-            figures[k][1] += (~own).sum()
-            if learn:
-                mixed = rows.take(rngs[k].permutation(np.flatnonzero(~own)))
-                queue = mixed if waiting[k] is None else Rows.joined(waiting[k], mixed)
-                whole = len(queue) // config.batch_size * config.batch_size
-                for a in range(0, whole, config.batch_size):
-                    trained(k, queue.take(np.arange(a, a + config.batch_size)))
-                waiting[k] = queue.take(np.arange(whole, len(queue)))
-    for k, rest in waiting.items():
-        if rest is not None and len(rest):
-            trained(k, rest)
+    before, figures, spare = shape.views(state.flat.copy()), np.zeros(len(FIGURES)), np.empty_like(state.flat)
+    per_epoch = -(-size // config.batch_size)
+    done = per_epoch * (epoch - 1)
+    rng = np.random.default_rng((config.random_seed, epoch, shard))
+    waiting: Rows | None = None
+
+    def trained(rows: Rows) -> None:
+        nonlocal done
+        loss, grad = gradient(shape, state.flat, rows, weight, config.dropout_rate, rng, spare)
+        state.step(grad, done + 1, rate_at(config, done, per_epoch * config.epochs), config.gradient_clip_norm)
+        done += 1
+        figures[0] += loss * len(rows)
+
+    for fold, rows in parts:
+        own = fold == model
+        scored, held = (rows, own) if all_figures else (rows.take(np.flatnonzero(own)), own[own])
+        for a in range(0, len(scored), config.eval_batch_size):
+            part, h = scored.part(a, min(a + config.eval_batch_size, len(scored))), held[a : a + config.eval_batch_size]
+            z = forward(shape, before, part)[0]
+            known = ~np.isnan(part.labels)
+            loss, hits = losses(z, part.labels, weight)[0], ((z > 0) == (part.labels == 1)) & known
+            figures[2:] += hits[~h].sum(), known[~h].sum(), loss[h].sum(), known[h].sum(), hits[h].sum()
+        figures[1] += (~own).sum()
+        if learn:
+            mixed = rows.take(rng.permutation(np.flatnonzero(~own)))
+            queue = mixed if waiting is None else Rows.joined(waiting, mixed)
+            whole = len(queue) // config.batch_size * config.batch_size
+            for a in range(0, whole, config.batch_size):
+                trained(queue.part(a, a + config.batch_size))
+            waiting = queue.part(whole, len(queue))
+    if waiting is not None and len(waiting):
+        trained(waiting)
     return figures
 
 
@@ -265,6 +297,42 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def packed(placed: DataFrame, shapes: list[Shape]) -> DataFrame:
+    """A row a block: shard; fold and labels of its rows; by kind of text the entries of each row, their places and values; by model the codes and numbers. In the order of the rows."""
+    kinds = text_kinds(shapes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks(batches):
+            n, texts, models = table.num_rows, [], []
+            for shape in kinds.values():
+                row, at, value = text_values(table.column("text"), shape)
+                texts.append((np.bincount(row, minlength=n).astype(np.int32).tobytes(), at.astype(np.int32).tobytes(), value.astype(float).tobytes()))
+            for k, shape in enumerate(shapes):
+                rows = rows_of(table, shape, k, (np.empty(0, int),) * 3)
+                models.append((rows.codes.tobytes(), rows.numbers.tobytes()))
+            whole = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), table.column(c).combine_chunks()) for c in ("fold", "labels")]
+            binaries = [pa.array([list(x)], pa.list_(pa.binary())) for pairs in (texts, models) for x in zip(*pairs, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([table.column("shard")[0].as_py()], pa.int32()), *whole, *binaries], ["shard", "fold", "labels", "sizes", "at", "value", "codes", "numbers"])
+
+    return placed.select("shard", F.col("fold").cast("int").alias("fold"), "text", "codes", "numbers", F.col("labels").cast("array<float>").alias("labels")).mapInArrow(run, "shard int, fold array<int>, labels array<array<float>>, sizes array<binary>, at array<binary>, value array<binary>, codes array<binary>, numbers array<binary>")
+
+
+def text_kinds(shapes: list[Shape]) -> dict[tuple[int, bool], Shape]:
+    """The ways in which models take texts, each with a shape that has it; most often one."""
+    return {(s.text, s.hashed): s for s in shapes}
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], shapes: list[Shape]) -> Iterator[tuple[int, int, np.ndarray, Rows]]:
+    """Model, shard, folds and rows of each block, for the model whose columns these are."""
+    for b in batches:
+        for i in range(b.num_rows):
+            k, shard = b.column("model")[i].as_py(), b.column("shard")[i].as_py()
+            sizes, at, value, codes, numbers = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("sizes", np.int32), ("at", np.int32), ("value", float), ("codes", np.int64), ("numbers", float)))
+            n, shape = len(sizes), shapes[k]
+            labels = b.column("labels")[i].values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, shape.labels)
+            yield k, shard, b.column("fold")[i].values.to_numpy(), Rows(np.repeat(np.arange(n), sizes), at, value, codes.reshape(n, len(shape.categories)), numbers.reshape(n, shape.numbers), labels)
+
+
 def mean_of_shards(rows: DataFrame) -> DataFrame:
     """(model, part, n, x): the mean of x over shards by n; part -1 holds figures, which are added up. In the order of shards."""
 
@@ -298,28 +366,28 @@ class Fitted:
     best: int = 0
 
 
-def train_all(rows: DataFrame, key: Column, shapes: list[Shape], config: Config = default_config) -> list[Fitted]:
+def train_all(rows: DataFrame, key: Column, shapes: list[Shape], config: Config = default_config, all_figures: bool = True) -> list[Fitted]:
     """Trains all models in one scan an epoch and one more.
 
     rows: fold (int, -1: none), text (hashed words, or a vector), codes and numbers (an array for each model) and labels. A
     model stops after `early_stopping_patience` epochs without a smaller validation loss and keeps its best epoch; without
-    validation rows it runs all epochs and keeps the last. To the driver come, an epoch, the mean weights and moments of each model.
+    validation rows it runs all epochs and keeps the last. Without all_figures the history has no train_accuracy. To the
+    driver come, an epoch, the mean weights and moments of each model.
     """
-    spark = rows.sparkSession
-    placed = dealt(rows.select("fold", "text", "codes", "numbers", "labels", key.alias("key")), F.col("key"), config.random_seed)[0].drop("key").persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = dealt(rows.select("fold", "text", "codes", "numbers", "labels", key.alias("key")), F.col("key"), config.random_seed)[0].drop("key")
+    placed = packed(ordered, shapes).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n_of: dict[tuple[int, int], int] = {(r["shard"], r["fold"]): r["n"] for r in placed.groupBy("shard", "fold").agg(F.count("*").alias("n")).collect()}  # shards times folds
+        each = placed.select("shard", F.explode(F.arrays_zip("fold", "labels")).alias("r")).select("shard", "r.fold", "r.labels")
+        n_of: dict[tuple[int, int], int] = {(r["shard"], r["fold"]): r["n"] for r in each.groupBy("shard", "fold").agg(F.count("*").alias("n")).collect()}  # shards times folds
         every = range(len(shapes))
         sizes = {s: {k: sum(n for (t, f), n in n_of.items() if t == s and f != k) for k in every} for s, _ in n_of}
-        weights = positive_weights(placed, len(shapes), shapes[0].labels, config)
+        weights = positive_weights(each, len(shapes), shapes[0].labels, config)
         states = {k: State.start(shapes[k].start(config.random_seed)) for k in every}
         fitted = [Fitted(shapes[k], states[k].flat) for k in every]
         active, loss, seen = list(every), {}, {}
         for epoch in range(1, config.epochs + 2):
             learn = epoch <= config.epochs
-            sent = spark.sparkContext.broadcast({k: states[k] for k in active})
-            found = scanned(placed, sent, epoch, {k: shapes[k] for k in active}, {k: weights[k] for k in active}, sizes, config, learn)
-            sent.unpersist()
+            found = scanned(placed, {k: states[k] for k in active}, epoch, shapes, weights, sizes, config, learn, all_figures)
             for k in list(active):
                 own_loss, n, hits, labels, v_loss, v_labels, v_hits = found[k][0].tolist()
                 if epoch > 1:
@@ -342,28 +410,39 @@ def train_all(rows: DataFrame, key: Column, shapes: list[Shape], config: Config
         placed.unpersist()
 
 
-def scanned(placed: DataFrame, sent, epoch: int, shapes: dict[int, Shape], weights: dict[int, np.ndarray], sizes: dict[int, dict[int, int]], config: Config, learn: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def scanned(placed: DataFrame, states: dict[int, State], epoch: int, shapes: list[Shape], weights: dict[int, np.ndarray], sizes: dict[int, dict[int, int]], config: Config, learn: bool, all_figures: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By model the summed figures, and weights with moments after the epoch."""
+    spark, kinds = placed.sparkSession, list(text_kinds(shapes))
+    sent = {k: spark.sparkContext.broadcast(s) for k, s in states.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = blocks(batches)
-        first = next(tables, None)
-        if first is None:
-            return
-        shard = first.column("shard")[0].as_py()
-        states = {k: replace(s, flat=s.flat.copy(), first=s.first.copy(), second=s.second.copy()) for k, s in sent.value.items()}
-        figures = epoch_of_shard((t for part in ((first,), tables) for t in part), shard, epoch, shapes, states, weights, sizes[shard], config, learn)
-        for k, x in figures.items():
-            n, vector = sizes[shard][k], states[k].vector() if learn else np.empty(0)
-            pieces = [x, *(vector[a : a + CHUNK] for a in range(0, len(vector), CHUNK))]
+        for (k, shard), parts in groupby(unpacked(batches, shapes), key=lambda x: x[:2]):
+            state, n = State.of(sent[k].value.vector()), sizes[shard][k]
+            figures = epoch_of_shard((x[2:] for x in parts), shard, epoch, k, shapes[k], state, weights[k], n, config, learn, all_figures)
+            vector = state.vector() if learn else np.empty(0)
+            pieces = [figures, *(vector[a : a + CHUNK] for a in range(0, len(vector), CHUNK))]
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(pieces), pa.int32()), pa.array(range(-1, len(pieces) - 1), pa.int32()), pa.array([shard] * len(pieces), pa.int32()), pa.array([n] * len(pieces), pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["model", "part", "shard", "n", "x"])
 
-    each = placed.select("shard", "fold", "text", "codes", "numbers", "labels").mapInArrow(run, "model int, part int, shard int, n long, x binary")
+    def of(k: int) -> DataFrame:
+        kind = kinds.index((shapes[k].text, shapes[k].hashed))
+        return placed.select(F.lit(k).alias("model"), "shard", "fold", "labels", *(F.col(c)[kind].alias(c) for c in ("sizes", "at", "value")), *(F.col(c)[k].alias(c) for c in ("codes", "numbers")))
+
+    before = {c: spark.conf.get(c) for c in SETTINGS}
+    for c, v in SETTINGS.items():
+        spark.conf.set(c, v)
+    try:
+        each = reduce(DataFrame.union, map(of, states)).mapInArrow(run, "model int, part int, shard int, n long, x binary")
+        found = (mean_of_shards(each) if len(sizes) > 1 else each).collect()  # the weights of each model, in chunks
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    for b in sent.values():
+        b.destroy()
     parts: dict[int, list] = {}
-    for r in sorted(mean_of_shards(each).collect(), key=lambda r: (r["model"], r["part"])):  # the weights of each model, in chunks
+    for r in sorted(found, key=lambda r: (r["model"], r["part"])):
         parts.setdefault(r["model"], []).append(np.frombuffer(r["x"]))
     zero = np.zeros(len(FIGURES))
-    return {k: (parts[k][0], np.concatenate(parts[k][1:]) if learn else np.empty(0)) if k in parts else (zero, sent.value[k].vector()) for k in shapes}
+    return {k: (parts[k][0], np.concatenate(parts[k][1:]) if learn else np.empty(0)) if k in parts else (zero, s.vector()) for k, s in states.items()}
 
 
 def positive_weights(rows: DataFrame, models: int, labels: int, config: Config) -> dict[int, np.ndarray]:
@@ -398,7 +477,7 @@ def logits(fitted: list[Fitted], model: Column, text: Column, codes: Column, num
                 batch = pa.RecordBatch.from_pydict({"text": pa.array([t[i] for i in at], pa.list_(kind)), "codes": [[list(x) for x in c[i]] for i in at], "numbers": [[list(x) for x in n[i]] for i in at], "labels": [[None] * f.shape.labels] * len(at)})
                 rows, parts = rows_of(batch, f.shape, k), f.shape.views(f.flat)
                 for a in range(0, len(at), 512):
-                    z = forward(f.shape, parts, rows.take(np.arange(a, min(a + 512, len(at)))))[0]
+                    z = forward(f.shape, parts, rows.part(a, min(a + 512, len(at))))[0]
                     out[at[a : a + 512]] = list(z)
         return out
 

@@ -128,6 +128,29 @@ def test_folds_in_one_scan_equal_separate_fits(spark):
         assert alone.best == both[k].best and alone.flat == pytest.approx(both[k].flat) and [r[:3] for r in alone.history] == [pytest.approx(r[:3]) for r in both[k].history]
 
 
+def test_each_model_of_a_shard_has_its_own_task(spark, monkeypatch):
+    rows = [(*r[:3], r[3] * 3, r[4] * 3, r[5]) for r in made(60, 4)]
+    df = spark.createDataFrame(rows, SCHEMA).where("fold >= 0").persist()
+    tracker = spark.sparkContext.statusTracker()
+    for shards in (1, 2):
+        monkeypatch.setattr(network, "SHARD_ROWS", -(-df.count() // shards))
+        spark.sparkContext.setJobGroup(f"scans of {shards}", "")
+        network.train_all(df, F.col("id"), [SHAPE] * 3, Config(epochs=2, batch_size=8, early_stopping_patience=5))
+        spark.sparkContext.setJobGroup("", "")
+        jobs = map(tracker.getJobInfo, tracker.getJobIdsForGroup(f"scans of {shards}"))
+        tasks = [s.numTasks for j in jobs for s in map(tracker.getStageInfo, j.stageIds) if s]
+        assert tasks.count(3 * shards) >= 3  # two epochs and the last figures
+    df.unpersist()
+
+
+def test_folds_alone_give_the_same_figures_of_validation(spark):
+    df = spark.createDataFrame(made(60, 6), SCHEMA)
+    config = Config(epochs=3, batch_size=8, learning_rate=0.02, early_stopping_patience=5)
+    whole, part = (network.train_all(df, F.col("id"), [SHAPE], config, all_figures=x)[0] for x in (True, False))
+    assert (part.flat == whole.flat).all() and part.best == whole.best
+    assert [r[3] for r in part.history] == [None] * 3 and [(*r[:3], r[4]) for r in part.history] == [pytest.approx((*r[:3], r[4])) for r in whole.history]
+
+
 def test_every_setting_acts(spark):
     df = spark.createDataFrame(made(50, 3), SCHEMA)
     base = {"epochs": 2, "batch_size": 8, "learning_rate": 0.02, "dropout_rate": 0.0, "early_stopping_patience": 5}
