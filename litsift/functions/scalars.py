@@ -13,6 +13,17 @@ def to_number(text: Column) -> Column:
     return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
 
 
+def figure_text(x: Column, places: int = 6) -> Column:
+    """A double rounded, half away from zero, and written as SQL does: 0.5, 0.0005, 5.2e-05."""
+    n = F.abs(F.round(x * 10.0**places)).cast("long")
+    digits, cut = n.cast("string"), lambda d: F.regexp_replace(d, "0+$", "")
+    fraction = cut(F.lpad((n % 10**places).cast("string"), places, "0"))
+    fixed = F.concat(((n - n % 10**places) / 10**places).cast("long").cast("string"), F.lit("."), F.when(fraction == "", "0").otherwise(fraction))
+    rest = cut(F.substring(digits, 2, places))
+    small = F.concat(F.substring(digits, 1, 1), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("e-"), F.lpad((places + 1 - F.length(digits)).cast("string"), 2, "0"))
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.when((n > 0) & (n < 10 ** max(0, places - 4)), small).otherwise(fixed))
+
+
 def yes_no(answer: Column) -> Column:
     """1 for Yes, 0 for No, null for anything else."""
     return F.when(answer == "Yes", 1).when(answer == "No", 0)

@@ -145,6 +145,16 @@ def test_audit(spark):
         audit.update_labels(log, events.withColumn("record_id", F.lit("9")), "seq", "at")
 
 
+def test_small_figures_of_the_report_are_written_as_sql_does(spark):
+    pairs = [(1, 1)] * 1001 + [(1, 0), (0, 1), (0, 0)] * 1000
+    log = spark.createDataFrame(pairs, "model_prediction int, human_label int").withColumn("model_probability", F.lit(0.5))
+    found = {(r["section"], r["key"]): r["value"] for r in audit.prisma_report(log).collect()}
+    assert found["R2", "kappa"] == found["M8", "agreement_kappa"] == "0.00025" and found["R2", "agreement_rate"] == "0.500125"
+    values = {0.0: "0.0", 1.0: "1.0", -0.25: "-0.25", 12.3456785: "12.345679", 0.00069349: "0.000693", 1e-4: "0.0001", 5.2e-5: "5.2e-05", -1e-5: "-1e-05", 9.96e-5: "0.0001", 5e-7: "1e-06", -1e-8: "-0.0", None: None}
+    df = spark.createDataFrame([(k,) for k in values], "x double")
+    assert [r[0] for r in df.select(scalars.figure_text(F.col("x"))).collect()] == list(values.values())
+
+
 def test_kappa_bands(spark):
     df = spark.createDataFrame([(k,) for k in (-0.1, 0.2, 0.4, 0.6, 0.8, 0.81)], "k double")
     assert [r[0] for r in df.select(scalars.kappa_band(F.col("k"))).collect()] == ["poor", "slight", "fair", "moderate", "substantial", "almost perfect"]
