@@ -31,7 +31,7 @@ from litsift.operators.features import RARE, embedding_width
 
 #: Rows that are trained on one after the other in an epoch, about; rows shuffled together; numbers of a chunk.
 SHARD_ROWS, BLOCK, CHUNK = 50_000, 4096, 1 << 16
-#: Numbers that AdamW takes at once: what they need stays in a core's cache.
+#: Weights whose gradient is worked out and applied at once: what that needs stays in a core's cache.
 PIECE = 1 << 14
 #: For a scan: a union keeps its parts' partitions apart, a task each, and shuffle files go as soon as the frame is collected.
 SETTINGS = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
@@ -140,18 +140,19 @@ def rows_of(batch: pa.RecordBatch | pa.Table, shape: Shape, model: int, text: tu
 def forward(shape: Shape, parts: list[np.ndarray], rows: Rows, drop: float = 0.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray | None]]]:
     """Logits, and for each layer its input and what dropout keeps of it."""
     k, at = len(shape.categories), shape.text
-    x = np.zeros((len(rows), shape.inputs))  # few of the text's places are not 0
-    x[rows.row, rows.at] = rows.value
+    x, kept = np.zeros((len(rows), shape.inputs)), []
     for i, e in enumerate(parts[:k]):
         x[:, at : at + e.shape[1]] = e[rows.codes[:, i]]
         at += e.shape[1]
     x[:, at:] = rows.numbers
-    kept = []
     for i in range(k, len(parts), 2):
         keep = rng.random(x.shape) >= drop if rng is not None and drop else None
+        first = shape.text if i == k else 0  # few of the text's places are not 0
         if keep is not None:
-            x *= keep
-            x *= 1 / (1 - drop)
+            x[:, first:] *= keep[:, first:]
+            x[:, first:] *= 1 / (1 - drop)
+        if first:
+            x[rows.row, rows.at] = rows.value if keep is None else rows.value * keep[rows.row, rows.at] * (1 / (1 - drop))
         kept.append((x, keep))
         x = x @ parts[i] + parts[i + 1]
         if i + 2 < len(parts):
@@ -169,18 +170,16 @@ def losses(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
     return loss * known, ((1 - y) - w * np.where(z >= 0, small, 1.0) / (1 + small)) * known
 
 
-def gradient(shape: Shape, flat: np.ndarray, rows: Rows, weight: np.ndarray, drop: float = 0.0, rng: np.random.Generator | None = None, out: np.ndarray | None = None) -> tuple[float, np.ndarray]:
-    """The mean loss over known labels, and its gradient, which is put into `out` if given."""
-    parts, out = shape.views(flat), np.empty_like(flat) if out is None else out
-    grads, k = shape.views(out), len(shape.categories)
+def slopes(shape: Shape, parts: list[np.ndarray], rows: Rows, weight: np.ndarray, drop: float = 0.0, rng: np.random.Generator | None = None) -> tuple[float, list[np.ndarray | tuple[np.ndarray, np.ndarray]]]:
+    """The mean loss over known labels, and by part its gradient, of a layer's weights as factors (x, d) of x.T @ d."""
+    found, k = [np.empty(0)] * len(parts), len(shape.categories)
     z, kept = forward(shape, parts, rows, drop, rng)
     loss, d = losses(z, rows.labels, weight)
     n = max(1, int((~np.isnan(rows.labels)).sum()))
     d = d / n
     for i in range(len(parts) - 2, k - 1, -2):
         x, keep = kept[(i - k) // 2]
-        np.matmul(x.T, d, out=grads[i])
-        grads[i + 1][...] = d.sum(axis=0)
+        found[i], found[i + 1] = (x, d), d.sum(axis=0)
         own = slice(None) if i > k else slice(shape.text, shape.inputs - shape.numbers)  # of the inputs only the categories are learnt
         d = d @ parts[i][own].T
         if keep is not None:
@@ -188,16 +187,58 @@ def gradient(shape: Shape, flat: np.ndarray, rows: Rows, weight: np.ndarray, dro
         if i > k:
             d = d * (x > 0)
     at = 0
-    for i, g in enumerate(grads[:k]):
-        g[...] = 0
-        np.add.at(g, rows.codes[:, i], d[:, at : at + g.shape[1]])
-        at += g.shape[1]
-    return float(loss.sum() / n), out
+    for i, e in enumerate(parts[:k]):
+        found[i] = np.zeros_like(e)
+        np.add.at(found[i], rows.codes[:, i], d[:, at : at + e.shape[1]])
+        at += e.shape[1]
+    return float(loss.sum() / n), found
+
+
+def gradient(shape: Shape, flat: np.ndarray, rows: Rows, weight: np.ndarray, drop: float = 0.0, rng: np.random.Generator | None = None) -> tuple[float, np.ndarray]:
+    """The mean loss over known labels, and its gradient as one vector."""
+    loss, found = slopes(shape, shape.views(flat), rows, weight, drop, rng)
+    return loss, np.concatenate([(g[0].T @ g[1] if isinstance(g, tuple) else g).ravel() for g in found])
+
+
+def squares(g: np.ndarray | tuple[np.ndarray, np.ndarray]) -> float:
+    """The sum of squares of a part's gradient; of factors with few rows from their products of rows."""
+    if isinstance(g, tuple):
+        x, d = g
+        if len(x) <= d.shape[1]:
+            return max(0.0, float(((x @ x.T) * (d @ d.T)).sum()))
+        g = x.T @ d
+    return float((g * g).sum())
+
+
+def adamw(parts: list[np.ndarray], first: list[np.ndarray], second: list[np.ndarray], slope: list[np.ndarray | tuple[np.ndarray, np.ndarray]], t: int, rate: float, clip: float) -> None:
+    """Step t, from 1, in place; the gradient is shortened to `clip`. Moments are sums of x = (1 - BETA1) * gradient and of x * x."""
+    norm = sum(map(squares, slope)) ** 0.5
+    short = (1 - BETA1) * (clip / (norm + 1e-6) if clip and norm > clip else 1.0)
+    spread = ((1 - BETA2) / (1 - BETA2**t)) ** 0.5 / (1 - BETA1)
+    spare = np.empty(max(PIECE, *(p.shape[-1] for p in parts)))
+    for part, m, v, g in zip(parts, first, second, slope, strict=True):
+        each = max(1, PIECE // (part.size // max(1, len(part)) or 1))
+        inputs, d = (g[0].T, g[1] * short) if isinstance(g, tuple) else (g, None)
+        for a in range(0, len(part), each):
+            w, f, s = part[a : a + each], m[a : a + each], v[a : a + each]
+            x = spare[: w.size].reshape(w.shape)
+            np.multiply(inputs[a : a + each], short, out=x) if d is None else np.matmul(inputs[a : a + each], d, out=x)
+            f *= BETA1
+            f += x
+            x *= x
+            s *= BETA2
+            s += x
+            np.sqrt(s, out=x)
+            x += EPSILON / spread
+            np.divide(f, x, out=x)
+            x *= rate / (1 - BETA1**t) / spread
+            w *= 1 - rate * DECAY
+            w -= x
 
 
 @dataclass
 class State:
-    """Weights and AdamW's moments as one vector each."""
+    """Weights and AdamW's moments, as adamw() has them, as one vector each."""
 
     flat: np.ndarray
     first: np.ndarray
@@ -212,28 +253,8 @@ class State:
 
     @classmethod
     def of(cls, vector: np.ndarray) -> State:
-        return cls(*(x.copy() for x in np.split(vector, 3)))
-
-    def step(self, grad: np.ndarray, t: int, rate: float, clip: float) -> None:
-        """Step t, from 1; the gradient is shortened to `clip`. PIECE by PIECE, and in place."""
-        norm = float(np.sqrt(grad @ grad))
-        short = (1 - BETA1) * (clip / (norm + 1e-6) if clip and norm > clip else 1.0)
-        spread = np.sqrt(1 - BETA2**t)
-        for a in range(0, len(grad), PIECE):
-            flat, first, second = (x[a : a + PIECE] for x in (self.flat, self.first, self.second))
-            x = grad[a : a + PIECE] * short
-            first *= BETA1
-            first += x
-            x *= x
-            x *= (1 - BETA2) / (1 - BETA1) ** 2
-            second *= BETA2
-            second += x
-            np.sqrt(second, out=x)
-            x += EPSILON * spread
-            np.divide(first, x, out=x)
-            x *= rate * spread / (1 - BETA1**t)
-            flat *= 1 - rate * DECAY
-            flat -= x
+        """Views of the vector."""
+        return cls(*np.split(vector, 3))
 
 
 def rate_at(config: Config, step: int, total: int) -> float:
@@ -249,7 +270,8 @@ def epoch_of_shard(parts: Iterator[tuple[np.ndarray, Rows]], shard: int, epoch:
     Every block is scored with the weights at the start, without all_figures only its rows for validation; then it is
     trained on. size: training rows of the shard.
     """
-    before, figures, spare = shape.views(state.flat.copy()), np.zeros(len(FIGURES)), np.empty_like(state.flat)
+    before, figures = shape.views(state.flat.copy()), np.zeros(len(FIGURES))
+    now, first, second = (shape.views(x) for x in (state.flat, state.first, state.second))
     per_epoch = -(-size // config.batch_size)
     done = per_epoch * (epoch - 1)
     rng = np.random.default_rng((config.random_seed, epoch, shard))
@@ -257,8 +279,8 @@ def epoch_of_shard(parts: Iterator[tuple[np.ndarray, Rows]], shard: int, epoch:
 
     def trained(rows: Rows) -> None:
         nonlocal done
-        loss, grad = gradient(shape, state.flat, rows, weight, config.dropout_rate, rng, spare)
-        state.step(grad, done + 1, rate_at(config, done, per_epoch * config.epochs), config.gradient_clip_norm)
+        loss, slope = slopes(shape, now, rows, weight, config.dropout_rate, rng)
+        adamw(now, first, second, slope, done + 1, rate_at(config, done, per_epoch * config.epochs), config.gradient_clip_norm)
         done += 1
         figures[0] += loss * len(rows)
 
@@ -396,7 +418,7 @@ def train_all(rows: DataFrame, key: Column, shapes: list[Shape], config: Config
                     f = fitted[k]
                     f.history.append(row)
                     if checked is None or f.best == 0 or checked < f.history[f.best - 1][2]:
-                        f.best, f.flat = epoch - 1, states[k].flat
+                        f.best, f.flat = epoch - 1, states[k].flat.copy()
                     elif epoch - 1 - f.best >= config.early_stopping_patience:
                         active.remove(k)
                         continue
@@ -432,15 +454,15 @@ def scanned(placed: DataFrame, states: dict[int, State], epoch: int, shapes: lis
         spark.conf.set(c, v)
     try:
         each = reduce(DataFrame.union, map(of, states)).mapInArrow(run, "model int, part int, shard int, n long, x binary")
-        found = (mean_of_shards(each) if len(sizes) > 1 else each).collect()  # the weights of each model, in chunks
+        found = (mean_of_shards(each) if len(sizes) > 1 else each).select("model", "part", "x").toArrow()  # the weights of each model, in chunks
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
     for b in sent.values():
         b.destroy()
     parts: dict[int, list] = {}
-    for r in sorted(found, key=lambda r: (r["model"], r["part"])):
-        parts.setdefault(r["model"], []).append(np.frombuffer(r["x"]))
+    for k, part, x in sorted(zip(found["model"].to_pylist(), found["part"].to_pylist(), found["x"], strict=True), key=lambda r: r[:2]):
+        parts.setdefault(k, []).append(np.frombuffer(x.as_buffer()))
     zero = np.zeros(len(FIGURES))
     return {k: (parts[k][0], np.concatenate(parts[k][1:]) if learn else np.empty(0)) if k in parts else (zero, s.vector()) for k, s in states.items()}
 
